@@ -8,7 +8,8 @@ from siftlab.functions import fixed as K
 from siftlab.functions.text import as_col, casefold, nfkc, squeeze, strip, text_or_empty
 
 _LEAD = rf"^\s*({K.COMPARATOR})?\s*({K.NUMBER})"
-DECIMAL = "decimal(38,18)"
+# Wide enough for every value met, narrow enough that a product with a unit factor stays exact.
+DECIMAL = "decimal(30,12)"
 
 
 def finite(c) -> Column:
