@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
-from siftlab.functions.text import as_col, first_match, strip, text_or_empty
+from siftlab.functions.text import as_col, first_match, let, strip, text_or_empty
 
 MAP = "map<string,string>"
 
 
-@F.pandas_udf("string")
-def _embedded_object(texts: pd.Series) -> pd.Series:
-    """First non-empty JSON object that starts at any brace of the text."""
-    decoder = json.JSONDecoder()
+def _embedded_object():
+    """Arrow UDF: first non-empty JSON object that starts at any brace of the text.
+
+    Built inside a function so that the workers receive it by value.
+    """
 
     def find(text):
+        decoder = json.JSONDecoder()
         at = text.find("{") if text else -1
         while at >= 0:
             try:
@@ -29,14 +31,17 @@ def _embedded_object(texts: pd.Series) -> pd.Series:
             at = text.find("{", at + 1)
         return None
 
-    return texts.map(find)
+    def find_all(texts: pd.Series) -> pd.Series:
+        return texts.map(find)
+
+    return F.pandas_udf(find_all, T.StringType())
 
 
 def _object(c: Column) -> Column:
     """The text when it is one non-empty JSON object."""
-    text = strip(c)
-    return F.when(
-        text.startswith("{") & F.json_object_keys(text).isNotNull() & (F.size(F.json_object_keys(text)) > 0), text
+    return let(
+        lambda text: F.when(text.startswith("{") & (F.coalesce(F.size(F.json_object_keys(text)), F.lit(0)) > 0), text),
+        strip(c),
     )
 
 
@@ -51,19 +56,22 @@ def with_answer_object(df, response: str, name: str = "answer"):
     the first two do not settle go through Python.
     """
     text = text_or_empty(response)
-    direct = F.coalesce(_object(tagged_answer(text)), _object(text))
-    open_rows = F.when(direct.isNull() & text.contains("{"), text)
-    out = df.withColumn("_direct", direct).withColumn("_open", open_rows)
-    out = out.withColumn("_found", F.coalesce(F.col("_direct"), _embedded_object(F.col("_open"))))
-    nested = _object(F.get_json_object("_found", "$.answer"))
-    return out.withColumn(name, F.coalesce(nested, F.col("_found"))).drop("_direct", "_open", "_found")
+    out = df.withColumn("_direct", F.coalesce(_object(tagged_answer(text)), _object(text)))
+    out = out.withColumn("_open", F.when(F.col("_direct").isNull() & text.contains("{"), text))
+    out = out.withColumn("_found", F.coalesce(F.col("_direct"), _embedded_object()(F.col("_open"))))
+    return out.withColumn(name, _unwrap(F.col("_found"))).drop("_direct", "_open", "_found")
 
 
 def direct_answer_object(c) -> Column:
     """As :func:`with_answer_object` without the fallback inside the text (no Python)."""
-    text = text_or_empty(c)
-    found = F.coalesce(_object(tagged_answer(text)), _object(text))
-    return F.coalesce(_object(F.get_json_object(found, "$.answer")), found)
+    return let(
+        lambda text: _unwrap(F.coalesce(_object(tagged_answer(text)), _object(text))), text_or_empty(c)
+    )
+
+
+def _unwrap(c: Column) -> Column:
+    """The nested ``answer`` object when there is one."""
+    return let(lambda found: F.coalesce(_object(F.get_json_object(found, "$.answer")), found), c)
 
 
 def answer_map(c) -> Column:
@@ -72,17 +80,22 @@ def answer_map(c) -> Column:
 
 def key_difference(expected: Column, got: Column) -> Column:
     """``struct<missing, extra>`` of two maps, sorted."""
-    a, b = F.map_keys(expected), F.map_keys(got)
-    return F.struct(
-        F.array_sort(F.array_except(a, b)).alias("missing"),
-        F.array_sort(F.array_except(b, a)).alias("extra"),
+    return let(
+        lambda a, b: F.struct(
+            F.array_sort(F.array_except(a, b)).alias("missing"),
+            F.array_sort(F.array_except(b, a)).alias("extra"),
+        ),
+        F.map_keys(expected),
+        F.map_keys(got),
     )
 
 
 def judge_verdict(c) -> Column:
     """``struct<answer, reasoning, correct, confidence>`` of a judge's text; bold marks removed."""
-    text = F.replace(text_or_empty(c), F.lit("**"), F.lit(""))
+    return let(_verdict, F.replace(text_or_empty(c), F.lit("**"), F.lit("")))
+
 
+def _verdict(text: Column) -> Column:
     def field(name: str, value: str = r"(.*?)") -> Column:
         return strip(F.regexp_extract(text, rf"(?s){name}:\s*{value}(?=\n\s*\w+:|$)", 1))
 
@@ -105,8 +118,11 @@ def _as_number(c: Column) -> Column:
 
 def answers_match(response, truth) -> Column:
     """Numeric truth compares as numbers, lists element by element, other text after folding."""
-    got = text_or_empty(response)
-    want = F.coalesce(F.nullif(as_col(truth), F.lit("")), F.lit("unknown"))
+    want = let(lambda t: F.when(t == "", "unknown").otherwise(t), text_or_empty(truth))
+    return let(_match, text_or_empty(response), want)
+
+
+def _match(got: Column, want: Column) -> Column:
     number = want.try_cast("double")
     g = F.transform(F.split(got, r"[,;]"), strip)
     w = F.transform(F.split(want, r"[,;]"), strip)
@@ -131,4 +147,4 @@ def last_conclusion(messages: Column) -> Column:
     bodies = F.transform(messages, lambda m: F.when(m["role"] == "assistant", strip(m["content"])))
     calls = F.filter(bodies, lambda b: b.rlike(r"(?s)^conclude\(.*\S.*\)$"))
     inner = strip(F.regexp_extract(F.try_element_at(calls, F.lit(-1)), r"(?s)^conclude\((.*)\)$", 1))
-    return F.coalesce(F.get_json_object(inner, "$.conclusion"), F.nullif(inner, F.lit("")))
+    return let(lambda t: F.coalesce(F.get_json_object(t, "$.conclusion"), F.nullif(t, F.lit(""))), inner)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.tasks import canonical_task, task_family
-from siftlab.functions.text import as_col, contains_any, squeeze, strip, text_or_empty
+from siftlab.functions.text import as_col, contains_any, let, squeeze, strip, text_or_empty
 
 
 def card_fields(c) -> Column:
@@ -22,10 +22,17 @@ def card_fields(c) -> Column:
     )
     known = F.array(*[F.lit(k) for k in K.CARD_FIELDS])
     kept = F.filter(pairs, lambda p: F.array_contains(known, p["k"]) & (p["v"] != ""))
-    last = F.filter(
-        kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"])
+    return let(
+        lambda all_pairs: F.map_from_entries(
+            F.filter(
+                all_pairs,
+                lambda p, i: ~F.exists(
+                    F.slice(all_pairs, i + 2, F.size(all_pairs)), lambda q: q["k"] == p["k"]
+                ),
+            )
+        ),
+        kept,
     )
-    return F.map_from_entries(last)
 
 
 def split_list(c) -> Column:
@@ -38,8 +45,11 @@ def parse_card(c) -> Column:
     """Typed card: kind, all known fields, task, family; null for text that is not a card."""
     text = strip(text_or_empty(c))
     prefix = F.lower(F.regexp_extract(text, K.CARD_PREFIX, 1))
-    fields = card_fields(text)
+    typed = let(_typed_card, prefix, card_fields(text))
+    return F.when(text.rlike(K.CARD_PREFIX), typed)
+
 
+def _typed_card(prefix: Column, fields: Column) -> Column:
     def get(key: str) -> Column:
         return F.try_element_at(fields, F.lit(key))
 
@@ -47,19 +57,20 @@ def parse_card(c) -> Column:
     elements = split_list(get("ELEMENTS"))
     components = split_list(get("METALS"))
     plain = [k for k in K.CARD_FIELDS if k not in ("TASK", "RT", "ELEMENTS", "METALS")]
-    return F.when(
-        text.rlike(K.CARD_PREFIX),
-        F.struct(
+
+    def build(t: Column, own: Column, given: Column) -> Column:
+        return F.struct(
             F.when(prefix == "materialcard", "material_card").otherwise("case").alias("kind"),
-            F.coalesce(task, get("TASK")).alias("task_type"),
-            task_family(task).alias("task_family"),
-            F.when((prefix != "materialcard") & task.isNotNull(), task).otherwise(get("RT")).alias("reaction_type"),
-            elements.alias("elements"),
-            F.when(F.size(components) > 0, components).otherwise(elements).alias("components"),
+            F.coalesce(t, get("TASK")).alias("task_type"),
+            task_family(t).alias("task_family"),
+            F.when((prefix != "materialcard") & t.isNotNull(), t).otherwise(get("RT")).alias("reaction_type"),
+            own.alias("elements"),
+            F.when(F.size(given) > 0, given).otherwise(own).alias("components"),
             *[get(k).alias(K.CARD_FIELDS[k]) for k in plain],
             get("ANCHOR").alias("performance"),
-        ),
-    )
+        )
+
+    return let(build, task, elements, components)
 
 
 def guideline_blocks(c) -> Column:
@@ -78,7 +89,10 @@ def guideline_blocks(c) -> Column:
 
 def is_format_guideline(c) -> Column:
     """Guidelines about output format rather than content; blank text counts as format."""
-    t = F.lower(text_or_empty(c))
+    return let(_is_format, F.lower(text_or_empty(c)))
+
+
+def _is_format(t: Column) -> Column:
     title = strip(F.substring_index(t, ":", 1))
     return (
         (strip(t) == "")
@@ -90,7 +104,7 @@ def is_format_guideline(c) -> Column:
 
 
 def is_chemistry_guideline(c) -> Column:
-    return contains_any(F.lower(text_or_empty(c)), K.CHEMISTRY_WORDS)
+    return let(lambda t: contains_any(t, K.CHEMISTRY_WORDS), F.lower(text_or_empty(c)))
 
 
 def mentions_task(c, task: str) -> Column:
@@ -100,7 +114,7 @@ def mentions_task(c, task: str) -> Column:
 
 def removed_for_reaction(c, reaction: str) -> Column:
     """Whether a block goes when ``reaction`` is pruned: tagged with it, or naming it untagged."""
-    text = strip(text_or_empty(c))
+    text = text_or_empty(c)
     tag = F.upper(strip(F.regexp_extract(text, r"\bRT=([^;]+);", 1)))
     return F.when(tag != "", tag == reaction).otherwise(F.upper(text).contains(reaction))
 

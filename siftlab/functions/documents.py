@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.ids import canonical_doi
-from siftlab.functions.text import all_matches, as_col, squeeze, strip, text_or_empty
+from siftlab.functions.text import all_matches, as_col, let, squeeze, strip, text_or_empty
 
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -43,17 +43,25 @@ def drop_references(c) -> Column:
     """
     text = F.regexp_replace(text_or_empty(c), r"(?is)(##?\s*)?Acknowledgements?.*$", "")
     text = F.regexp_replace(text, r"(?is)(##?\s*)?References?.*$", "")
-    lines = F.split(text, r"\r\n|\r|\n")
-    kinds = F.transform(
-        lines,
-        lambda s: F.when(strip(s) == "", F.lit("b")).when(_is_reference_line(strip(s)), F.lit("r")).otherwise(F.lit("t")),
-    )
-    # One letter per line: r reference, b blank, t text. The lines before the last run are kept.
-    letters = F.array_join(kinds, "")
+    return let(lambda t: let(_drop_block, t, F.split(t, r"\r\n|\r|\n")), text)
+
+
+def _line_kind(line: Column) -> Column:
+    """One letter per line: r reference, b blank, t text."""
+    return F.when(line == "", "b").when(_is_reference_line(line), "r").otherwise("t")
+
+
+def _drop_block(text: Column, lines: Column) -> Column:
+    """The lines before the last run of references."""
+    kinds = F.transform(lines, lambda s: let(_line_kind, strip(s)))
     block = r"^(.*t|)(?:b*r){3}[rb]*(?:t.*)?$"
-    keep = F.length(F.regexp_extract(letters, block, 1))
-    cut = F.regexp_replace(F.array_join(F.slice(lines, F.lit(1), keep), "\n"), r"\s+$", "")
-    return F.when((F.size(lines) > 1) & letters.rlike(block), cut).otherwise(text)
+
+    def cut(letters: Column) -> Column:
+        keep = F.length(F.regexp_extract(letters, block, 1))
+        kept = F.rtrim(F.array_join(F.slice(lines, F.lit(1), keep), "\n"), F.lit(" \t\r\n"))
+        return F.when((F.size(lines) > 1) & letters.rlike(block), kept).otherwise(text)
+
+    return let(cut, F.array_join(kinds, ""))
 
 
 def document_doi(c) -> Column:
@@ -62,8 +70,10 @@ def document_doi(c) -> Column:
     The look-ahead distances (8,000 and 20,000 characters) are part of the rule: ids further down
     belong to cited papers.
     """
-    text = drop_references(c)
+    return let(_first_doi, drop_references(c))
+
 
+def _first_doi(text: Column) -> Column:
     def first(window: Column, pattern: str) -> Column:
         ids = F.transform(all_matches(window, pattern, 1), lambda d: canonical_doi(d, "document"))
         return F.try_element_at(F.array_compact(ids), F.lit(1))
@@ -92,8 +102,10 @@ def _plain_title(c: Column) -> Column:
 
 
 def _is_noise(plain: Column) -> Column:
-    key = title_key(plain)
-    letters = F.regexp_replace(plain, "[^A-Za-z]+", "")
+    return let(_noise, plain, title_key(plain), F.regexp_replace(plain, "[^A-Za-z]+", ""))
+
+
+def _noise(plain: Column, key: Column, letters: Column) -> Column:
     shout = (
         (letters != "")
         & (letters == F.upper(letters))
@@ -111,8 +123,11 @@ def title_candidates(c) -> Column:
 
     Only the first 120 lines are read, as titles stand at the top.
     """
-    lines = F.slice(F.transform(F.split(text_or_empty(c), r"\r\n|\r|\n"), strip), 1, 120)
+    head = F.slice(F.split(text_or_empty(c), r"\r\n|\r|\n"), 1, 120)
+    return let(_titles, F.transform(head, strip))
 
+
+def _titles(lines: Column) -> Column:
     def pick(pattern: str, group: int, rank: int) -> Column:
         hits = F.filter(lines, lambda s: s.rlike(pattern))
         return F.transform(
@@ -128,13 +143,18 @@ def title_candidates(c) -> Column:
         F.transform(F.filter(lines, lambda s: s.rlike(r"^\*\*.+\*\*$")), _plain_title),
         lambda t: (F.length(t) >= 15) & ~_is_noise(t),
     )
-    top = F.slice(F.array_distinct(found), 1, 5)
-    return F.when(F.size(top) >= 5, top).otherwise(F.concat(top, F.slice(bold, 1, 1)))
+    return let(
+        lambda top: F.when(F.size(top) >= 5, top).otherwise(F.concat(top, F.slice(bold, 1, 1))),
+        F.slice(F.array_distinct(found), 1, 5),
+    )
 
 
 def title_variants(c) -> Column:
     """The title, then its part before a colon or a spaced dash."""
-    text = strip(text_or_empty(c))
+    return let(_variants, strip(text_or_empty(c)))
+
+
+def _variants(text: Column) -> Column:
     seps = (":", " - ", " – ", " — ")
     cuts = [F.when(text.contains(s), strip(F.substring_index(text, s, 1))) for s in seps]
     return F.filter(F.array_distinct(F.array_compact(F.array(text, *cuts))), lambda t: t != "")
@@ -142,7 +162,10 @@ def title_variants(c) -> Column:
 
 def has_metric_number(c) -> Column:
     """A decimal, a half-wave token, or a number with a unit; digits in formulas do not count."""
-    text = text_or_empty(c)
+    return let(_metric_number, text_or_empty(c))
+
+
+def _metric_number(text: Column) -> Column:
     unit = r"(?:V|mV|mA|A|%|rpm|cm\s*(?:-2|\^-2)|A\s*g\s*(?:-1|\^-1)|mA\s*cm\s*(?:-2|\^-2))"
     return (
         text.rlike(r"\b\d+\.\d+\b")
@@ -153,8 +176,13 @@ def has_metric_number(c) -> Column:
 
 def chunk_quality(c, min_chars: int = 80, keep_if_number: bool = True) -> Column:
     """``hard`` junk, ``soft`` junk or ``keep``."""
-    text = strip(text_or_empty(c))
-    number = has_metric_number(text)
+    return let(
+        lambda t: let(lambda text, number: _quality(text, number, min_chars, keep_if_number), t, has_metric_number(t)),
+        strip(text_or_empty(c)),
+    )
+
+
+def _quality(text: Column, number: Column, min_chars: int, keep_if_number: bool) -> Column:
     first = strip(F.regexp_extract(text, r"^[^\r\n]*", 0))
     heading = ~text.rlike(r"[\r\n]") & text.rlike(r"^#{1,6}\s+\S.*$")
     short = F.length(text) < min_chars

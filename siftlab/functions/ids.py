@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import all_matches, as_col, nfkc, strip, text_or_empty
+from siftlab.functions.text import all_matches, as_col, blank_to_null, let, nfkc, strip, text_or_empty
 
 
 def _trim_chars(c: Column, chars: str) -> Column:
@@ -21,7 +21,7 @@ def canonical_doi(c, profile: str = "join") -> Column:
     ``plain``     trimmed text or null
     """
     if profile == "plain":
-        return F.nullif(strip(as_col(c).cast("string")), F.lit(""))
+        return blank_to_null(as_col(c).cast("string"))
     if profile == "join":
         text = F.regexp_replace(F.lower(strip(nfkc(text_or_empty(c)))), K.DOI_PREFIX, "")
         return F.rtrim(_trim_chars(strip(text), "*`\"'"), F.lit(".,; "))
@@ -37,50 +37,67 @@ def canonical_doi(c, profile: str = "join") -> Column:
         text = _trim_chars(strip(text), "<>")
         text = F.rtrim(F.ltrim(text, F.lit("([{<\"'")), F.lit(tail))
         text = _trim_chars(text, "*_`")
-        bad = F.lower(text).rlike(r"\]\(|doi\.org|https?://")
-        # Closing brackets without an opening partner; a few nested ones are enough for prose.
-        for _ in range(3):
-            for closer, opener in ((")", "("), ("]", "["), ("}", "{"), (">", "<")):
-                unbalanced = text.endswith(closer) & (
-                    F.length(F.replace(text, F.lit(opener), F.lit("")))
-                    > F.length(F.replace(text, F.lit(closer), F.lit("")))
-                )
-                cut = F.rtrim(F.left(text, F.length(text) - 1), F.lit(tail))
-                text = F.when(unbalanced, cut).otherwise(text)
-        return F.when(~bad & text.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(text))
+        return let(lambda t: _checked_doi(t, tail), text)
     raise ValueError(f"unknown profile {profile!r}")
 
 
+def _count(text: Column, ch: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+
+
+def _checked_doi(text: Column, tail: str) -> Column:
+    """Closing brackets without an opening partner go; then the shape is checked."""
+
+    def drop(t: Column) -> Column:
+        unbalanced = F.lit(False)
+        for closer, opener in ((")", "("), ("]", "["), ("}", "{"), (">", "<")):
+            unbalanced = unbalanced | (t.endswith(closer) & (_count(t, opener) < _count(t, closer)))
+        return F.when(unbalanced, F.rtrim(F.left(t, F.length(t) - 1), F.lit(tail))).otherwise(t)
+
+    bad = F.lower(text).rlike(r"\]\(|doi\.org|https?://")
+    # Balanced ids, nearly all, skip the loop; each round removes one bracket.
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(F.regexp_extract(text, r"[)\]}>.,;:!?\"']*$", 0)), F.lit(1)))
+    trimmed = F.when(
+        text.rlike(r"[)\]}>]$"), F.aggregate(rounds, text, lambda t, _: drop(t))
+    ).otherwise(text)
+    return let(lambda t: F.when(~bad & t.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(t)), trimmed)
+
+
 def citation_id(collection, doc_id, chunk) -> Column:
     """``rag:chroma/<collection>/doi:<doc>#chunk:<n>``."""
-    name = F.coalesce(F.nullif(strip(collection), F.lit("")), F.lit("unknown"))
-    doc = F.coalesce(F.nullif(strip(doc_id), F.lit("")), F.lit("unknown"))
+    name = F.coalesce(blank_to_null(collection), F.lit("unknown"))
+    doc = F.coalesce(blank_to_null(doc_id), F.lit("unknown"))
     return F.concat(F.lit("rag:chroma/"), name, F.lit("/doi:"), doc, F.lit("#chunk:"), as_col(chunk).cast("bigint").cast("string"))
 
 
 def parse_citation(c) -> Column:
     """``struct<collection, doc_id, chunk>`` or null."""
-    text = strip(c)
-    chunk = F.regexp_extract(text, K.CITATION, 3).try_cast("bigint")
-    return F.when(
-        text.rlike(K.CITATION),
-        F.struct(
-            F.regexp_extract(text, K.CITATION, 1).alias("collection"),
-            F.regexp_extract(text, K.CITATION, 2).alias("doc_id"),
-            chunk.alias("chunk"),
+    return let(
+        lambda text: F.when(
+            text.rlike(K.CITATION),
+            F.struct(
+                F.regexp_extract(text, K.CITATION, 1).alias("collection"),
+                F.regexp_extract(text, K.CITATION, 2).alias("doc_id"),
+                F.regexp_extract(text, K.CITATION, 3).try_cast("bigint").alias("chunk"),
+            ),
         ),
+        strip(c),
     )
 
 
 def normalize_citation(c) -> Column:
     """Canonical form of a citation; trailing prose punctuation is salvaged, other text is kept."""
-    text = strip(text_or_empty(c))
-    salvaged = F.rtrim(F.btrim(text, F.lit("`\"'")), F.lit(").,;:!?\"']}"))
-    ref = F.coalesce(parse_citation(text), parse_citation(salvaged))
-    return F.when(
-        ref.isNotNull(),
-        citation_id(ref["collection"], canonical_doi(ref["doc_id"], "source"), ref["chunk"]),
-    ).otherwise(text)
+    def build(text: Column) -> Column:
+        salvaged = F.rtrim(F.btrim(text, F.lit("`\"'")), F.lit(").,;:!?\"']}"))
+        return let(
+            lambda ref: F.when(
+                ref.isNotNull(),
+                citation_id(ref["collection"], canonical_doi(ref["doc_id"], "source"), ref["chunk"]),
+            ).otherwise(text),
+            F.coalesce(parse_citation(text), parse_citation(salvaged)),
+        )
+
+    return let(build, strip(text_or_empty(c)))
 
 
 def citations_in_text(c) -> Column:
@@ -106,15 +123,17 @@ def sample_id(task, doi, identity, context, label) -> Column:
 def fallback_doc_id(path) -> Column:
     """``no-doi:<first 30 characters of the base name>_<16 hex digits>`` of a file path."""
     slug = strip(F.replace(text_or_empty(path), F.lit("\\"), F.lit("/")))
-    empty = slug == ""
     slug = F.regexp_replace(slug, r"(?i)\.md$", "")
     slug = F.regexp_replace(F.regexp_replace(slug, r"\s+", "_"), r"[^0-9A-Za-z._/-]+", "_")
     slug = F.lower(F.btrim(slug, F.lit("_")))
-    base = F.coalesce(F.nullif(F.substring_index(slug, "/", -1), F.lit("")), F.lit("doc"))
-    base = F.coalesce(F.nullif(F.btrim(F.substring(base, 1, 30), F.lit("_")), F.lit("")), F.lit("doc"))
-    return F.when(empty, "unknown").otherwise(
-        F.concat(F.lit("no-doi:"), base, F.lit("_"), F.substring(F.sha2(slug, 256), 1, 16))
-    )
+
+    def build(s: Column) -> Column:
+        base = F.btrim(F.substring(F.substring_index(s, "/", -1), 1, 30), F.lit("_"))
+        base = let(lambda b: F.when(b == "", "doc").otherwise(b), base)
+        named = F.concat(F.lit("no-doi:"), base, F.lit("_"), F.substring(F.sha2(s, 256), 1, 16))
+        return F.when(strip(text_or_empty(path)) == "", "unknown").otherwise(named)
+
+    return let(build, slug)
 
 
 def split_experiment_id(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import as_col, canonical_text, casefold, nfkc, strip, text_or_empty
+from siftlab.functions.text import as_col, canonical_text, casefold, let, nfkc, strip, text_or_empty
 
 
 def name_key(c) -> Column:
@@ -17,21 +17,24 @@ def name_key(c) -> Column:
 def identity_key(name, index) -> Column:
     """Name key, or a placeholder naming the position when no name is left."""
     place = F.coalesce(as_col(index).cast("string"), F.lit("unknown"))
-    return F.coalesce(
-        F.nullif(name_key(name), F.lit("")), F.concat(F.lit("<missing-material-"), place, F.lit(">"))
-    )
+    missing = F.concat(F.lit("<missing-material-"), place, F.lit(">"))
+    return let(lambda key: F.when(key != "", key).otherwise(missing), name_key(name))
 
 
 def is_generic_name(c) -> Column:
-    text = canonical_text(c)
-    return text.isin(*K.GENERIC_NAMES) | text.rlike(K.GENERIC_NAME_PATTERN)
+    return let(
+        lambda text: text.isin(*K.GENERIC_NAMES) | text.rlike(K.GENERIC_NAME_PATTERN), canonical_text(c)
+    )
 
 
 def vague_name_reasons(name, evidence=None) -> Column:
     """Sorted review flags of names that stand for a series, a group or an anonymous sample."""
     raw = strip(nfkc(text_or_empty(name)))
     said = nfkc(text_or_empty(evidence)) if evidence is not None else F.lit("")
-    joined = strip(F.concat_ws(" ", raw, said))
+    return let(_vague_flags, raw, strip(F.concat_ws(" ", raw, said)))
+
+
+def _vague_flags(raw: Column, joined: Column) -> Column:
     flags = F.array(
         F.when((raw != "") & raw.rlike(K.ANONYMOUS_NAME_PATTERN), "anonymous_sample_code"),
         F.when(raw.rlike(K.COLLECTIVE_PATTERN), "collective_or_variable_scope"),

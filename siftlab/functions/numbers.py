@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import as_col, casefold, nfkc, squeeze, strip, text_or_empty
+from siftlab.functions.text import as_col, blank_to_null, casefold, let, nfkc, squeeze, strip, text_or_empty
 
 _LEAD = rf"^\s*({K.COMPARATOR})?\s*({K.NUMBER})"
 # Wide enough for every value met, narrow enough that a product with a unit factor stays exact.
@@ -14,8 +14,7 @@ DECIMAL = "decimal(30,12)"
 
 def finite(c) -> Column:
     """The double, or null when it is not finite."""
-    value = as_col(c)
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return let(lambda v: F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v), c)
 
 
 def parse_double(c) -> Column:
@@ -33,11 +32,13 @@ def leading_comparator(c) -> Column:
 
 def numeric_struct(c) -> Column:
     """``struct<value, comparator, raw>``, null when no finite number leads the text."""
-    raw = strip(c)
-    value = leading_number(raw)
-    return F.when(
-        value.isNotNull(),
-        F.struct(value.alias("value"), leading_comparator(raw).alias("comparator"), raw.alias("raw")),
+    return let(
+        lambda raw, value: F.when(
+            value.isNotNull(),
+            F.struct(value.alias("value"), leading_comparator(raw).alias("comparator"), raw.alias("raw")),
+        ),
+        strip(c),
+        leading_number(strip(c)),
     )
 
 
@@ -48,10 +49,13 @@ def unit_suffix(c) -> Column:
 
 def truth_unit_contract(task, metric, value, declared=None) -> Column:
     """canonical / declared / missing / noncanonical_or_missing / noncanonical_or_relative."""
-    task, metric = as_col(task), as_col(metric)
     said = squeeze(text_or_empty(declared)) if declared is not None else F.lit("")
     suffix = F.coalesce(F.nullif(said, F.lit("")), unit_suffix(text_or_empty(value)))
     compact = F.replace(casefold(nfkc(suffix)), F.lit(" "), F.lit(""))
+    return let(_contract, task, metric, suffix, compact)
+
+
+def _contract(task: Column, metric: Column, suffix: Column, compact: Column) -> Column:
     accepted = F.lit(False)
     for name, units in K.TRUTH_UNITS.items():
         accepted = accepted | ((task == name) & compact.isin(*units))
@@ -73,7 +77,7 @@ def decimal_text(c) -> Column:
     """Plain decimal text without exponent and without trailing zeros."""
     text = as_col(c).cast(DECIMAL).cast("string")
     text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(text.rlike("^-?0$"), "0").otherwise(text)
+    return F.regexp_replace(text, "^-0$", "0")
 
 
 def short_number(c) -> Column:
@@ -87,12 +91,12 @@ def is_plain_number(c) -> Column:
 
 def stitch_value_unit(value, unit) -> Column:
     """Append the unit column only when the value cell is a bare number; ``%`` without a blank."""
-    v = F.nullif(strip(value), F.lit(""))
-    u = squeeze(F.translate(text_or_empty(unit), "−–‑—", "----"))
-    return (
-        F.when(v.isNull() | (u == "") | ~is_plain_number(v), v)
+    return let(
+        lambda v, u: F.when(v.isNull() | (u == "") | ~is_plain_number(v), v)
         .when(u.isin("%", "％"), F.concat(v, F.lit("%")))
-        .otherwise(F.concat_ws(" ", v, u))
+        .otherwise(F.concat_ws(" ", v, u)),
+        blank_to_null(value),
+        squeeze(F.translate(text_or_empty(unit), "−–‑—", "----")),
     )
 
 

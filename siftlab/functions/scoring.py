@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.numbers import finite
-from siftlab.functions.text import as_col, lookup
+from siftlab.functions.text import as_col, let, lookup
 
 
 def error_floor(unit, profile: str) -> Column:
@@ -15,10 +15,13 @@ def error_floor(unit, profile: str) -> Column:
 
 def relative_error(predicted, actual, unit=None, profile: str = "analytics") -> Column:
     """|p - a| / (|a| + floor); a zero denominator counts as 1; null unless both are finite."""
-    p, a = finite(predicted), finite(actual)
     floor = F.coalesce(error_floor(unit, profile), F.lit(0.0)) if unit is not None else F.lit(0.0)
-    denominator = F.abs(a) + floor
-    return F.abs(p - a) / F.when(denominator <= 0, F.lit(1.0)).otherwise(denominator)
+
+    def error(p: Column, a: Column, f: Column) -> Column:
+        denominator = F.abs(a) + f
+        return F.abs(p - a) / F.when(denominator <= 0, F.lit(1.0)).otherwise(denominator)
+
+    return let(error, finite(predicted), finite(actual), floor)
 
 
 def decay_score(error) -> Column:
@@ -27,12 +30,20 @@ def decay_score(error) -> Column:
 
 def feedback_reward(error) -> Column:
     """1 up to 2 % error, else the decay score kept inside [0.05, 0.95]."""
-    e = F.coalesce(as_col(error), F.lit(0.0))
-    return F.when(e <= 0.02, F.lit(1.0)).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.95), decay_score(e))))
+    return let(
+        lambda e: F.when(e <= 0.02, F.lit(1.0)).otherwise(
+            F.greatest(F.lit(0.05), F.least(F.lit(0.95), decay_score(e)))
+        ),
+        F.coalesce(as_col(error), F.lit(0.0)),
+    )
 
 
 def metric_reward(truth: Column, predicted: Column, units: Column) -> Column:
     """Mean decay score over the truth's metrics; a missing key scores 0, an extra key voids the row."""
+    return let(_metric_reward, truth, predicted, units)
+
+
+def _metric_reward(truth: Column, predicted: Column, units: Column) -> Column:
     scores = F.map_zip_with(
         truth,
         predicted,

@@ -7,8 +7,9 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as Python's str.split sees it; Java's \s alone is ASCII only.
-WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Whitespace in the Unicode sense; Java's \\s alone is ASCII only.
+WS = r"(?U)\s"
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 DASHES = "−–‑—"
 
 
@@ -16,13 +17,26 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(body, *values) -> Column:
+    """``body(*values)`` with every value computed once per row.
+
+    A column used several times in an expression is several copies of its expression, which
+    multiplies along nested functions. Binding goes through a one-element array and a lambda.
+    """
+    if len(values) == 1:
+        return F.element_at(F.transform(F.array(as_col(values[0])), body), 1)
+    packed = F.struct(*[as_col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    unpacked = lambda s: body(*[s[f"v{i}"] for i in range(len(values))])
+    return F.element_at(F.transform(F.array(packed), unpacked), 1)
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(as_col(c), rf"^{WS}+|{WS}+$", "")
+    return F.btrim(as_col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c) -> Column:
     """Null for null, empty or blank text, the trimmed text otherwise."""
-    return F.nullif(strip(c), F.lit(""))
+    return let(lambda t: F.when(t != "", t), strip(c))
 
 
 def text_or_empty(c) -> Column:
@@ -56,11 +70,15 @@ def _compat_pairs() -> tuple[str, str, dict[str, str]]:
 def nfkc(c) -> Column:
     """Compatibility folding for precomposed text (combining marks are left as they are)."""
     source, target, longer = _compat_pairs()
-    folded = F.translate(as_col(c), source, target)
-    for ch, text in longer.items():
-        folded = F.replace(folded, F.lit(ch), F.lit(text))
-    # Plain ASCII, the common case, skips the table.
-    return F.when(as_col(c).rlike(r"^\p{ASCII}*$"), as_col(c)).otherwise(folded)
+
+    def fold(text: Column) -> Column:
+        folded = F.translate(text, source, target)
+        for ch, plain in longer.items():
+            folded = F.replace(folded, F.lit(ch), F.lit(plain))
+        # Plain ASCII, the common case, skips the table.
+        return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(folded)
+
+    return let(fold, c)
 
 
 def casefold(c) -> Column:
@@ -74,7 +92,7 @@ def canonical_text(c) -> Column:
 
 def first_match(c, pattern: str, group: int = 1) -> Column:
     """First match or null (``regexp_extract`` alone gives an empty string)."""
-    return F.when(as_col(c).rlike(pattern), F.regexp_extract(as_col(c), pattern, group))
+    return let(lambda t: F.when(t.rlike(pattern), F.regexp_extract(t, pattern, group)), c)
 
 
 def all_matches(c, pattern: str, group: int = 0) -> Column:

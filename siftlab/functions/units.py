@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.numbers import DECIMAL, decimal_text, finite, parse_double, short_number
-from siftlab.functions.text import as_col, squeeze, strip, text_or_empty
+from siftlab.functions.text import as_col, let, squeeze, strip, text_or_empty
 
 _PREFIX = rf"^\s*({K.NUMBER})"
 
@@ -31,8 +31,10 @@ def _area(unit: Column) -> Column:
 
 def metric_key(key, reaction) -> Column:
     """Canonical metric key of a raw column name under a reaction."""
-    k = strip(F.translate(text_or_empty(key), "−–‑", "---"))
-    r = F.upper(as_col(reaction))
+    return let(_metric_key, strip(F.translate(text_or_empty(key), "−–‑", "---")), F.upper(as_col(reaction)))
+
+
+def _metric_key(k: Column, r: Column) -> Column:
     return (
         F.when((r == "O5H") & (F.lower(k) == "faradaic_efficiency"), "faradaic_efficiency")
         .when(
@@ -52,12 +54,16 @@ def normalize_metric(value, key) -> Column:
     currents mA cm-2, mass activity A. A missing unit counts as canonical for potentials and
     partial currents; an unknown unit of a current density is rejected.
     """
-    text = text_or_empty(value)
-    k = as_col(key)
-    raw = _number_text(text)
-    num = raw.try_cast("double").cast(DECIMAL)
-    num = F.coalesce(raw.try_cast(DECIMAL), num)
-    rest = _rest(text)
+
+
+    def parts(text: Column, k: Column) -> Column:
+        raw = _number_text(text)
+        return let(_convert_metric, F.coalesce(raw.try_cast(DECIMAL), raw.try_cast("double").cast(DECIMAL)), _rest(text), k)
+
+    return let(parts, text_or_empty(value), key)
+
+
+def _convert_metric(num: Column, rest: Column, k: Column) -> Column:
     head = F.lower(F.substring_index(rest, " ", 1))
     area = _area(rest)
     area_unit = F.substring_index(area, " ", 1)
@@ -98,9 +104,11 @@ def normalize_metric(value, key) -> Column:
 
 def metric_text(normalized: Column) -> Column:
     """Number and unit as one string; fractions stay bare."""
-    bare = normalized["unit"].isNull() | (normalized["unit"] == "fraction_0_to_1")
-    return F.when(bare, normalized["number"]).otherwise(
-        F.concat_ws(" ", normalized["number"], normalized["unit"])
+    return let(
+        lambda m: F.when(m["unit"].isNull() | (m["unit"] == "fraction_0_to_1"), m["number"]).otherwise(
+            F.concat_ws(" ", m["number"], m["unit"])
+        ),
+        normalized,
     )
 
 
@@ -108,11 +116,13 @@ def current_density_ma(c) -> Column:
     """Current density in mA cm-2 as a decimal; null without an area unit."""
     text = F.regexp_replace(F.translate(text_or_empty(c), "·⋅•", "   "), r"^[\s~≈≃∼<>≤≥=]+", "")
     text = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
-    num = _number_text(text).try_cast(DECIMAL)
-    area = _area(_rest(text))
-    return F.when(area.rlike(r"^ma\b.*cm-2"), num).when(
-        area.rlike(r"^a\b.*cm-2"), (num * F.lit(Decimal("1000"))).cast(DECIMAL)
-    )
+
+    def convert(num: Column, area: Column) -> Column:
+        return F.when(area.rlike(r"^ma\b.*cm-2"), num).when(
+            area.rlike(r"^a\b.*cm-2"), (num * F.lit(Decimal("1000"))).cast(DECIMAL)
+        )
+
+    return let(lambda t: let(convert, _number_text(t).try_cast(DECIMAL), _area(_rest(t))), text)
 
 
 def percent_fraction(c) -> Column:
@@ -124,8 +134,10 @@ def percent_fraction(c) -> Column:
 
 def condition_status(c) -> Column:
     """``ok`` at 10 mA cm-2, ``mismatch`` at another density, ``unknown`` otherwise."""
-    density = current_density_ma(c)
-    return F.when(density.isNull(), "unknown").when(density == 10, "ok").otherwise("mismatch")
+    return let(
+        lambda density: F.when(density.isNull(), "unknown").when(density == 10, "ok").otherwise("mismatch"),
+        current_density_ma(c),
+    )
 
 
 _CONDUCTIVITY = (
@@ -146,11 +158,15 @@ def _by_pattern(text: Column, number: Column, rules) -> Column:
 
 def property_value(prop, raw) -> Column:
     """Property value in its canonical unit; null when the unit does not belong to the property."""
-    p = as_col(prop)
-    text = text_or_empty(raw)
-    low = F.lower(text)
-    value = parse_double(_number_text(text))
-    unit = F.lower(_rest(text))
+
+
+    def parts(p: Column, text: Column) -> Column:
+        return let(_property_value, p, F.lower(text), parse_double(_number_text(text)), F.lower(_rest(text)))
+
+    return let(parts, prop, text_or_empty(raw))
+
+
+def _property_value(p: Column, low: Column, value: Column, unit: Column) -> Column:
     micro = F.translate(low, "μµ", "uu")
     percent = F.when(~unit.contains("%") & value.between(0.0, 1.0), value * 100.0).otherwise(value)
     ppm = (low == "") | micro.rlike(r"ppm|ug/ml|ug ml|mg/l|mg l")
@@ -207,14 +223,20 @@ def strict_property_text(prop, raw) -> Column:
     """Number and unit of a value that consists of nothing else; null otherwise."""
     text = F.translate(text_or_empty(raw), "−–—‑⁃⁻·⋅× ", "------  x ")
     text = squeeze(F.replace(F.regexp_replace(text, r"(cm|m|K)\^-1", "$1-1"), F.lit("&nbsp;"), F.lit(" ")))
-    number = short_number(parse_double(F.regexp_extract(text, rf"^({K.PLAIN_NUMBER})", 1)))
-    out = F.lit(None).cast("string")
-    for name, form in reversed(list(_FORM_OF.items())):
-        for kind, unit, label in reversed(_FORMS):
-            if kind == form:
-                hit = (as_col(prop) == name) & text.rlike(rf"(?i)^{K.PLAIN_NUMBER}{unit}$")
-                out = F.when(hit, F.concat(number, F.lit(label))).otherwise(out)
-    return out
+
+    def check(p: Column, t: Column) -> Column:
+        number = short_number(parse_double(F.regexp_extract(t, rf"^({K.PLAIN_NUMBER})", 1)))
+        label = F.lit(None).cast("string")
+        for name, form in reversed(list(_FORM_OF.items())):
+            of_form = F.lit(None).cast("string")
+            for kind, unit, spelled in reversed(_FORMS):
+                if kind == form:
+                    hit = t.rlike(rf"(?i)^{K.PLAIN_NUMBER}{unit}$")
+                    of_form = F.when(hit, F.lit(spelled)).otherwise(of_form)
+            label = F.when(p == name, of_form).otherwise(label)
+        return F.concat(number, label)
+
+    return let(check, prop, text)
 
 
 def coerce_prediction(value, expected_unit) -> Column:
@@ -223,10 +245,16 @@ def coerce_prediction(value, expected_unit) -> Column:
     Bare numbers pass. Text with a unit is accepted only when a unit is expected and it can be
     converted to it. Percent predictions between 0 and 1 are read as fractions.
     """
-    text = strip(as_col(value))
-    unit = as_col(expected_unit)
-    num = parse_double(_number_text(text))
-    rest = F.lower(_rest(F.regexp_replace(F.translate(text, "·⋅•/", "    "), r"\^", "")))
+
+
+    def parts(text: Column, unit: Column) -> Column:
+        rest = F.lower(_rest(F.regexp_replace(F.translate(text, "·⋅•/", "    "), r"\^", "")))
+        return let(_coerce, text, unit, parse_double(_number_text(text)), rest)
+
+    return let(parts, strip(value), expected_unit)
+
+
+def _coerce(text: Column, unit: Column, num: Column, rest: Column) -> Column:
     given = rest != ""
     first = F.substring_index(rest, " ", 1)
     word = rest.rlike("fraction|unitless|dimensionless|ratio")
