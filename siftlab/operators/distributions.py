@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.operators.ordinals import exact_quantiles, top_per_group
+from siftlab.session import materialize
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.50, "p75": 0.75, "p95": 0.95}
 
@@ -58,7 +59,9 @@ def histogram(df: DataFrame, by: list[str], value: str, shape: DataFrame | None
     Values are counted per (group, bin) before anything is joined to the empty bins, so at most
     50 rows per group and task are shuffled. Pass ``shape`` (lo, hi, bins, width) for fixed bins.
     """
-    shape = histogram_shape(df, by, value) if shape is None else shape
+    if shape is None:
+        # One row per group, used twice. As a written table its true size decides about a broadcast.
+        shape = materialize(histogram_shape(df, by, value), "shape")
     placed = df.where(F.col(value).isNotNull()).join(shape, by)
     index = bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins"), F.col("width"))
     counts = placed.groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -83,6 +86,7 @@ def density_curve(df: DataFrame, by: list[str], value: str, points: int = 240) -
     spread = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.stddev_samp(value).alias("sd"))
     frame = shape.join(spread, by).where((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
     frame = frame.withColumn("h", 1.06 * F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    frame = materialize(frame, "shape")
     merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     spreaded = merged.join(frame, by).select(
