@@ -125,5 +125,4 @@ def contains_any(c, words) -> Column:
 def keyword_tokens(c, stopwords) -> Column:
     """Lower-case ASCII tokens without stop words, pure digits and single characters, in order."""
     words = F.split(F.lower(text_or_empty(c)), "[^a-z0-9]+")
-    drop = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~F.array_contains(drop, t))
+    return F.filter(words, lambda t: (F.length(t) >= 2) & t.rlike("[a-z]") & ~t.isin(*stopwords))

@@ -65,4 +65,4 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def plan_size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, the figure Spark itself uses to decide on broadcasts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
