@@ -69,25 +69,27 @@ def _is_card(c: Column) -> Column:
 
 
 def merge_operations(notes: DataFrame, operations: DataFrame) -> DataFrame:
-    """Apply ADD, UPDATE and DELETE operations to a note table (note_id, content).
+    """Apply ADD, UPDATE and DELETE operations (with their position ``pos``) to a table (note_id, content).
 
     DELETE wins over UPDATE of the same id; of several updates the longest (then smallest) text
     wins; an UPDATE that would put a card over a plain note, or names no known id, becomes an ADD.
     Added texts are squeezed, taken once and left out when the table already holds them. New ids
-    continue after the highest numeric one, in order of text.
+    continue after the highest numeric one: ADDs in their order first, then turned updates.
     """
     ops = operations.select(
         F.upper(strip(text_or_empty(F.col("operation")))).alias("op"),
         F.nullif(strip(text_or_empty(F.col("note_id").cast("string"))), F.lit("")).alias("note_id"),
         squeeze(text_or_empty(F.col("content"))).alias("content"),
+        "pos",
     )
     old = notes.select(F.col("note_id").cast("string").alias("note_id"), F.col("content"), squeeze("content").alias("_norm"))
     deleted = ops.where("op = 'DELETE' AND note_id IS NOT NULL").select("note_id").distinct()
     updates = ops.where("op = 'UPDATE' AND note_id IS NOT NULL AND content <> ''").join(deleted, "note_id", "left_anti")
     judged = updates.join(old.select("note_id", "_norm"), "note_id", "left")
     to_card = _is_card(F.col("content")) & ~_is_card(F.coalesce("_norm", F.lit("")))
-    turned = judged.where(to_card).select("content")
+    turned = judged.where(to_card).select("content", F.lit(1).alias("tier"), "pos")
     best = judged.where(~to_card).groupBy("note_id").agg(
+        F.min("pos").alias("pos"),
         F.min_by("content", F.struct(-F.length("content"), F.col("content"))).alias("_new"),
         F.max(F.col("_norm").isNotNull().cast("int")).alias("_known"),
     )
@@ -97,14 +99,16 @@ def merge_operations(notes: DataFrame, operations: DataFrame) -> DataFrame:
         .select("note_id", F.coalesce("_new", "content").alias("content"))
     )
     added = (
-        ops.where("(op = 'ADD' OR (op = 'UPDATE' AND note_id IS NULL)) AND content <> ''").select("content")
+        ops.where("(op = 'ADD' OR (op = 'UPDATE' AND note_id IS NULL)) AND content <> ''")
+        .select("content", F.lit(0).alias("tier"), "pos")
         .unionByName(turned)
-        .unionByName(best.where("_known = 0").select(F.col("_new").alias("content")))
-        .distinct()
+        .unionByName(best.where("_known = 0").select(F.col("_new").alias("content"), F.lit(1).alias("tier"), "pos"))
+        .groupBy("content")
+        .agg(F.min(F.struct("tier", "pos")).alias("_first"))
     )
     # Texts the table held before or after the updates are known.
     known = old.select(F.col("_norm").alias("content")).unionByName(kept.select(squeeze("content").alias("content"))).distinct()
-    fresh = with_ordinal(added.join(known, "content", "left_anti"), "content", "_k")
+    fresh = with_ordinal(added.join(known, "content", "left_anti"), ["_first", "content"], "_k")
     start = F.coalesce(notes.agg(F.max(F.col("note_id").try_cast("bigint"))).scalar(), F.lit(-1)) + 1
     new = fresh.select((start + F.col("_k")).cast("string").alias("note_id"), "content")
     return kept.unionByName(new)
