@@ -21,81 +21,96 @@ def clean_records(raw: DataFrame) -> DataFrame:
     column to text). All of it happens inside the row. Adds metrics_gt, metrics_raw and units
     maps, ``dropped`` (array of metric reasons) and ``drop_reason`` (null for kept records).
     """
-    reaction = canonical_reaction("reaction_type")
-    metals = sorted_symbols(F.coalesce("metals", F.array().cast("array<string>")))
-    staged = raw.withColumn("_r", reaction).withColumn("_metals", metals)
     allowed = F.map_from_arrays(
         F.array(*[F.lit(r) for r in K.REACTION_METRICS]),
         F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in K.REACTION_METRICS.values()]),
     )
-    scope = F.try_element_at(allowed, F.col("_r"))
     skip = F.array(*[F.lit(k) for k in K.NON_METRIC_KEYS])
     entries = F.filter(F.map_entries("metrics"), lambda e: ~F.array_contains(skip, e["key"]))
 
-    def judge(e: Column) -> Column:
-        def with_key(key: Column, value: Column) -> Column:
-            def with_norm(n: Column) -> Column:
+    def judged(reaction: Column, scope: Column) -> Column:
+        """Every metric with its canonical key, converted value and reject reason."""
+
+        def checked(raw_key: Column, key: Column, value: Column, early: Column, n: Column) -> Column:
+            reason = F.coalesce(early, F.when(n.isNull(), "unparseable_value"))
+            return F.struct(raw_key.alias("raw_key"), key.alias("key"), value.alias("raw"), n.alias("n"), reason.alias("reason"))
+
+        def converted(raw_key: Column, key: Column, value: Column, early: Column) -> Column:
+            """Values are converted only for metrics that are in scope."""
+            return let(checked, raw_key, key, value, early, F.when(early.isNull(), normalize_metric(value, key)))
+
+        def early_reason(key: Column, value: Column) -> Column:
+            return (
+                F.when(value.isNull(), "null_value")
+                .when(key == "", "empty_key")
+                .when(~F.array_contains(F.coalesce(scope, F.array(key)), key), "metric_not_in_scope")
+            )
+
+        return F.transform(
+            entries,
+            lambda e: let(
+                lambda key: let(converted, e["key"], key, e["value"], early_reason(key, e["value"])),
+                metric_key(e["key"], reaction),
+            ),
+        )
+
+    def assembled(reaction: Column, metals: Column, rows: Column) -> Column:
+        good = F.filter(rows, lambda m: m["reason"].isNull())
+        # A potential is preferred to an overpotential of the same record.
+        twice = (reaction == "UOR") & F.exists(good, lambda m: m["raw_key"] == "potential")
+        hidden = lambda m: F.coalesce(twice, F.lit(False)) & (m["raw_key"] == "overpotential")
+        shadowed = F.filter(good, hidden)
+
+        def finished(kept: Column) -> Column:
+            # Two raw columns may still meet in one key; the last one stands.
+            once = F.filter(
+                kept, lambda m, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["key"] == m["key"])
+            )
+
+            def maps(last: Column) -> Column:
+                pairs = lambda items, v: F.map_from_entries(F.transform(items, lambda m: F.struct(m["key"], v(m))))
+                dropped = F.concat(
+                    F.array_compact(F.transform(rows, lambda m: m["reason"])),
+                    F.transform(shadowed, lambda m: F.lit("duplicate_metric_prefer_potential")),
+                )
+                nameless = (F.size(metals) == 0) & (strip(text_or_empty(F.col("material_name"))) == "")
                 reason = (
-                    F.when(value.isNull(), "null_value")
-                    .when(key == "", "empty_key")
-                    .when(~F.array_contains(F.coalesce(scope, F.array(key)), key), "metric_not_in_scope")
-                    .when(n.isNull(), "unparseable_value")
+                    F.when(reaction.isNull(), "unknown_reaction_type")
+                    .when(nameless, "missing_material_identity")
+                    .when(F.size(last) == 0, "no_metrics_after_cleaning")
                 )
                 return F.struct(
-                    e["key"].alias("raw_key"), key.alias("key"), value.alias("raw"), n.alias("n"), reason.alias("reason")
+                    F.coalesce(reaction, F.col("reaction_type")).alias("reaction_type"),
+                    metals.alias("metals"),
+                    pairs(last, lambda m: metric_text(m["n"])).alias("metrics_gt"),
+                    pairs(last, lambda m: m["raw"]).alias("metrics_raw"),
+                    pairs(F.filter(last, lambda m: m["n"]["unit"].isNotNull()), lambda m: m["n"]["unit"]).alias("units"),
+                    dropped.alias("dropped"),
+                    reason.alias("drop_reason"),
                 )
 
-            return let(with_norm, normalize_metric(value, key))
-
-        return let(with_key, metric_key(e["key"], F.col("_r")), e["value"])
-
-    staged = staged.withColumn("_m", F.transform(entries, judge))
-    good = F.filter("_m", lambda m: m["reason"].isNull())
-    has_potential = F.exists(good, lambda m: m["raw_key"] == "potential")
-    staged = staged.withColumn("_good", good).withColumn("_pot", has_potential)
-    shadowed = lambda m: (F.col("_r") == "UOR") & (m["raw_key"] == "overpotential") & F.col("_pot")
-    staged = staged.withColumn("_kept", F.filter("_good", lambda m: ~shadowed(m)))
-    # Two raw columns may still meet in one key; the last one stands.
-    once = F.filter(
-        "_kept",
-        lambda m, i: ~F.exists(F.slice("_kept", i + 2, F.size("_kept")), lambda o: o["key"] == m["key"]),
-    )
-    staged = staged.withColumn("_once", once)
+            return let(maps, once)
 
-    def to_map(value) -> Column:
-        return F.map_from_entries(F.transform("_once", lambda m: F.struct(m["key"], value(m))))
+        return let(finished, F.filter(good, lambda m: ~hidden(m)))
 
-    with_unit = F.filter("_once", lambda m: m["n"]["unit"].isNotNull())
-    dropped = F.concat(
-        F.array_compact(F.transform("_m", lambda m: m["reason"])),
-        F.transform(F.filter("_good", shadowed), lambda m: F.lit("duplicate_metric_prefer_potential")),
-    )
-    nameless = (F.size("_metals") == 0) & (strip(text_or_empty(F.col("material_name"))) == "")
-    reason = (
-        F.when(F.col("_r").isNull(), "unknown_reaction_type")
-        .when(nameless, "missing_material_identity")
-        .when(F.size("_once") == 0, "no_metrics_after_cleaning")
-    )
-    return staged.select(
-        "id",
-        "source",
-        F.coalesce("_r", "reaction_type").alias("reaction_type"),
-        F.col("_metals").alias("metals"),
-        to_map(lambda m: metric_text(m["n"])).alias("metrics_gt"),
-        to_map(lambda m: m["raw"]).alias("metrics_raw"),
-        F.map_from_entries(F.transform(with_unit, lambda m: F.struct(m["key"], m["n"]["unit"]))).alias("units"),
-        dropped.alias("dropped"),
-        reason.alias("drop_reason"),
+    cleaned = let(
+        lambda reaction, metals: let(
+            lambda rows: assembled(reaction, metals, rows), judged(reaction, F.try_element_at(allowed, reaction))
+        ),
+        canonical_reaction("reaction_type"),
+        sorted_symbols(F.coalesce("metals", F.array().cast("array<string>"))),
     )
+    return raw.select("id", "source", cleaned.alias("_c")).select("id", "source", "_c.*")
 
 
 def drop_accounting(cleaned: DataFrame) -> DataFrame:
-    """Kept and dropped records and dropped metrics per source and reason."""
-    records = cleaned.select("source", F.lit("record").alias("kind"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"))
-    metrics = cleaned.where("drop_reason IS NULL OR drop_reason = 'no_metrics_after_cleaning'").select(
-        "source", F.lit("metric").alias("kind"), F.explode("dropped").alias("reason")
-    )
-    return records.unionByName(metrics).groupBy("source", "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Kept and dropped records and dropped metrics per source and reason, in one pass."""
+    outcome = F.struct(F.lit("record").alias("kind"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"))
+    # Metrics are only looked at once a record has a known reaction and an identity.
+    looked_at = F.coalesce("drop_reason", F.lit("")).isin("", "no_metrics_after_cleaning")
+    metrics = F.transform(F.filter("dropped", lambda r: looked_at), lambda r: F.struct(F.lit("metric").alias("kind"), r.alias("reason")))
+    rows = cleaned.select("source", F.explode(F.concat(F.array(outcome), metrics)).alias("o"))
+    return rows.groupBy("source", "o.kind", "o.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def product_truth(records: DataFrame) -> DataFrame:

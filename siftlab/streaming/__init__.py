@@ -1 +1 @@
-
+"""Incremental jobs as Structured Streaming."""
