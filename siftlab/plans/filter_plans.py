@@ -24,7 +24,7 @@ def flt2(t):
 
 _VAGUE = ("sample 3", "series of oxides", "rare-earth metal oxides", "Fe-based catalysts", "Co3-xO4", "Pt/C", "catalysts containing Ni", "(iv)", "La1-xSrxMnO3")
 _VAGUE_OUT = (
-    "anonymous_sample_code", "collective_or_variable_scope", "unspecified_constituent", "group_level_descriptor", "", "", "group_level_descriptor",
+    "anonymous_sample_code", "collective_or_variable_scope", "unspecified_constituent", "group_level_descriptor", "variable_composition_range", "", "group_level_descriptor",
     "anonymous_sample_code", "variable_composition_range",
 )
 
@@ -32,7 +32,7 @@ _VAGUE_OUT = (
 @query(
     "flt3_vague_name_flags",
     f"""with n as (select l_partkey % 9 as k, l_tax > 0.04 as e from lineitem)
-    select ({sql_list(_VAGUE)})[1 + k] as name, e as has_scope, case when k = 8 and not e then '' else ({sql_list(_VAGUE_OUT)})[1 + k] end as flags, count(*) as n from n group by all""",
+    select ({sql_list(_VAGUE)})[1 + k] as name, e as has_scope, case when k in (4, 8) and not e then '' else ({sql_list(_VAGUE_OUT)})[1 + k] end as flags, count(*) as n from n group by all""",
 )
 def flt3(t):
     has = F.col("l_tax") > 0.04
@@ -91,7 +91,7 @@ _GUIDE = (
 @query(
     "flt10_guideline_classes",
     f"""with g as (select l_partkey % 8 as k from lineitem) select ({sql_list(_GUIDE)})[1 + k] as guideline,
-      (['format', 'chemistry', 'method', 'chemistry', 'chemistry', 'format', 'method', 'format'])[1 + k] as class, count(*) as n from g group by all""",
+      (['format', 'chemistry', 'method', 'chemistry', 'chemistry', 'format', 'chemistry', 'format'])[1 + k] as class, count(*) as n from g group by all""",
 )
 def flt10(t):
     rows = t.lineitem.select(pick(_GUIDE, "l_partkey").alias("guideline"))

@@ -53,11 +53,10 @@ def inc2(t):
     incoming = _stream(t, "documents").select(F.sha2("text", 256).alias("id"), "doc_id", "text")
     schema = "id string, doc_id bigint, text string, embedding array<double>"
 
-    def embed(batch):
-        first = t.documents.select(F.sha2("text", 256).alias("id"), "doc_id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-        return batch.drop("doc_id").join(first, "id").select("id", "doc_id", "text", C.hash_embedding("text", 16).alias("embedding"))
+    def embed(fresh):
+        return fresh.select("id", "doc_id", "text", C.hash_embedding("text", 16).alias("embedding"))
 
-    J.append_missing(incoming, sink, check, "id", embed, schema)
+    J.append_missing(incoming, sink, check, "id", "doc_id", embed, schema)
     return J.read_sink(spark, sink, schema).where("embedding IS NOT NULL").select("id", "doc_id")
 
 

@@ -60,12 +60,17 @@ def earlier_rows(spark: SparkSession, path: str, schema, batch_id: int) -> DataF
     )
 
 
-def append_missing(stream: DataFrame, path: str, checkpoint: str, key: str, transform=lambda df: df, sink_schema=None) -> None:
-    """Incremental index: only keys the sink does not hold yet are transformed and appended."""
+def append_missing(
+    stream: DataFrame, path: str, checkpoint: str, key: str, order: str, transform=lambda df: df, sink_schema=None
+) -> None:
+    """Incremental index: only keys the sink does not hold yet are transformed and appended.
+
+    Of several rows with a key in one batch the first by ``order`` is taken.
+    """
     schema = sink_schema or stream.schema
 
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
-        fresh = batch.dropDuplicates([key])
+        fresh = best_per_group(batch, key, [F.col(order)])
         if batch_id > 0 and _exists(batch.sparkSession, path):
             known = earlier_rows(batch.sparkSession, path, schema, batch_id).select(key)
             fresh = fresh.join(known, key, "left_anti")
