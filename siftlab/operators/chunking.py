@@ -99,36 +99,42 @@ def with_chunk_ids(chunks: DataFrame, position: str) -> DataFrame:
     return marked.withColumn("chunk_id", chunk_id).drop("_base", "_first")
 
 
-def _add_up(dim: int):
-    def vectors(index, sign):
+def _hashed_vectors(dim: int):
+    """Arrow UDF: token lists to normalised signed counts. A token is hashed once per worker."""
+
+    def vectors(token_lists):
+        import hashlib
+
         import numpy as np
         import pandas as pd
 
-        def one(i, s):
-            v = np.bincount(np.asarray(i, dtype=np.int64), weights=np.asarray(s, dtype=float), minlength=dim)
+        codes = {}
+
+        def code(token):
+            digest = hashlib.sha256(token.encode("utf-8")).digest()
+            entry = int.from_bytes(digest[:4], "big") % dim + 1
+            codes[token] = -entry if digest[4] & 1 else entry
+            return codes[token]
+
+        def one(tokens):
+            c = np.fromiter((codes.get(t) or code(t) for t in tokens), dtype=np.int64, count=len(tokens))
+            v = np.bincount(np.abs(c) - 1, weights=np.sign(c), minlength=dim).astype(float)
             norm = np.linalg.norm(v)
             return v / norm if norm > 0 else v
 
-        return pd.Series([one(i, s) if i is not None else None for i, s in zip(index, sign)])
+        return pd.Series([one(t) if t is not None else None for t in token_lists])
 
-    return F.pandas_udf(vectors, T.ArrayType(T.DoubleType()))
+    # Marked so that the optimizer does not evaluate it again in filters it derives from a generator.
+    return F.pandas_udf(vectors, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
 def hash_embedding(c, dim: int = 256) -> Column:
     """Signed feature hashing of the keyword tokens, L2-normalised; zero vector without tokens.
 
-    Tokenising and hashing stay in the JVM, one Arrow UDF adds the entries up. No shuffle.
+    Entry and sign come from the first five bytes of the token's SHA-256. Tokens are cut in the
+    JVM, the rest is one Arrow UDF. No shuffle.
     """
-    dim = max(8, dim)
-    digests = F.transform(keyword_tokens(as_col(c), K.STOPWORDS), lambda t: F.sha2(t, 256))
-    index = F.transform(
-        digests, lambda d: F.pmod(F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    )
-    sign = F.transform(
-        digests,
-        lambda d: F.when(F.pmod(F.conv(F.substring(d, 9, 2), 16, 10).cast("int"), F.lit(2)) == 1, -1.0).otherwise(1.0),
-    )
-    return _add_up(dim)(index, sign)
+    return _hashed_vectors(max(8, dim))(keyword_tokens(as_col(c), K.STOPWORDS))
 
 
 def embed_with(df: DataFrame, id_col: str, text_col: str, embedder: Callable[[list[str]], list], batch: int = 32) -> DataFrame:

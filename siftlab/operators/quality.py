@@ -147,12 +147,14 @@ def select_candidates(obs: DataFrame, complete: Column | None = None) -> DataFra
     """
     complete = F.lit(True) if complete is None else complete
     keyed = obs.withColumn("_pos", position_key())
-    best = best_per_group(keyed, EXACT, best_order())
-    labels = best.groupBy(*CONTEXT).agg(F.min("label_key").alias("_lo"), F.max("label_key").alias("_hi"))
-    judged = best.join(labels.where("_lo <> _hi").drop("_lo", "_hi").withColumn("_bad", F.lit(True)), CONTEXT, "left")
+    # Only what the decision needs is grouped; the rest of the row stays where it is.
+    slim = keyed.select(*EXACT, *POSITION, "status", "_pos", complete.alias("_complete"))
+    best = best_per_group(slim, EXACT, best_order())
+    labels = obs.select(*EXACT).distinct().groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("_n"))
+    judged = best.join(labels.where("_n > 1").select(*CONTEXT, F.lit(True).alias("_bad")), CONTEXT, "left")
     outcome = (
         F.when(F.col("_bad"), "conflicting_context")
-        .when((status_rank() >= 1) & complete, "selected")
+        .when((status_rank() >= 1) & F.col("_complete"), "selected")
         .otherwise("manual_review_or_missing_minimum_fields")
     )
     marked = judged.select("_pos", outcome.alias("_outcome"))

@@ -194,7 +194,7 @@ def agg26_shares(t):
 
 # Model responses derived from lineitem: truth is the quantity, the response varies by line.
 def _responses(t):
-    li = t.lineitem
+    li = t.wide("lineitem")
     q = F.col("l_quantity")
     kind = F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.lit(8))
     value = F.when(F.col("l_linenumber") <= 5, text(q)).otherwise(text(q + 1))

@@ -18,7 +18,7 @@ _GEN = ("Catalyst", " the  sample ", "prepared materials", "Pt/C", "N/A", "Unkno
     select name, k not in (3, 7) as generic, count(*) as n from n group by all""",
 )
 def flt2(t):
-    rows = t.lineitem.select(pick(_GEN, "l_partkey").alias("name"))
+    rows = t.wide("lineitem").select(pick(_GEN, "l_partkey").alias("name"))
     return rows.withColumn("generic", names.is_generic_name("name")).groupBy("name", "generic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -36,7 +36,7 @@ _VAGUE_OUT = (
 )
 def flt3(t):
     has = F.col("l_tax") > 0.04
-    rows = t.lineitem.select(pick(_VAGUE, "l_partkey").alias("name"), has.alias("has_scope"), F.when(has, "over a composition range").otherwise("one sample").alias("ev"))
+    rows = t.wide("lineitem").select(pick(_VAGUE, "l_partkey").alias("name"), has.alias("has_scope"), F.when(has, "over a composition range").otherwise("one sample").alias("ev"))
     out = rows.withColumn("flags", F.array_join(names.vague_name_reasons("name", "ev"), ","))
     return out.groupBy("name", "has_scope", "flags").agg(F.count(F.lit(1)).alias("n"))
 
@@ -53,7 +53,7 @@ _FIVE = ("photocatalytic_h2o2", "furfural_hydrogenation", "thermoelectric", "ant
 )
 def flt4(t):
     k = F.pmod("l_suppkey", F.lit(4))
-    rows = t.lineitem.select(
+    rows = t.wide("lineitem").select(
         pick(_FIVE, "l_partkey").alias("task_type"),
         k.alias("k"),
         F.when(k == 0, "high").when(k == 1, "12.5").otherwise("~12.5 %").alias("v"),
@@ -77,7 +77,7 @@ _COND_OUT = ("ok", "ok", "mismatch", "unknown", "unknown", "ok")
     select m as metric, c as condition, st as condition_status, count(*) as n from r where not (m like '%10mAcm-2' and st <> 'ok') group by all""",
 )
 def flt5(t):
-    rows = t.lineitem.select(pick(_COND, "l_partkey").alias("condition"), pick(("overpotential_10mAcm-2", "mass_activity"), "l_suppkey").alias("metric"))
+    rows = t.wide("lineitem").select(pick(_COND, "l_partkey").alias("condition"), pick(("overpotential_10mAcm-2", "mass_activity"), "l_suppkey").alias("metric"))
     out = RC.condition_gate(rows, "metric", "condition", require_ok=True)
     return out.groupBy("metric", "condition", "condition_status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -94,7 +94,7 @@ _GUIDE = (
       (['format', 'chemistry', 'method', 'chemistry', 'chemistry', 'format', 'chemistry', 'format'])[1 + k] as class, count(*) as n from g group by all""",
 )
 def flt10(t):
-    rows = t.lineitem.select(pick(_GUIDE, "l_partkey").alias("guideline"))
+    rows = t.wide("lineitem").select(pick(_GUIDE, "l_partkey").alias("guideline"))
     return rows.withColumn("class", NT.guideline_class("guideline")).groupBy("guideline", "class").agg(F.count(F.lit(1)).alias("n"))
 
 

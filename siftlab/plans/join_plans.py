@@ -346,7 +346,7 @@ def jon10(t):
         F.col("p_brand").alias("scope"), title_key(F.concat(F.lit("**"), F.initcap("p_name"), F.lit("**"))).alias("key"),
         F.concat(F.lit("10.9/"), text("p_partkey")).alias("doi"),
     )
-    joined = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    joined = t.wide("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     q = F.col("l_quantity")
     title = (
         F.when(q > 40, F.concat(F.col("p_name"), F.lit(": a study")))

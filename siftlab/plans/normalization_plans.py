@@ -46,7 +46,7 @@ def nrm1(t):
     )
     # The backtick case keeps its closing mark in the join profile, which strips marks before dots.
     raw = F.when(k == 3, F.concat(c, F.lit(".,;"))).otherwise(raw)
-    rows = t.documents.select("doc_id", raw.alias("raw"))
+    rows = t.wide("documents").select("doc_id", raw.alias("raw"))
     return rows.select(
         "doc_id",
         ids.canonical_doi("raw", "join").alias("joined"),
@@ -85,7 +85,7 @@ def _value_text():
 )
 def nrm3(t):
     body, _ = _value_text()
-    s = t.lineitem.select(_li_id(), N.numeric_struct(body).alias("s"))
+    s = t.wide("lineitem").select(_li_id(), N.numeric_struct(body).alias("s"))
     return s.select("id", "s.value", "s.comparator")
 
 
@@ -102,7 +102,7 @@ def nrm3(t):
 def nrm4(t):
     body, _ = _value_text()
     metric = F.when(F.col("task_type") == "HOR", "exchange_current_density").otherwise("m")
-    rows = t.lineitem.select(pick(K.TASKS, "l_orderkey").alias("task_type"), body.alias("v"))
+    rows = t.wide("lineitem").select(pick(K.TASKS, "l_orderkey").alias("task_type"), body.alias("v"))
     out = rows.select("task_type", N.unit_suffix("v").alias("unit"), N.truth_unit_contract("task_type", metric, "v").alias("contract"))
     return out.groupBy("task_type", "unit", "contract").agg(F.count(F.lit(1)).alias("n"))
 
@@ -139,7 +139,7 @@ _KEYS6 = ("overpotential_10mAcm-2", "half_wave_potential", "exchange_current_den
     select q, u, k, round(number, 6)::double as number, case when number is not null then unit end as unit, count(*) as n from c group by all""",
 )
 def nrm6(t):
-    rows = t.lineitem.select(
+    rows = t.wide("lineitem").select(
         F.col("l_quantity").cast("int").alias("q"), pick(_UNITS6, "l_partkey").alias("u"), pick(_KEYS6, "l_suppkey").alias("k")
     )
     out = rows.withColumn("m", U.normalize_metric(F.concat(text("q"), F.col("u")), "k"))
@@ -163,7 +163,7 @@ def _raw_records(t):
             none,
         ),
     )
-    return t.lineitem.select(
+    return t.wide("lineitem").select(
         _li_id(),
         F.col("l_returnflag").alias("source"),
         pick(_REACT7, "l_partkey").alias("reaction_type"),
@@ -218,7 +218,7 @@ def nrm8(t):
         k == 0,
         F.array(item("partial", "co", F.lit("~-12.5 mA·cm−2")), item("partial", "CO", F.lit("2 mA/cm2")), item("total", "", F.lit("0.2 A cm-2"))),
     ).otherwise(F.array(item("total", "other", F.lit("200 mA cm^-2")), item("total", "", F.lit("broken"))))
-    rows = t.orders.select(
+    rows = t.wide("orders").select(
         F.col("o_orderkey").alias("id"),
         F.array(F.when(k == 3, "H2").otherwise(" carbon  monoxide"), F.lit("formate"), F.lit("CH4")).alias("product"),
         F.array(F.concat(text(a), F.lit(" %")), F.concat(F.lit("≈"), text(b), F.lit("%")), F.lit("trace")).alias("faradaic_efficiency"),
@@ -250,7 +250,7 @@ def _property_sql(expr: str) -> str:
     ),
 )
 def nrm9(t):
-    rows = t.lineitem.select(
+    rows = t.wide("lineitem").select(
         F.col("l_quantity").cast("int").alias("q"), pick(_UNITS9, "l_partkey").alias("u"), pick(K.MATERIAL_TASKS, "l_suppkey").alias("p")
     )
     out = rows.withColumn("value", F.round(U.property_value("p", F.concat(text("q"), F.col("u"))), 6))
@@ -270,7 +270,7 @@ _UNITS10 = ("", " %", " percent", " mS / cm", " S m^−1", " W/(m K)", " emu g-1
       else case when u in ('', ' emu g-1') then q || '.25 emu/g' end end as value, count(*) as n from v group by all""",
 )
 def nrm10(t):
-    rows = t.lineitem.select(
+    rows = t.wide("lineitem").select(
         F.col("l_quantity").cast("int").alias("q"), pick(_UNITS10, "l_partkey").alias("u"), pick(tuple(K.EXTRACTION_SCHEMAS), "l_suppkey").alias("p")
     )
     out = rows.withColumn("value", U.strict_property_text("p", F.concat(text("q"), F.lit(".250"), F.col("u"))))
@@ -292,7 +292,7 @@ def nrm11(t):
     shown = F.when(d == 0, raw).when(d == 1, F.concat(F.lit("  "), F.initcap(F.replace(raw, F.lit(" "), F.lit("_"))), F.lit(" "))).otherwise(
         F.upper(F.replace(raw, F.lit(" "), F.lit("  ")))
     )
-    rows = t.lineitem.select(F.pmod("l_partkey", F.lit(len(_ALIASES))).alias("i"), d.cast("bigint").alias("d"), TK.canonical_task(shown).alias("task"))
+    rows = t.wide("lineitem").select(F.pmod("l_partkey", F.lit(len(_ALIASES))).alias("i"), d.cast("bigint").alias("d"), TK.canonical_task(shown).alias("task"))
     return rows.groupBy("i", "d", "task").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -438,7 +438,7 @@ def nrm21(t):
     k = F.pmod("doc_id", F.lit(5))
     body = F.replace(F.replace(F.col("text"), F.lit("["), F.lit("")), F.lit("doi"), F.lit("dio"))
     plain = ~body.rlike(r"(?m)^\s*(\d{1,3}[.)]\s+\S|.*\b(19|20)\d{2}[a-z]?\b)") & ~body.rlike("(?i)reference|acknowledgement")
-    rows = t.documents.where(plain).select("doc_id", k.alias("k"), F.concat(body, pick(_REFS, "doc_id")).alias("text"))
+    rows = t.wide("documents").where(plain).select("doc_id", k.alias("k"), F.concat(body, pick(_REFS, "doc_id")).alias("text"))
     out = rows.select("doc_id", "k", D.drop_references("text").alias("kept"))
     # The heading cases leave the line break before the heading.
     return out.select("doc_id", "k", F.md5("kept").alias("digest"))
@@ -462,7 +462,7 @@ def nrm22(t):
         .when(k == 5, F.concat(F.lit("\nReferences\nhttps://doi.org/10.1234/ref"), d))
         .otherwise("")
     )
-    rows = t.documents.where((F.col("n_chars") < 7000) | (k < 3)).select("doc_id", F.concat(head, F.col("text"), tail).alias("text"))
+    rows = t.wide("documents").where((F.col("n_chars") < 7000) | (k < 3)).select("doc_id", F.concat(head, F.col("text"), tail).alias("text"))
     return rows.select("doc_id", D.document_doi("text").alias("doi"))
 
 
@@ -481,7 +481,7 @@ def nrm23(t):
         .when(k == 2, F.concat(F.lit("**Short**\n**A bold enough title "), src, F.lit("**")))
         .otherwise(F.concat(F.lit("# Abstract\nTitle： `Named` "), lang))
     )
-    clean = t.documents.where(~F.col("text").contains("**") & ~F.col("text").contains("#"))
+    clean = t.wide("documents").where(~F.col("text").contains("**") & ~F.col("text").contains("#"))
     rows = clean.select("doc_id", D.title_candidates(F.concat(head, F.lit("\n"), F.col("text"))).alias("c"))
     first = F.try_element_at("c", F.lit(1))
     return rows.select("doc_id", first.alias("title"), D.title_key(F.try_element_at(D.title_variants(first), F.lit(-1))).alias("last_variant"))
@@ -534,7 +534,7 @@ def nrm26(t):
     claim = F.concat(
         F.lit("Task Type: x\nPerformance Metrics: 1 V\nPerformance Metrics (final): "), body, F.lit("\nEvidence: llm")
     )
-    rows = t.lineitem.where((line != 4) | (q > 1)).select(_li_id(), pick(_CLAIM_TASKS, "l_partkey").alias("task_type"), claim.alias("claim"))
+    rows = t.wide("lineitem").where((line != 4) | (q > 1)).select(_li_id(), pick(_CLAIM_TASKS, "l_partkey").alias("task_type"), claim.alias("claim"))
     out = rows.withColumn("m", CL.claim_metric("task_type", CL.metric_line("claim")))
     product = F.when(F.col("task_type") == "CO2RR", CL.claim_product("claim", CL.metric_line("claim")))
     return out.select("id", "task_type", F.round("m.value", 6).alias("value"), F.col("m.unit").alias("unit"), product.alias("product"))
@@ -554,7 +554,7 @@ def nrm27(t):
         .when(k == 2, F.concat(F.lit("at "), text(a), F.lit(".0–"), text(a), F.lit(".5 V")))
         .otherwise(F.concat(text(a), F.lit(" mV")))
     )
-    rows = t.lineitem.select(k.alias("k"), pick(("HER", "ORR", "conductivity"), "l_suppkey").alias("task_type"), a.alias("a"), b.alias("b"), metric.alias("m"))
+    rows = t.wide("lineitem").select(k.alias("k"), pick(("HER", "ORR", "conductivity"), "l_suppkey").alias("task_type"), a.alias("a"), b.alias("b"), metric.alias("m"))
     out = rows.withColumn("shown", CL.single_point("m", "task_type"))
     return out.groupBy("k", "task_type", "a", "b", "shown").agg(F.count(F.lit(1)).alias("n"))
 
@@ -622,7 +622,7 @@ def nrm30(t):
 def nrm32(t):
     doc = F.concat(F.lit("**10.1000/X"), text("l_partkey"), F.lit("`**"))
     raw = F.concat(F.lit(' "'), ids.citation_id(F.concat(F.lit("c"), text("l_suppkey")), doc, F.col("l_linenumber")), F.lit(').,'))
-    rows = t.lineitem.select(_li_id(), ids.normalize_citation(raw).alias("citation"))
+    rows = t.wide("lineitem").select(_li_id(), ids.normalize_citation(raw).alias("citation"))
     return rows.select("id", "citation", ids.parse_citation("citation")["chunk"].alias("chunk"))
 
 
@@ -679,7 +679,7 @@ def _label_rows(t):
             entry(F.concat(F.when(F.col("l_discount") > 0.05, "< ").otherwise(""), q, F.lit(".5 %")), F.lit("%")),
         ),
     )
-    return t.lineitem.select(_li_id(), pick(("HOR", "HER"), "l_orderkey").alias("task_type"), metrics.alias("metrics"))
+    return t.wide("lineitem").select(_li_id(), pick(("HOR", "HER"), "l_orderkey").alias("task_type"), metrics.alias("metrics"))
 
 
 _LABEL_SQL = f"""l as (select {_LI_ID} as id, (['HOR', 'HER'])[1 + l_orderkey % 2] as task_type, {_Q} as q, l_tax > 0.04 as b1, l_linestatus = 'F' as area, l_discount > 0.05 as b2 from lineitem),
@@ -726,7 +726,7 @@ def nrm36(t):
     q = text(F.col("l_quantity").cast("int"))
     has = F.col("l_tax") > 0.04
     evidence = F.when(has, F.concat(F.lit("S. aureus, E. coli; 420 nm, "), q, F.lit(" nm; 3 h at "), q, F.lit(" BAR; 420  nm".replace("420  nm", "x")))).otherwise("nothing")
-    rows = t.lineitem.select(
+    rows = t.wide("lineitem").select(
         pick(_CTX_TASKS, "l_partkey").alias("task_type"), F.col("l_quantity").cast("int").alias("q"), has.alias("has"), evidence.alias("evidence"),
         F.when(has, F.concat(q, F.lit(" K"))).alias("temperature"),
     )

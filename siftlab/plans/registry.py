@@ -8,6 +8,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlab.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -25,6 +27,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """The table on all cores, for work that is heavy per row."""
+        return spread(getattr(self, name))
+
 
 @dataclass(frozen=True)
 class Query:

@@ -22,7 +22,7 @@ _Q_TOK = "qt as (select distinct item_id, t from (" + _TOK.format(id="item_id",
     from dt group by t""",
 )
 def agg34(t):
-    return R.idf_table(t.documents, "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return R.idf_table(t.wide("documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
 
 
 @query(
@@ -35,7 +35,7 @@ def agg34(t):
     select item_id, doc_id, round(sim, 6) as similarity, rank::int as rank from r where rank <= 5""",
 )
 def top3(t):
-    out = R.keyword_rank(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", 5)
+    out = R.keyword_rank(t.wide("documents"), t.benchmark, "doc_id", "text", "item_id", "text", 5)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -61,7 +61,7 @@ def _hit(word: str) -> str:
     from r where rank <= 10""",
 )
 def top4(t):
-    docs = t.documents.withColumn("title", F.concat_ws(" ", "source", "lang"))
+    docs = t.wide("documents").withColumn("title", F.concat_ws(" ", "source", "lang"))
     return R.substring_search(docs, _SEARCHES, "doc_id", "title", "text", 10)
 
 
@@ -170,7 +170,7 @@ _LINES = r"""ln as (select doc_id, lang, unnest(string_split(text, chr(10))) as
 
 
 def _lines(t):
-    return t.documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "chunk")).withColumn(
+    return t.wide("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "chunk")).withColumn(
         "quality", chunk_quality("chunk")
     )
 
@@ -208,7 +208,7 @@ _CHUNK_SQL = r"""src as (select doc_id, lang, source, regexp_replace('# ' || sou
 
 
 def _chunks(t):
-    docs = t.documents.withColumn("text", F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text")))
+    docs = t.wide("documents").withColumn("text", F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text")))
     return C.chunk_documents(docs.select("doc_id", "lang", "text"), "doc_id", "text")
 
 
@@ -253,7 +253,7 @@ _HASH_OUT = f"with {_HASH_SQL} select doc_id, idx, round(s / n, 6) as w from hv
 
 @query("vec3_hash_embedding", _HASH_OUT)
 def vec3(t):
-    return _long(t.documents.select("doc_id", C.hash_embedding("text", 64).alias("embedding")))
+    return _long(t.wide("documents").select("doc_id", C.hash_embedding("text", 64).alias("embedding")))
 
 
 def _python_hash_embedder(dim: int, stopwords: tuple):
@@ -281,7 +281,7 @@ def _python_hash_embedder(dim: int, stopwords: tuple):
 
 @query("udf3_pluggable_embedder", _HASH_OUT)
 def udf3(t):
-    return _long(C.embed_with(t.documents, "doc_id", "text", _python_hash_embedder(64, tuple(K.STOPWORDS))))
+    return _long(C.embed_with(t.wide("documents"), "doc_id", "text", _python_hash_embedder(64, tuple(K.STOPWORDS))))
 
 
 @query(

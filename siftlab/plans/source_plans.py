@@ -21,7 +21,7 @@ def _raw_lines(t):
         .when(F.pmod(k, F.lit(13)) == 0, "[1, 2]")
         .otherwise(F.concat(F.lit(" "), F.col("props")))
     )
-    return t.events.select(pick(_FILES, "user_id").alias("file_name"), line.alias("line"))
+    return t.wide("events").select(pick(_FILES, "user_id").alias("file_name"), line.alias("line"))
 
 
 _LINE_SQL = f"""ln as (select ({sql_list(K.FILE_TASKS.values())})[1 + user_id % 19] as task_type, json_extract_string(props, '$.k')::bigint as k from events),
@@ -63,7 +63,7 @@ def _truth_frames(t):
             text("o_orderkey").alias("id"),
         ).alias("meta")
     )
-    li = t.lineitem
+    li = t.wide("lineitem")
     q = text(F.col("l_quantity").cast("int"))
     rows = li.select(
         pick((*_PROPS, "other"), "l_partkey").alias("_schema"),
@@ -142,7 +142,7 @@ def src5(t):
         .otherwise(F.concat(F.lit("/data/x/"), d))
     )
     head = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("DOI: 10.1234/ABC."), d, F.lit(".\n"))).otherwise("")
-    files = t.documents.select(F.concat(path, F.lit(".md")).alias("path"), F.concat(head, F.col("text")).alias("text"))
+    files = t.wide("documents").select(F.concat(path, F.lit(".md")).alias("path"), F.concat(head, F.col("text")).alias("text"))
     out = TB.identify_documents(files)
     return out.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("bigint").alias("doc_id"), "reaction_type", F.col("doc_id").alias("resolved"))
 
@@ -218,7 +218,7 @@ def _trace_json(t):
     top = F.struct(
         F.when(F.col("o_orderstatus") == "F", o).alias("debate_id"), F.concat(F.lit("exp-"), o).alias("experiment_id"), result.alias("result")
     )
-    return RS.parse_traces(t.orders.select(F.to_json(top).alias("j")), "j")
+    return RS.parse_traces(t.wide("orders").select(F.to_json(top).alias("j")), "j")
 
 
 _TRACE_SQL = f"""tr as (select case when o_orderstatus = 'F' then o_orderkey::varchar else 'exp-' || o_orderkey end as debate_id, {sql_pick(K.REACTION_TASKS, 'o_custkey')} as reaction_type,
@@ -284,7 +284,7 @@ def _batch(t):
             ).alias("response"),
         )
     )
-    lines = t.lineitem.select(F.when(k == 0, '{"custom_id": ').otherwise(body).alias("line"))
+    lines = t.wide("lineitem").select(F.when(k == 0, '{"custom_id": ').otherwise(body).alias("line"))
     requests = t.orders.select(
         text("o_orderkey").alias("custom_id"), F.col("o_orderkey").alias("row_number"),
         F.when(F.col("o_orderstatus") == "P", "  ").otherwise(F.concat(F.lit("10.7/"), text("o_orderkey"))).alias("doi"),

@@ -63,6 +63,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before CPU-heavy row work.
+
+    A table of many files has far more partitions than cores and is left alone, so this costs
+    nothing at scale; a small single-file table would otherwise run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, the figure Spark itself uses to decide on broadcasts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -8,7 +8,7 @@ from siftlab.functions import fixed as K
 from siftlab.functions.text import blank_to_null, first_match, let, strip, text_or_empty
 from siftlab.functions.units import strict_property_text
 
-RESPONSE = "custom_id string, response struct<status_code:int, body:struct<choices:array<struct<message:struct<content:string>>>>>"
+RESPONSE = "_corrupt string, custom_id string, response struct<status_code:int, body:struct<choices:array<struct<message:struct<content:string>>>>>"
 ANSWER = "map<string,string>"
 
 
@@ -63,14 +63,14 @@ def classify_responses(lines: DataFrame, requests: DataFrame, prop: str) -> Data
     ``lines`` has line; ``requests`` custom_id, row_number, doi. Outcomes: batch_json_decode_error,
     batch_http_error, an answer reason, missing_doi or kept.
     """
-    item = F.from_json("line", RESPONSE)
-    parsed = lines.where(strip("line") != "").select("line", F.try_parse_json(strip("line")).isNotNull().alias("_ok"), item.alias("_i"))
+    item = F.from_json("line", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.where(strip("line") != "").select("line", item.alias("_i"))
     joined = parsed.withColumn("custom_id", F.col("_i.custom_id")).join(requests, "custom_id", "left")
     content = F.coalesce(F.try_element_at("_i.response.body.choices", F.lit(1))["message"]["content"], F.lit(""))
     judged = joined.withColumn("content", content).withColumn("_a", _answer(F.col("content"), prop))
     doi = blank_to_null(F.col("doi"))
     outcome = (
-        F.when(~F.col("_ok"), "batch_json_decode_error")
+        F.when(F.col("_i._corrupt").isNotNull(), "batch_json_decode_error")
         .when(F.coalesce(F.col("_i.response.status_code"), F.lit(0)) != 200, "batch_http_error")
         .when(F.col("_a.reason") != "kept", F.col("_a.reason"))
         .when(doi.isNull(), "missing_doi")
