@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.functions.names import is_generic_name, name_key
+from siftlab.session import materialize
 
 DOC = ["task_type", "doi"]
 
@@ -55,7 +56,7 @@ def unambiguous_targets(records: DataFrame, truth: DataFrame) -> DataFrame:
     The number of targets of such a record is its number of contexts. Conflicting documents stay
     out: their records are reported once by :func:`truth_join`.
     """
-    matched = truth_join(records, truth).where(~F.col("has_conflict") & (F.col("n_targets") > 0))
+    matched = materialize(truth_join(records, truth).where(~F.col("has_conflict") & (F.col("n_targets") > 0)), "matched")
     distinct = truth.select(*DOC, "row_number", "context", "label").distinct()
     by_row = matched.where("join_mode = 'task_doi_row'").join(distinct, [*DOC, "row_number"])
     by_doc = matched.where("join_mode = 'task_doi'").join(distinct.drop("row_number").distinct(), DOC)
@@ -80,6 +81,7 @@ def bind_by_elements(targets: DataFrame, materials: DataFrame, doc: str = "doi")
     sets = materials.withColumn("eset", key("elements")).groupBy(doc, "eset").agg(
         F.count(F.lit(1)).alias("n"), F.min("material_index").alias("material_index")
     )
+    sets = materialize(sets, "sets")
     wanted = targets.withColumn("eset", key("elements"))
     distinct = wanted.where("eset <> ''").select(doc, "eset").distinct()
     exact = distinct.join(sets, [doc, "eset"]).where("n = 1").select(
@@ -136,7 +138,11 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
         F.min("material_index").alias("material_index"),
         F.max(F.col("generic").cast("int")).alias("generic"),
     )
-    asked = extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence"))
+    # Both sides are read several times below, so their keys are computed once.
+    names = materialize(names, "names")
+    asked = materialize(
+        extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence")), "asked"
+    )
 
     def counted(hits: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
         return hits.groupBy(*keys).agg(

@@ -69,8 +69,8 @@ def hash_key(seed: object, *cols) -> Column:
 def take_quota(df: DataFrame, by, digest: str, tie: str, quota, digits: int = 3) -> DataFrame:
     """The first ``quota`` rows of every group in (digest, tie) order, exactly.
 
-    ``digest`` is a uniform hex string. Counts per (group, leading digits) locate the one bucket
-    in which the quota ends, so only that bucket is ranked; all earlier buckets are kept whole.
+    ``digest`` is a uniform hex string. Counts per (group, leading digits) tell how many rows each
+    bucket still gives, so rows are ranked inside small buckets and later buckets are dropped early.
     ``quota`` is an int or the name of a column that is constant inside the group.
     """
     groups = _as_list(by)
@@ -80,14 +80,10 @@ def take_quota(df: DataFrame, by, digest: str, tie: str, quota, digits: int = 3)
     # At most 16**digits rows per group.
     earlier = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cut = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_before < _quota")
-    cut = cut.select(*groups, "_b", (F.col("_quota") - F.col("_before")).alias("_room"), "_n")
-    near = bucketed.join(cut, [*groups, "_b"])
-    whole = near.where("_n <= _room")
-    ranked = near.where("_n > _room").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(digest, tie))
-    )
-    edge = ranked.where("_rn <= _room").drop("_rn")
-    return whole.unionByName(edge).drop("_b", "_room", "_n")
+    cut = cut.select(*groups, "_b", (F.col("_quota") - F.col("_before")).alias("_room"))
+    inside = Window.partitionBy(*groups, "_b").orderBy(digest, tie)
+    ranked = bucketed.join(cut, [*groups, "_b"]).withColumn("_rn", F.row_number().over(inside))
+    return ranked.where("_rn <= _room").drop("_b", "_room", "_rn")
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> DataFrame:

@@ -67,8 +67,9 @@ def _allocate(
     parts: list[DataFrame] = []
     for g in order:
         rows = pool.where(F.col(group) == F.lit(g))
-        for done in parts:
-            rows = rows.join(done.select(doc), doc, "left_anti")
+        if parts:
+            used = reduce(lambda a, b: a.unionByName(b), [done.select(doc) for done in parts])
+            rows = rows.join(used, doc, "left_anti")
         # Earlier picks are written tables, so every step starts from a scan.
         chosen = materialize(take_quota(rows, group, "_h", id_col, total), "allocation")
         if strict:
@@ -77,18 +78,13 @@ def _allocate(
                 raise ValueError(f"not enough article-disjoint rows for {g}: {n}/{total}")
         parts.append(chosen)
     picked = reduce(lambda a, b: a.unionByName(b), parts)
-    # Within a group the first quota takes the first rows in digest order, and so on. One group
-    # never exceeds the sum of the quotas, which is the sample size asked for.
-    out, start = [], 0
-    for name, quota in quotas.items():
-        upto = take_quota(picked, group, "_h", id_col, start + quota)
-        part = upto
-        if start:
-            earlier = take_quota(picked, group, "_h", id_col, start).select(id_col)
-            part = upto.join(earlier, id_col, "left_anti")
-        out.append(part.withColumn("split", F.lit(name)))
-        start += quota
-    return reduce(lambda a, b: a.unionByName(b), out).drop("_h")
+    # Within a group the first quota takes the first rows in digest order, the next one the next.
+    ranked = with_group_ordinal(picked, group, ["_h", id_col], "_k")
+    split, upto = F.lit(None).cast("string"), total
+    for name, quota in reversed(list(quotas.items())):
+        upto -= quota
+        split = F.when(F.col("_k") < upto + quota, name).otherwise(split) if upto + quota < total else F.lit(name)
+    return ranked.withColumn("split", split).drop("_k", "_h")
 
 
 def disjoint_sample(
