@@ -292,7 +292,7 @@ def nrm11(t):
     shown = F.when(d == 0, raw).when(d == 1, F.concat(F.lit("  "), F.initcap(F.replace(raw, F.lit(" "), F.lit("_"))), F.lit(" "))).otherwise(
         F.upper(F.replace(raw, F.lit(" "), F.lit("  ")))
     )
-    rows = t.wide("lineitem").select(F.pmod("l_partkey", F.lit(len(_ALIASES))).alias("i"), d.cast("bigint").alias("d"), TK.canonical_task(shown).alias("task"))
+    rows = t.wide("lineitem").select(F.pmod("l_partkey", F.lit(len(_ALIASES))).alias("i"), d.cast("int").alias("d"), TK.canonical_task(shown).alias("task"))
     return rows.groupBy("i", "d", "task").agg(F.count(F.lit(1)).alias("n"))
 
 
