@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.text import strip, text_or_empty
+from siftlab.operators.ordinals import with_group_ordinal
 
 
 def best_configuration(reports: DataFrame, order: list[Column], required_tasks: int = len(K.TASKS)) -> DataFrame:
@@ -27,19 +28,19 @@ def grade_rank(c) -> Column:
 def rank_tasks(items: DataFrame, by: list[str], position: str = "pos") -> DataFrame:
     """Order items by grade, then by having a metric, errors last, input order in ties.
 
-    ``by`` names one ranking (a request with its handful of tasks). Adds ``rank`` and
-    ``normalized_score``.
+    ``by`` names one ranking. Every item gets a rank, so the ranks come from range partitions and
+    a ranking may have any size. Adds ``rank`` and ``normalized_score``.
     """
     failed = strip(text_or_empty("error")) != ""
     grade = F.when(failed, F.lit(-1)).otherwise(grade_rank("grade"))
     has = F.when(failed, F.lit(0)).otherwise(F.col("metric_value").isNotNull().cast("int"))
     ranked = items.withColumn("_g", grade).withColumn("_h", has)
-    order = Window.partitionBy(*by).orderBy(F.desc("_g"), F.desc("_h"), F.col(position))
     raw = grade_rank("grade")
+    numbered = with_group_ordinal(ranked, by, [F.desc("_g"), F.desc("_h"), F.col(position)], "_k")
     return (
-        ranked.withColumn("rank", F.row_number().over(order))
+        numbered.withColumn("rank", (F.col("_k") + 1).cast("int"))
         .withColumn("normalized_score", F.when(raw >= 0, raw / 4.0))
-        .drop("_g", "_h")
+        .drop("_g", "_h", "_k")
     )
 
 

@@ -8,7 +8,10 @@ from siftlab.functions import fixed as K
 from siftlab.functions.text import keyword_tokens, let, squeeze, text_or_empty
 from siftlab.operators.joins import broadcast_if_small
 from siftlab.operators.ordinals import top_per_group
-from siftlab.session import materialize, plan_size_bytes
+from siftlab.session import materialize, measured
+
+# Estimated size of the vectors or queries of one cell of the block join.
+CELL_BYTES = 16 * 1024 * 1024
 
 # Query vectors up to this size are shipped to every task; more of them are searched as a grid.
 MAX_QUERY_BYTES = 32 * 1024 * 1024
@@ -136,8 +139,8 @@ def vector_top_k(
     ``vectors`` has id, embedding, doc_id, task_type; ``queries`` qid, embedding, tasks (array or
     null: only these tasks), masked_doc (or null: never return it). Filters apply before ranking.
     Few queries travel to the data and every task returns ``k`` rows per query. Many queries meet
-    the vectors cell by cell in a ``grid`` x ``grid`` block join instead; neither passes through
-    the driver or one task.
+    the vectors cell by cell in a block join instead, with as many blocks on either side as keep a
+    cell small (``grid`` sets both); neither side passes through the driver or one task.
     """
     search = _block_search(k, max_distance)
     v = vectors.select(
@@ -151,7 +154,8 @@ def vector_top_k(
     )
     schema = T.StructType().add("qid", "string").add("id", "string").add("score", "double")
     few = None
-    if grid is None and plan_size_bytes(q) <= MAX_QUERY_BYTES:
+    q, q_bytes = measured(q, "queries", MAX_QUERY_BYTES)
+    if grid is None and q_bytes <= MAX_QUERY_BYTES:
         few = q.limit(MAX_QUERIES + 1).collect()
     if few is not None and len(few) <= MAX_QUERIES:
         shipped = [(r.qid, list(r.embedding), r.tasks, r.masked_doc) for r in few]
@@ -170,10 +174,13 @@ def vector_top_k(
 
         hits = v.mapInPandas(scan, schema)
     else:
-        n = grid or 32
-        cells = F.sequence(F.lit(0), F.lit(n - 1))
-        left = v.withColumn("_v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("_q", F.explode(cells))
-        right = q.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")).withColumn("_v", F.explode(cells))
+        v, v_bytes = measured(v, "vectors")
+        n_v = grid or max(1, -(-v_bytes // CELL_BYTES))
+        n_q = grid or max(1, -(-q_bytes // CELL_BYTES))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("bigint")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        left = v.withColumn("_v", block("id", n_v)).withColumn("_q", every(n_q))
+        right = q.withColumn("_q", block("qid", n_q)).withColumn("_v", every(n_v))
 
         def cell(vs, qs):
             import numpy as np
@@ -181,10 +188,10 @@ def vector_top_k(
 
             rows = []
             if len(vs) and len(qs):
-                block = [(r.qid, r.embedding, r.tasks, r.masked_doc) for r in qs.itertuples()]
+                asked = [(r.qid, r.embedding, r.tasks, r.masked_doc) for r in qs.itertuples()]
                 rows = search(
                     vs["id"].to_numpy(), np.stack(vs["embedding"].to_numpy()).astype(float),
-                    vs["doc_id"].to_numpy(), vs["task_type"].to_numpy(), block,
+                    vs["doc_id"].to_numpy(), vs["task_type"].to_numpy(), asked,
                 )
             return pd.DataFrame(rows, columns=["qid", "id", "score"])
 

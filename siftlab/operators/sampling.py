@@ -29,9 +29,9 @@ def balanced_sample(df: DataFrame, group: str, id_col: str, per_group: int, seed
     if per_group <= 0:
         raise ValueError("per_group must be positive")
     if strict:
-        short = {g: n for g, n in _group_counts(df, group).items() if n < per_group}
+        short = df.groupBy(group).count().where(F.col("count") < per_group).take(10)
         if short:
-            raise ValueError(f"not enough rows for {group}: {short}, need {per_group}")
+            raise ValueError(f"not enough rows for {group}: {dict(map(tuple, short))}, need {per_group}")
     hashed = df.withColumn("_h", hash_key(seed, group, id_col))
     return take_quota(hashed, group, "_h", id_col, per_group).drop("_h")
 
@@ -111,9 +111,13 @@ def disjoint_split(
 def round_robin(df: DataFrame, group: str, order_by, group_order: list | None = None, name: str = "position") -> DataFrame:
     """Interleave groups so that every prefix is balanced; rows without a group come first.
 
-    Groups cycle in ``group_order``, further ones follow sorted. The position is computed from the
-    group sizes, so no global sort is needed to number the rows.
+    Groups cycle in ``group_order``, further ones follow sorted. With few groups the position is
+    computed from their sizes; with many the rows are numbered in a distributed sort.
     """
+    given = F.coalesce(*[F.when(F.col(group) == F.lit(g), F.lit(i)) for i, g in enumerate(group_order or [])], F.lit(2**31 - 1))
+    if df.select(group).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        ranked = with_group_ordinal(df, group, order_by, "_k").withColumn("_slot", given)
+        return with_ordinal(ranked, [F.col(group).isNotNull(), "_k", "_slot", group], name).drop("_k", "_slot")
     counts = _group_counts(df, group)
     unknown = counts.pop(None, 0)
     order = [g for g in (group_order or []) if g in counts]

@@ -74,6 +74,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df if have >= cores else df.repartition(cores)
 
 
+# The optimizer's default for frames it knows nothing about is far above this.
+UNKNOWN_BYTES = 1 << 60
+
+
+def measured(df: DataFrame, label: str, limit: int | None = None) -> tuple[DataFrame, int]:
+    """The frame and its size in bytes.
+
+    The size is the optimizer's estimate; where that is unknown, or above ``limit`` and so worth
+    checking, the frame is written first and its files are the size.
+    """
+    size = plan_size_bytes(df)
+    if size >= UNKNOWN_BYTES or (limit is not None and size > limit):
+        df = materialize(df, label)
+        size = plan_size_bytes(df)
+    return df, size
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, the figure Spark itself uses to decide on broadcasts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

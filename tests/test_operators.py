@@ -276,3 +276,17 @@ def test_set_helpers(spark):
     assert (row.shared, row.missing, row.extra, row.equal) == (2, 3, 4, False)
     with pytest.raises(ValueError):
         sets.assert_disjoint(a, b, ["id"])
+
+
+def test_round_robin_with_many_groups(spark, monkeypatch):
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(2)] + [(None, 9)], "g string, id int")
+    few = {(r.g, r.id): r.position for r in S.round_robin(df, "g", "id", ["b"]).collect()}
+    monkeypatch.setattr(S, "MAX_GROUPS", 1)
+    assert {(r.g, r.id): r.position for r in S.round_robin(df, "g", "id", ["b"]).collect()} == few
+
+
+def test_block_join_sizes(spark, monkeypatch):
+    monkeypatch.setattr(RT, "MAX_QUERIES", 1)
+    vs = spark.createDataFrame([(i, [float(i), 1.0], "d", "t") for i in range(9)], "id int, embedding array<double>, doc_id string, task_type string")
+    qs = spark.createDataFrame([(i, [1.0, float(i)], None, None) for i in range(3)], "qid int, embedding array<double>, tasks array<string>, masked_doc string")
+    assert RT.vector_top_k(vs, qs, 2).count() == 6
