@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -11,15 +11,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.llm.components import components
-from siftlab.llm.words import LOWER, SPACE, as_texts, slices, text_bytes, word_ranges
+from siftlab.llm.words import LOWER, SPACE, ByteHashes, as_texts, mix, slices, text_bytes, word_ranges
 from siftlab.session import materialize
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
+# Looser search for copies with a shingle similarity of 0.8: words are indexed, shingles checked.
+COPY_SHINGLE = 5
+COPY_MAX_BITS = 5
+COPY_CHECK_BITS = 12
 # Largest number of fingerprints of one posting list that a task compares at once.
 LIST_BLOCK = 4096
 _SHORT_LIST = 6
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_ranges(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,27 +54,56 @@ def fingerprints_of(texts: pa.Array, size: int = SHINGLE_WORDS, seed: int = SEED
     a, b = (place[starts] - 1)[begin].tolist(), place[ends - 1][last].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(hashes, count)
+
+
+def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per text the bits that are set in over half of its hashes; no hashes give zero."""
+    out = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(count)
-    at = (np.cumsum(count) - count)[full]
-    set_ = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-    major = set_ * 2 > count[full][:, None]
-    out[full] = np.packbits(major, axis=1).view(">u8").ravel()
+    if len(full):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        at = (np.cumsum(count) - count)[full]
+        major = np.add.reduceat(bits, at, axis=0, dtype=np.int64) * 2 > count[full][:, None]
+        out[full] = np.packbits(major, axis=1).view(">u8").ravel()
     return out
 
 
-def with_fingerprint(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, seed: int = SEED
-) -> DataFrame:
-    """(id, fp) per document; ``fp`` is the fingerprint as a signed 64-bit number."""
+def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Two SimHashes of each text: over its different words, and over its word shingles.
+
+    A changed word changes ``size`` shingles but one word, so copies stay close in the first;
+    the second tells them from texts that only share their vocabulary.
+    """
+    data, offsets = text_bytes(texts)
+    starts, ends, first = word_ranges(data, offsets)
+    words = ByteHashes(LOWER[data]).ranges(starts, ends)
+    text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
+    order = np.lexsort((words, text))
+    w, t = words[order], text[order]
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+    distinct = np.bincount(t[fresh].astype(np.int64), minlength=len(texts))
+    begin, last, count = shingle_ranges(first, size)
+    shingles = np.zeros(len(begin), np.uint64)
+    for j in range(size):
+        inside = begin + j <= last
+        shingles[inside] = mix(shingles[inside] * _STEP + words[(begin + j)[inside]])
+    return majority(w[fresh], distinct), majority(shingles, count)
+
+
+def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, fingerprints: Callable) -> DataFrame:
+    """(id, fp, check) per document: the indexed fingerprint and the one that is checked, signed."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            fps = fingerprints_of(as_texts(piece.column("text")), size, seed)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fp, check = fingerprints(as_texts(piece.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], names=["id", "fp", "check"]
+            )
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fp long, check long")
 
 
 def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:
@@ -87,119 +121,141 @@ def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:
     return F.array(*keys)
 
 
-def linked_groups(fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each fingerprint the index of its group's first member; links join groups.
+def linked(x: np.ndarray, y: np.ndarray, max_bits: int, check_bits: int) -> np.ndarray:
+    """Whether fingerprint pairs (rows of fp and check) are close enough in both."""
+    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= max_bits
+    return near if check_bits >= 64 else near & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= check_bits)
+
+
+def star_edges(nodes: np.ndarray, max_bits: int, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member) of every group of linked nodes.
 
     A breadth-first search in which every member is compared with those not yet reached, so a
     dense list costs little more than one comparison each.
     """
-    root = np.full(len(fps), -1, np.int64)
-    rest = np.arange(len(fps))
+    root = np.arange(len(nodes))
+    rest = np.arange(len(nodes))
     while len(rest):
         seed, rest = rest[0], rest[1:]
-        root[seed] = seed
         frontier = np.array([seed])
         while len(frontier) and len(rest):
             near = np.zeros(len(rest), bool)
             for k in range(0, len(frontier), 64):
                 open_ = np.flatnonzero(~near)
-                apart = np.bitwise_count(fps[frontier[k : k + 64], None] ^ fps[rest[open_]][None, :])
-                near[open_] = (apart <= max_bits).any(axis=0)
+                hit = linked(nodes[frontier[k : k + 64], None], nodes[None, rest[open_]], max_bits, check_bits)
+                near[open_] = hit.any(axis=0)
             frontier, rest = rest[near], rest[~near]
             root[frontier] = seed
-    return root
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
 
 
-def _star_edges(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    root = linked_groups(fps, max_bits)
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[moved], fps[root[moved]]
+_FOUND = "a long, a_check long, b long, b_check long, key long, block int"
 
 
-def _rows(a, b, key, block) -> pa.RecordBatch:
-    """Edges (a, b), or with null ``b`` the fingerprints ``a`` of one block of a long list."""
+def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pa.RecordBatch:
+    """Edges from nodes ``a`` to ``b``, or without ``b`` the nodes of one block of a long list."""
     n = len(a)
+    column = lambda x, k: pa.array(np.ascontiguousarray(x[:, k]).view(np.int64))
+    empty = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.ascontiguousarray(a).view(np.int64)),
-            pa.nulls(n, pa.int64()) if b is None else pa.array(np.ascontiguousarray(b).view(np.int64)),
-            pa.nulls(n, pa.int64()) if key is None else pa.array(np.full(n, key, np.int64)),
+            column(a, 0), column(a, 1), empty if b is None else column(b, 0), empty if b is None else column(b, 1),
+            empty if key is None else pa.array(np.full(n, key, np.int64)),
             pa.nulls(n, pa.int32()) if block is None else pa.array(np.full(n, block, np.int32)),
         ],
-        names=["a", "b", "key", "block"],
+        names=["a", "a_check", "b", "b_check", "key", "block"],
     )
 
 
-def _edges_of_lists(keys: np.ndarray, fps: np.ndarray, bounds: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Edges of whole posting lists: short ones all together by shifted comparison, others by search."""
     lengths = np.diff(bounds)
-    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    left, right = [nodes[:0]], [nodes[:0]]
     short = np.repeat(lengths <= _SHORT_LIST, lengths)
     for shift in range(1, _SHORT_LIST):
-        x, y = fps[:-shift], fps[shift:]
-        hit = short[:-shift] & (keys[:-shift] == keys[shift:]) & (np.bitwise_count(x ^ y) <= max_bits)
-        if not hit.any() and not (keys[:-shift] == keys[shift:]).any():
+        same = np.flatnonzero(short[:-shift] & (keys[:-shift] == keys[shift:]))
+        if not len(same):
             break
-        left.append(x[hit])
-        right.append(y[hit])
+        hit = same[linked(nodes[same], nodes[same + shift], *bits)]
+        left.append(nodes[hit])
+        right.append(nodes[hit + shift])
     for k in np.flatnonzero(lengths > _SHORT_LIST).tolist():
-        a, b = _star_edges(fps[bounds[k] : bounds[k + 1]], max_bits)
+        a, b = star_edges(nodes[bounds[k] : bounds[k + 1]], *bits)
         left.append(a)
         right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between different fingerprints that have the components of all links.
+def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, check_bits: int = 64) -> DataFrame:
+    """Edges (a, a_check, b, b_check) between different nodes (fp, check); they have the components of all links.
 
     Posting lists are dealt by key and sorted, and each is searched by one task in blocks of
     ``LIST_BLOCK``. A longer list is not held together: its blocks are marked, and all pairs of
     its blocks are searched by separate tasks, so no link is lost and no task grows with the list.
     """
-    rows = distinct.select("fp", F.explode(posting_keys(F.col("fp"), max_bits)).alias("key"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "fp")
+    rows = distinct.select("fp", "check", F.explode(posting_keys(F.col("fp"), max_bits)).alias("key"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "fp", "check")
+    bits = (max_bits, check_bits)
+
+    def nodes_of(batch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "check")], axis=1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, nodes = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
         long_key, block = None, 0  # the list of which blocks have been sent on
         for batch in chain(batches, [None]):
             if batch is not None:
                 keys = np.concatenate([keys, batch.column("key").to_numpy()])
-                fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+                nodes = np.concatenate([nodes, nodes_of(batch)])
             if not len(keys):
                 continue
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             if batch is not None:
                 bounds = bounds[:-1]  # the last list may go on
             if long_key is not None and keys[0] == long_key and len(bounds) > 1:
-                yield _rows(fps[: bounds[1]], None, long_key, block)
+                yield _rows(nodes[: bounds[1]], None, long_key, block)
                 bounds, long_key = bounds[1:], None
             if len(bounds) > 1:
                 lo, hi = bounds[0], bounds[-1]
-                a, b = _edges_of_lists(keys[lo:hi], fps[lo:hi], bounds - lo, max_bits)
-                yield _rows(a, b, None, None)
-            keys, fps = keys[bounds[-1] :], fps[bounds[-1] :]
-            while len(fps) > LIST_BLOCK:
+                yield _rows(*_edges_of_lists(keys[lo:hi], nodes[lo:hi], bounds - lo, bits))
+            keys, nodes = keys[bounds[-1] :], nodes[bounds[-1] :]
+            while len(keys) > LIST_BLOCK:
                 if keys[0] != long_key:
                     long_key, block = keys[0], 0
-                yield _rows(fps[:LIST_BLOCK], None, long_key, block)
-                keys, fps, block = keys[LIST_BLOCK:], fps[LIST_BLOCK:], block + 1
+                yield _rows(nodes[:LIST_BLOCK], None, long_key, block)
+                keys, nodes, block = keys[LIST_BLOCK:], nodes[LIST_BLOCK:], block + 1
 
-    found = materialize(rows.mapInArrow(search, "a long, b long, key long, block int"), "postings")
-    edges = found.where("b is not null").select("a", "b")
-    blocks = found.where("key is not null").select(F.col("a").alias("fp"), "key", "block")
+    found = materialize(rows.mapInArrow(search, _FOUND), "postings")
+    edges = found.where("b is not null").select("a", "a_check", "b", "b_check")
+    blocks = found.where("key is not null").select(F.col("a").alias("fp"), F.col("a_check").alias("check"), "key", "block")
     # Every pair of blocks of a long list: each block is sent to as many tasks as the list has blocks.
     sizes = blocks.groupBy("key").agg((F.max("block") + 1).alias("n"))
     cells = blocks.join(sizes, "key").select(
-        "fp", "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+        "fp", "check", "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "check")
 
     def search_cell(table: pa.Table) -> pa.Table:
-        fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        a, b = _star_edges(fps, max_bits)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return edges.unionByName(cells.groupBy("key", "i", "j").applyInArrow(search_cell, "a long, b long"))
+        a, b = star_edges(nodes_of(table.combine_chunks()), *bits)
+        return pa.Table.from_batches([_rows(a, b)]).select(["a", "a_check", "b", "b_check"])
+
+    searched = cells.groupBy("key", "i", "j").applyInArrow(search_cell, "a long, a_check long, b long, b_check long")
+    return edges.unionByName(searched)
+
+
+def _groups(marked: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
+    """(id, fp, component_id) per row of (id, fp, check)."""
+    marked = materialize(marked.withColumn("node", F.xxhash64("fp", "check")), "fingerprints")
+    distinct = materialize(marked.groupBy("fp", "check", "node").agg(F.min("id").alias("least")), "distinct")
+    links = fingerprint_links(distinct.select("fp", "check"), max_bits, check_bits)
+    edges = links.select(F.xxhash64("a", "a_check").alias("a"), F.xxhash64("b", "b_check").alias("b"))
+    tree = components(edges)
+    rooted = distinct.join(tree, distinct["node"] == tree["id"], "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("node").alias("_node"), "component_id")
+    return marked.join(named, F.col("node") == F.col("_node")).select("id", "fp", "component_id")
 
 
 def near_duplicates(
@@ -214,15 +270,30 @@ def near_duplicates(
     own fingerprints. A row of null id is linked; it is kept only where its whole component has
     null ids, whose component_id is null. An empty table gives no rows; other columns are ignored.
     """
-    marked = materialize(with_fingerprint(docs, id_col, text_col, size, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    tree = materialize(components(fingerprint_links(distinct.select("fp"), max_bits)), "roots")
-    rooted = distinct.join(tree, distinct["fp"] == tree["id"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("_fp")).select(
+
+    def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return fingerprints_of(texts, size, seed), np.zeros(len(texts), np.uint64)
+
+    found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), max_bits, 64)
+    return found.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, max_bits: int = COPY_MAX_BITS,
+    check_bits: int = COPY_CHECK_BITS,
+) -> DataFrame:
+    """(id, component_id, kept) per row for copies with a shingle similarity of about 0.8 or more.
+
+    The index runs over SimHashes of the different words; a pair is linked if these differ in at
+    most ``max_bits`` bits and the SimHashes of the ``size``-word shingles in at most
+    ``check_bits``. Rows, nulls and ties are treated as in ``near_duplicates``.
+    """
+
+    def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return copy_fingerprints_of(texts, size)
+
+    found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), max_bits, check_bits)
+    return found.select(F.col("id").alias(id_col), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
