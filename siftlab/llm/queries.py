@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import mixing, pii, simhash, token_output, url_filter
+from siftlab.llm import html_extract, mixing, pii, simhash, token_output, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, folder, "pages"))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_output": op3_token_output,
     "op6_mixing": op6_mixing,
+    "op7_html_extract": op7_html_extract,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
 }
