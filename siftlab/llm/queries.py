@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import html_extract, mixing, pii, simhash, token_output, toxicity, url_filter
+from siftlab.llm import decontaminate, html_extract, mixing, pii, simhash, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.token_output(_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,6 +57,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_output": op3_token_output,
+    "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_html_extract": op7_html_extract,
     "op8_pii": op8_pii,

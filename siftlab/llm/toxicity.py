@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftlab.llm.words import LOWER, ByteHashes, as_texts, concat_ranges, range_sums, slices, text_bytes, word_ranges
+from siftlab.session import materialize
 
 ORDER = 6  # bytes of the longest gram
 BUCKET_BITS = 20  # grams are counted in this many hash buckets, so the model has a fixed size
@@ -156,25 +157,19 @@ class SpellingModel:
     own_rest: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
-    def of(rows: pd.DataFrame, part: str) -> "SpellingModel":
-        """The model of one part of the counted rows (columns ending in ``part``)."""
-        at = rows["bucket"].to_numpy()
-
-        def full(name: str) -> np.ndarray:
-            out = np.zeros(_BUCKETS)
-            out[at] = rows[f"{name}_{part}"].fillna(0)
-            return out
+    def of(table: dict[str, np.ndarray], part: str) -> "SpellingModel":
+        """The model of one part of the counted table (columns ending in ``part``)."""
 
         def parts(count, total, kinds):
-            scale = np.divide(1.0, total, out=np.zeros(_BUCKETS), where=total > 0)
-            rest = np.where(total > 0, np.minimum(1.0, DISCOUNT * np.maximum(kinds, 1) * scale), 1.0)
-            return np.maximum(count - DISCOUNT, 0).astype(np.float32), scale.astype(np.float32), rest.astype(np.float32)
-
-        left, context = full("left"), rows["context"].to_numpy()
-        has = context >= 0
-        total = np.bincount(context[has], weights=left[at[has]], minlength=_BUCKETS)
-        shared = parts(left, total, full("follow"))
-        own = [parts(full(c), full(f"{c}_all"), full(f"{c}_follow")) for c in ("toxic", "ordinary")]
+            scale = np.divide(1, total, out=np.zeros(_BUCKETS, np.float32), where=total > 0)
+            rest = np.where(total > 0, np.minimum(1, np.float32(DISCOUNT) * np.maximum(kinds, 1) * scale), np.float32(1))
+            return np.maximum(count - np.float32(DISCOUNT), 0), scale, rest.astype(np.float32)
+
+        left, context = table[f"left_{part}"], table["context"]
+        used = np.flatnonzero(context >= 0)
+        total = np.bincount(context[used], weights=left[used], minlength=_BUCKETS).astype(np.float32)
+        shared = parts(left.astype(np.float32), total, table[f"follow_{part}"])
+        own = [parts(*(table[f"{c}{end}_{part}"] for end in ("", "_all", "_follow"))) for c in ("toxic", "ordinary")]
         return SpellingModel(*shared, *[tuple(p[k] for p in own) for k in range(3)])
 
     def word_ratios(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -263,6 +258,20 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
+def _fetch(rows: DataFrame, turns: int = 16) -> dict[str, np.ndarray]:
+    """The counted table as dense arrays of fixed size, read in turns so that little is held twice."""
+    table = {"context": np.full(_BUCKETS, -1, np.int32)}
+    for name in rows.columns:
+        if name not in ("bucket", "context"):
+            table[name] = np.zeros(_BUCKETS, np.uint8 if "left" in name or "follow" in name else np.float32)
+    for turn in range(turns):
+        part = rows.where(F.shiftright("bucket", BUCKET_BITS - 4) == turn).toPandas()
+        at = part["bucket"].to_numpy(np.int64)
+        for name, values in table.items():
+            values[at] = part[name].fillna(0)
+    return table
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS):
     """(model, logistic weights), or None if the labels do not have both classes.
 
@@ -291,10 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 columns.append(F.bit_count(F.bit_or(own)).cast("tinyint").alias(f"{c}_{part}"))
             else:
                 columns.append(F.sum(own).cast("float").alias(f"{c}_{part}"))
-    rows = counts.groupBy("bucket").agg(*columns).toPandas()
-    if rows.empty or not rows["toxic_all_both"].sum() or not rows["ordinary_all_both"].sum():
+    table = _fetch(materialize(counts.groupBy("bucket").agg(*columns), "grams"))
+    if not table["toxic_all_both"].any() or not table["ordinary_all_both"].any():
         return None
-    folds = spark.sparkContext.broadcast([SpellingModel.of(rows, "1"), SpellingModel.of(rows, "0")])
+    folds = spark.sparkContext.broadcast([SpellingModel.of(table, "1"), SpellingModel.of(table, "0")])
     chosen = marks.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(calibration_rows).select(F.col("_id").alias("_sid"))
     sample = marked.join(F.broadcast(chosen), F.col("id") == F.col("_sid"), "left_semi").select("text", "toxic", "fold")
 
@@ -308,8 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), own.column("toxic")], names=["x", "toxic"])
 
     seen = sample.mapInArrow(measure, "x array<double>, toxic int").toPandas()
-    folds.unpersist()
-    shipped = spark.sparkContext.broadcast(SpellingModel.of(rows, "both"))
+    folds.destroy()
+    shipped = spark.sparkContext.broadcast(SpellingModel.of(table, "both"))
     y = seen["toxic"].to_numpy(np.float64)
     if len(y) < 2 or y.min() == y.max():
         return shipped, _UNFITTED
