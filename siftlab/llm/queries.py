@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import decontaminate, html_extract, mixing, pii, simhash, token_output, toxicity, url_filter
+from siftlab.llm import decontaminate, html_extract, mixing, pii, simhash, substrings, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, folder, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_url_filter": op2_url_filter,
     "op3_token_output": op3_token_output,
     "op5_decontamination": op5_decontamination,
