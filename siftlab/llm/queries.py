@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import decontaminate, html_extract, mixing, pii, simhash, substrings, token_output, toxicity, url_filter
+from siftlab.llm import decontaminate, embedding_dedup, html_extract, mixing, pii, simhash, substrings, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.token_output(_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op4_product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_url_filter": op2_url_filter,
     "op3_token_output": op3_token_output,
+    "op4_product_quantisation": op4_product_quantisation,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_html_extract": op7_html_extract,
@@ -131,4 +136,19 @@ select doc_id, size, source_size, target,
   (case when size > 0 then {_COPIES} else 0 end * size)::bigint as taken
 from placed"""
 
-SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
+OP4_SQL = f"""
+with usable as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from usable a join usable b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= {embedding_dedup.MIN_COSINE}),
+reach as (
+  with recursive r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from r join links l on l.x = r.y)
+  select x, min(y) as component_id from r group by x),
+counted as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, r.component_id, e.vec_id = r.component_id as kept
+from embeddings e join reach r on r.x = e.vec_id left join counted c on c.x = e.vec_id"""
+
+SQL: dict[str, str] = {"op4_product_quantisation": OP4_SQL, "op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
