@@ -16,6 +16,7 @@ SAMPLE_PAGES = 1000
 MAX_FEATURES = 5000
 _CLIP = 4.0
 _TAG_COST = (0.05, 1.0)
+_BLOCK_COST = 4.0  # an advert inside the text must not outweigh what follows it
 
 # HTML elements by role.
 _HIDDEN = "script style noscript template head svg math iframe object textarea select button canvas audio video title".split()
@@ -171,7 +172,7 @@ def fit(counts: dict[tuple[str, bool], float]) -> Weights:
             b += _AROUND_WEIGHT if key.partition(":")[2] in _AROUND else 0
             odds = math.log((a + 5) / inside) - math.log((b + 5) / outside)
             features[key] = min(_prior(key), 0.0) if odds < 0 and _prior(key) else max(-_CLIP, min(_CLIP, odds))
-    return Weights(max(0.5, min(2.0, math.log((inside + 20) / (outside + 10)))), features, tags)
+    return Weights(max(1.0, min(2.0, math.log((inside + 20) / (outside + 10)))), features, tags)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -192,7 +193,7 @@ def main_text(page: str, weights: Weights) -> str:
     per_word = [weights.of_word(b) for b in blocks]
     scores = []
     for b, w in zip(blocks, per_word, strict=True):
-        scores += [weights.of_tags(b.tags), w * len(b.text.split())]
+        scores += [weights.of_tags(b.tags), max(w * len(b.text.split()), -_BLOCK_COST)]
     start, end = best_run(scores)
     return "\n".join(b.text for i, b in enumerate(blocks) if start <= 2 * i + 1 < end and per_word[i] > 0)
 

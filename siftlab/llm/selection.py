@@ -11,18 +11,18 @@ BROADCAST_IDS = 1_000_000
 
 
 def _id_list(ids: DataFrame, column: str) -> DataFrame:
-    listed = materialize(ids.select(F.col(column).alias("_listed")).distinct(), "ids")
+    listed = materialize(ids.select(F.col(column).alias("_llm_listed")).distinct(), "ids")
     return F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is listed; a null id matches a listed null."""
-    return docs.join(_id_list(ids, column), F.col(column).eqNullSafe(F.col("_listed")), "left_semi")
+    return docs.join(_id_list(ids, column), F.col(column).eqNullSafe(F.col("_llm_listed")), "left_semi")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not listed; a null id matches a listed null."""
-    return docs.join(_id_list(ids, column), F.col(column).eqNullSafe(F.col("_listed")), "left_anti")
+    return docs.join(_id_list(ids, column), F.col(column).eqNullSafe(F.col("_llm_listed")), "left_anti")
 
 
 def one_row_per_id(docs: DataFrame, marked: DataFrame, column: str = "doc_id") -> DataFrame:
