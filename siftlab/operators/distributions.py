@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftlab.operators.keys import null_safe_join
 from siftlab.operators.ordinals import exact_quantiles, top_per_group
 from siftlab.session import materialize
 
@@ -24,7 +25,7 @@ def basic_stats(df: DataFrame, by: list[str], value: str, approximate: bool = Fa
         quantiles = sketch.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(QUANTILES)])
     else:
         quantiles = exact_quantiles(df, by, value, QUANTILES)
-    return moments.join(quantiles, by)
+    return null_safe_join(moments, quantiles, by)
 
 
 def bin_count(n: Column, low: Column, high: Column, iqr: Column, lo: int = 5, hi: int = 50) -> Column:
@@ -41,7 +42,7 @@ def histogram_shape(df: DataFrame, by: list[str], value: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
     quartiles = exact_quantiles(df, by, value, {"q25": 0.25, "q75": 0.75})
-    shape = ends.join(quartiles, by).withColumn(
+    shape = null_safe_join(ends, quartiles, by).withColumn(
         "bins", bin_count(F.col("n").cast("double"), F.col("lo"), F.col("hi"), F.col("q75") - F.col("q25"))
     )
     return shape.select(*by, "n", "lo", "hi", "bins", ((F.col("hi") - F.col("lo")) / F.col("bins")).alias("width"))
@@ -62,13 +63,13 @@ def histogram(df: DataFrame, by: list[str], value: str, shape: DataFrame | None
     if shape is None:
         # One row per group, used twice. As a written table its true size decides about a broadcast.
         shape = materialize(histogram_shape(df, by, value), "shape")
-    placed = df.where(F.col(value).isNotNull()).join(shape, by)
+    placed = null_safe_join(df.where(F.col(value).isNotNull()), shape, by)
     index = bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins"), F.col("width"))
     counts = placed.groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     edges = shape.select(
         *by, "lo", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
     )
-    return edges.join(counts, [*by, "bin"], "left").select(
+    return null_safe_join(edges, counts, [*by, "bin"], "left").select(
         *by,
         "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("edge"),
@@ -84,12 +85,12 @@ def density_curve(df: DataFrame, by: list[str], value: str, points: int = 240) -
     """
     shape = histogram_shape(df, by, value)
     spread = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.stddev_samp(value).alias("sd"))
-    frame = shape.join(spread, by).where((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
+    frame = null_safe_join(shape, spread, by).where((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
     frame = frame.withColumn("h", 1.06 * F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     frame = materialize(frame, "shape")
     merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
-    spreaded = merged.join(frame, by).select(
+    spreaded = null_safe_join(merged, frame, by).select(
         *by, value, "_c", "h", "lo", "width", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     )
     z = (F.col("lo") + F.col("point") * F.col("_step") - F.col(value)) / F.col("h")
@@ -146,7 +147,7 @@ def top_categories(df: DataFrame, by: list[str], category: str, k: int) -> DataF
     counts = df.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"))
     head = top_per_group(counts, by, [F.desc("n"), F.col(category)], k).select(*by, category, "n")
     total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-    rest = total.join(head.groupBy(*by).agg(F.sum("n").alias("_head")), by)
+    rest = null_safe_join(total, head.groupBy(*by).agg(F.sum("n").alias("_head")), by)
     other = rest.where("_all > _head").select(*by, F.lit("OTHER").alias(category), (F.col("_all") - F.col("_head")).alias("n"))
     return head.unionByName(other)
 

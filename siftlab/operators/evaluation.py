@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.text import contains_any, text_or_empty
+from siftlab.operators.keys import null_safe_join
 from siftlab.operators.ordinals import top_per_group
 
 
@@ -141,7 +142,7 @@ def pass_at_k(runs: DataFrame, k: int, by_level: bool = False) -> DataFrame:
     whole = valid.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("attempts"), F.max(F.col("correct").cast("int")).alias("solved")
     )
-    report = whole.join(solved_early, keys).groupBy(*keys[:-1]) if by_level else whole.join(solved_early, keys).groupBy()
+    report = null_safe_join(whole, solved_early, keys).groupBy(*keys[:-1])
     return report.agg(
         F.bround(F.sum("early") / F.count(F.lit(1)) * 100, 2).alias("pass_at_k"),
         F.count(F.lit(1)).alias("total_problems"),

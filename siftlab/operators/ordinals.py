@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftlab.operators.keys import null_safe_join
 from siftlab.session import materialize
 
 _LOCAL_BITS = 33
@@ -82,7 +83,7 @@ def take_quota(df: DataFrame, by, digest: str, tie: str, quota, digits: int = 3)
     cut = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_before < _quota")
     cut = cut.select(*groups, "_b", (F.col("_quota") - F.col("_before")).alias("_room"))
     inside = Window.partitionBy(*groups, "_b").orderBy(digest, tie)
-    ranked = bucketed.join(cut, [*groups, "_b"]).withColumn("_rn", F.row_number().over(inside))
+    ranked = null_safe_join(bucketed, cut, [*groups, "_b"]).withColumn("_rn", F.row_number().over(inside))
     return ranked.where("_rn <= _room").drop("_b", "_room", "_rn")
 
 
@@ -108,7 +109,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> D
         F.sum("_s").over(whole).alias("_total"),
     )
     inside = Window.partitionBy(*groups, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = stored.join(part, [*groups, "_pid"]).withColumn(
+    placed = null_safe_join(stored, part, [*groups, "_pid"]).withColumn(
         "_hi", F.col("_offset") + F.sum("_c").over(inside)
     ).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []

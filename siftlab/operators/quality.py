@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftlab.operators.keys import null_safe_join
 from siftlab.operators.ordinals import best_per_group
 
 ENTITY = ["task_type", "doi", "material_identity"]
@@ -65,7 +66,7 @@ def conflict_rows(obs: DataFrame) -> DataFrame:
     """Every distinct label of every conflicting context, one row each (no list per group)."""
     groups = exact_groups(obs)
     bad = groups.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1")
-    return groups.join(bad, CONTEXT).select(*EXACT, "n_labels", F.col("n").alias("label_rows"))
+    return null_safe_join(groups, bad, CONTEXT).select(*EXACT, "n_labels", F.col("n").alias("label_rows"))
 
 
 def multi_context_entities(obs: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def select_candidates(obs: DataFrame, complete: Column | None = None) -> DataFra
     slim = keyed.select(*EXACT, *POSITION, "status", "_pos", complete.alias("_complete"))
     best = best_per_group(slim, EXACT, best_order())
     labels = obs.select(*EXACT).distinct().groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("_n"))
-    judged = best.join(labels.where("_n > 1").select(*CONTEXT, F.lit(True).alias("_bad")), CONTEXT, "left")
+    judged = null_safe_join(best, labels.where("_n > 1").select(*CONTEXT, F.lit(True).alias("_bad")), CONTEXT, "left")
     outcome = (
         F.when(F.col("_bad"), "conflicting_context")
         .when((status_rank() >= 1) & F.col("_complete"), "selected")

@@ -10,18 +10,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from siftlab.operators.keys import null_safe_join
 from siftlab.operators.ordinals import best_per_group, hash_key, take_quota, with_group_ordinal, with_ordinal
 from siftlab.session import materialize
 
-# Group lists of this size still fit a literal; task lists have 19 entries.
-MAX_GROUPS = 10_000
-
 
 def _group_counts(df: DataFrame, group: str) -> dict:
-    rows = df.groupBy(group).count().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} values")
-    return {r[0]: r[1] for r in rows}
+    """Rows per group. The caller asks for a quota of each group, so the groups are a list it can hold."""
+    return {r[0]: r[1] for r in df.groupBy(group).count().collect()}
 
 
 def balanced_sample(df: DataFrame, group: str, id_col: str, per_group: int, seed: object, strict: bool = True) -> DataFrame:
@@ -38,9 +34,12 @@ def balanced_sample(df: DataFrame, group: str, id_col: str, per_group: int, seed
 
 def check_source(df: DataFrame, group: str, id_col: str, expected_groups) -> None:
     """Raise unless the groups are exactly the expected ones and ids are unique."""
-    got = set(_group_counts(df, group))
-    if got != set(expected_groups):
-        raise ValueError(f"missing={sorted(set(expected_groups) - got)}, extra={sorted(got - set(expected_groups))}")
+    wanted = df.sparkSession.createDataFrame([(g,) for g in expected_groups], df.select(group).schema).distinct()
+    got = df.select(group).distinct()
+    missing = [r[0] for r in null_safe_join(wanted, got, group, "left_anti").take(20)]
+    extra = [r[0] for r in null_safe_join(got, wanted, group, "left_anti").take(20)]
+    if missing or extra:
+        raise ValueError(f"missing={sorted(missing, key=str)}, extra={sorted(extra, key=str)}")
     double = df.groupBy(id_col).count().where("count > 1").take(1)
     if double:
         raise ValueError(f"duplicate {id_col}: {double[0][0]}")
@@ -66,10 +65,10 @@ def _allocate(
     total = sum(quotas.values())
     parts: list[DataFrame] = []
     for g in order:
-        rows = pool.where(F.col(group) == F.lit(g))
+        rows = pool.where(F.col(group).eqNullSafe(F.lit(g)))
         if parts:
             used = reduce(lambda a, b: a.unionByName(b), [done.select(doc) for done in parts])
-            rows = rows.join(used, doc, "left_anti")
+            rows = null_safe_join(rows, used, doc, "left_anti")
         # Earlier picks are written tables, so every step starts from a scan.
         chosen = materialize(take_quota(rows, group, "_h", id_col, total), "allocation")
         if strict:
@@ -111,25 +110,12 @@ def disjoint_split(
 def round_robin(df: DataFrame, group: str, order_by, group_order: list | None = None, name: str = "position") -> DataFrame:
     """Interleave groups so that every prefix is balanced; rows without a group come first.
 
-    Groups cycle in ``group_order``, further ones follow sorted. With few groups the position is
-    computed from their sizes; with many the rows are numbered in a distributed sort.
+    Groups cycle in ``group_order``, further ones follow sorted; all positions come from one
+    distributed sort, whatever the number of groups.
     """
     given = F.coalesce(*[F.when(F.col(group) == F.lit(g), F.lit(i)) for i, g in enumerate(group_order or [])], F.lit(2**31 - 1))
-    if df.select(group).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        ranked = with_group_ordinal(df, group, order_by, "_k").withColumn("_slot", given)
-        return with_ordinal(ranked, [F.col(group).isNotNull(), "_k", "_slot", group], name).drop("_k", "_slot")
-    counts = _group_counts(df, group)
-    unknown = counts.pop(None, 0)
-    order = [g for g in (group_order or []) if g in counts]
-    order += sorted(g for g in counts if g not in order)
-    numbered = with_group_ordinal(df, group, order_by, "_k")
-    slot = F.coalesce(*[F.when(F.col(group) == F.lit(g), F.lit(i)) for i, g in enumerate(order)], F.lit(-1))
-    before = F.lit(0).cast("bigint")
-    for i, g in enumerate(order):
-        n = F.lit(counts[g])
-        before = before + F.least(n, F.col("_k")) + F.when((F.lit(i) < slot) & (n > F.col("_k")), 1).otherwise(0)
-    position = F.when(F.col(group).isNull(), F.col("_k")).otherwise(before + F.lit(unknown))
-    return numbered.withColumn(name, position).drop("_k")
+    ranked = with_group_ordinal(df, group, order_by, "_k").withColumn("_slot", given)
+    return with_ordinal(ranked, [F.col(group).isNotNull(), "_k", "_slot", group], name).drop("_k", "_slot")
 
 
 def replicate(df: DataFrame, k: int, name: str = "attempt") -> DataFrame:

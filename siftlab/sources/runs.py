@@ -40,5 +40,5 @@ def export_experiment(runs: DataFrame, exp_id: str, path: str, limit: int | None
 
 
 def clear_experiment(runs: DataFrame, exp_id: str) -> DataFrame:
-    """The run table without one experiment."""
-    return runs.where(F.col("exp_id") != exp_id)
+    """The run table without one experiment; rows without an experiment stay."""
+    return runs.where(~F.col("exp_id").eqNullSafe(F.lit(exp_id)))
