@@ -50,7 +50,7 @@ def _formula_elements(body: Column) -> Column:
 
 def metal_symbol(c) -> Column:
     return let(
-        lambda text: F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, 2, 100))), strip(c)
+        lambda text: F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, F.lit(2), F.length(text)))), strip(c)
     )
 
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import html
+
+from pyspark.sql import Column, functions as F, types as T
 
 from siftlab.functions import fixed as K
 from siftlab.functions.ids import canonical_doi
 from siftlab.functions.text import all_matches, as_col, let, squeeze, strip, text_or_empty
 
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+@F.udf(T.StringType(), useArrow=True)
+def _decoded(text):
+    return html.unescape(text)
 
 
 def unescape(c) -> Column:
+    """Named and numeric character references resolved; only texts with an ampersand leave the JVM."""
     text = as_col(c)
-    for entity, plain in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    return F.when(F.instr(text, F.lit("&")) > 0, _decoded(text)).otherwise(text)
 
 
 def clean_markup(c) -> Column:
@@ -64,21 +68,21 @@ def _drop_block(text: Column, lines: Column) -> Column:
     return let(cut, F.array_join(kinds, ""))
 
 
-def document_doi(c) -> Column:
-    """First valid id of the cleaned text: link, label or bare id near the top, then link or label.
+def document_doi(c, near: int | None = None, far: int | None = None) -> Column:
+    """First valid id of the cleaned text: link, label or bare id, then link or label further down.
 
-    The look-ahead distances (8,000 and 20,000 characters) are part of the rule: ids further down
-    belong to cited papers.
+    The whole text is read. ``near`` and ``far`` limit the two steps to so many characters, for
+    texts in which ids further down belong to cited papers.
     """
-    return let(_first_doi, drop_references(c))
+    return let(lambda text: _first_doi(text, near, far), drop_references(c))
 
 
-def _first_doi(text: Column) -> Column:
+def _first_doi(text: Column, near: int | None, far: int | None) -> Column:
     def first(window: Column, pattern: str) -> Column:
         ids = F.transform(all_matches(window, pattern, 1), lambda d: canonical_doi(d, "document"))
         return F.try_element_at(F.array_compact(ids), F.lit(1))
 
-    head, wide = F.substring(text, 1, 8000), F.substring(text, 1, 20000)
+    head, wide = (text if n is None else F.substring(text, 1, n) for n in (near, far))
     return F.coalesce(
         first(head, K.DOI_URL),
         first(head, K.DOI_LABEL),
@@ -118,16 +122,17 @@ def _noise(plain: Column, key: Column, letters: Column) -> Column:
     )
 
 
-def title_candidates(c) -> Column:
+def title_candidates(c, max_lines: int | None = None, max_titles: int | None = None) -> Column:
     """Likely titles in order: ``Title:`` lines, headings by level, one bold line as last resort.
 
-    Only the first 120 lines are read, as titles stand at the top.
+    All lines are read and all titles given unless ``max_lines`` or ``max_titles`` say otherwise.
     """
-    head = F.slice(F.split(text_or_empty(c), r"\r\n|\r|\n"), 1, 120)
-    return let(_titles, F.transform(head, strip))
+    lines = F.split(text_or_empty(c), r"\r\n|\r|\n")
+    head = lines if max_lines is None else F.slice(lines, 1, max_lines)
+    return let(lambda rows: _titles(rows, max_titles), F.transform(head, strip))
 
 
-def _titles(lines: Column) -> Column:
+def _titles(lines: Column, max_titles: int | None) -> Column:
     def pick(pattern: str, group: int, rank: int) -> Column:
         hits = F.filter(lines, lambda s: s.rlike(pattern))
         return F.transform(
@@ -143,10 +148,8 @@ def _titles(lines: Column) -> Column:
         F.transform(F.filter(lines, lambda s: s.rlike(r"^\*\*.+\*\*$")), _plain_title),
         lambda t: (F.length(t) >= 15) & ~_is_noise(t),
     )
-    return let(
-        lambda top: F.when(F.size(top) >= 5, top).otherwise(F.concat(top, F.slice(bold, 1, 1))),
-        F.slice(F.array_distinct(found), 1, 5),
-    )
+    titles = F.concat(F.array_distinct(found), F.slice(bold, 1, 1))
+    return titles if max_titles is None else F.slice(titles, 1, max_titles)
 
 
 def title_variants(c) -> Column:

@@ -153,7 +153,7 @@ def embed_with(df: DataFrame, id_col: str, text_col: str, embedder: Callable[[li
                 return [(list(map(float, v)), None) for v in embedder(texts)]
             except Exception as exc:  # noqa: BLE001
                 if len(texts) == 1:
-                    return [(None, str(exc)[:500])]
+                    return [(None, str(exc))]
                 return [safe([t])[0] for t in texts]
 
         for pdf in batches:

@@ -97,16 +97,16 @@ def combine_metrics(records: DataFrame, keys: list[str], position: str, task: st
 
 def eligible_rounds(jobs: DataFrame, limit_rounds: int = 50) -> DataFrame:
     """The newest completed CSV updates that are not deleted, oldest first, numbered from 1."""
-    limit = max(1, min(500, limit_rounds))
+    if limit_rounds < 1:
+        raise ValueError("limit_rounds must be at least 1")
     fit = jobs.where(
         (F.col("job_type") == "experience_update")
         & F.col("deleted_at").isNull()
         & (F.col("status") == "completed")
         & (F.lower("upload_format") == "csv")
     )
-    newest = fit.orderBy(F.col("finished_at").desc(), F.col("job_id").desc()).limit(limit)
-    # At most 500 rows from here on.
-    return with_ordinal(newest, ["finished_at", "job_id"], "round_index", partitions=1).withColumn(
+    newest = fit.orderBy(F.col("finished_at").desc(), F.col("job_id").desc()).limit(limit_rounds)
+    return with_ordinal(newest, ["finished_at", "job_id"], "round_index").withColumn(
         "round_index", F.col("round_index") + 1
     )
 
@@ -151,8 +151,10 @@ def overall_means(records: DataFrame) -> DataFrame:
 
 
 def cap_records(records: DataFrame, order_by: list, limit_records: int = 1000) -> DataFrame:
-    """The first records in round order, between 1 and 20,000 of them (a page of a report)."""
-    return records.orderBy(*order_by).limit(max(1, min(20_000, limit_records)))
+    """The first ``limit_records`` records in round order (a page of a report)."""
+    if limit_records < 1:
+        raise ValueError("limit_records must be at least 1")
+    return records.orderBy(*order_by).limit(limit_records)
 
 
 def latest_traces(traces: DataFrame, keys: list[str], newest: str, tie: str) -> DataFrame:

@@ -79,7 +79,7 @@ def snippet(text, tokens: list[str], chars: int = 400) -> Column:
 
 
 def substring_search(
-    docs: DataFrame, queries: list[str], doc_id: str, title: str, abstract: str, k: int, max_tokens: int = 12
+    docs: DataFrame, queries: list[str], doc_id: str, title: str, abstract: str, k: int, max_tokens: int | None = None
 ) -> DataFrame:
     """Per query the ``k`` documents with most token hits: 2 per title, 1 per abstract; ties by id.
 
@@ -112,7 +112,9 @@ def _block_search(k: int, max_distance: float | None):
         for qid, vector, allowed, masked in queries:
             v = np.asarray(vector, dtype=float)
             size = np.linalg.norm(v)
-            score = unit @ (v / size) if size > 0 and v.shape[0] == matrix.shape[1] else np.zeros(len(ids))
+            if not size or v.shape[0] != matrix.shape[1]:
+                continue  # a zero query, or one of another length, has no hits
+            score = unit @ (v / size)
             keep = np.ones(len(ids), dtype=bool)
             if allowed is not None:
                 keep &= np.isin(tasks, list(allowed))
@@ -122,15 +124,27 @@ def _block_search(k: int, max_distance: float | None):
                 keep &= (1.0 - score) <= max_distance
             index = np.flatnonzero(keep)
             if len(index) > k:
-                # Everything that ties with the k-th score is kept; the final rank breaks ties by id.
                 edge = np.partition(score[index], len(index) - k)[len(index) - k]
-                index = index[score[index] >= edge - 1e-12]
+                index = index[score[index] >= edge - 1e-9]
+                rounded = np.round(score[index], 9)  # as the final rank does, which breaks ties by id
+                index = index[np.lexsort((ids[index].astype(str), -rounded))[:k]]
             out.extend((qid, ids[i], float(score[i])) for i in index)
         return out
 
     return search
 
 
+def _by_length(search, pdf, asked) -> list:
+    """Search a block whose vectors may differ in length; each length only meets queries of its own."""
+    import numpy as np
+
+    rows = []
+    for _, part in pdf.groupby(pdf["embedding"].map(len), sort=False):
+        matrix = np.stack(part["embedding"].to_numpy()).astype(float)
+        rows.extend(search(part["id"].to_numpy(), matrix, part["doc_id"].to_numpy(), part["task_type"].to_numpy(), asked))
+    return rows
+
+
 def vector_top_k(
     vectors: DataFrame, queries: DataFrame, k: int, max_distance: float | None = None, grid: int | None = None
 ) -> DataFrame:
@@ -166,10 +180,7 @@ def vector_top_k(
 
             for pdf in batches:
                 if len(pdf):
-                    rows = search(
-                        pdf["id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float),
-                        pdf["doc_id"].to_numpy(), pdf["task_type"].to_numpy(), shipped,
-                    )
+                    rows = _by_length(search, pdf, shipped)
                     yield pd.DataFrame(rows, columns=["qid", "id", "score"])
 
         hits = v.mapInPandas(scan, schema)
@@ -189,10 +200,7 @@ def vector_top_k(
             rows = []
             if len(vs) and len(qs):
                 asked = [(r.qid, r.embedding, r.tasks, r.masked_doc) for r in qs.itertuples()]
-                rows = search(
-                    vs["id"].to_numpy(), np.stack(vs["embedding"].to_numpy()).astype(float),
-                    vs["doc_id"].to_numpy(), vs["task_type"].to_numpy(), asked,
-                )
+                rows = _by_length(search, vs, asked)
             return pd.DataFrame(rows, columns=["qid", "id", "score"])
 
         hits = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(cell, schema)
