@@ -25,7 +25,7 @@ def _records(t):
 
 
 def _truth(t):
-    return t.lineitem.where("l_quantity < 12").select(
+    return t.lineitem.select(
         F.lit("HER").alias("task_type"),
         F.concat(F.lit("10.1/"), text(F.pmod("l_orderkey", F.lit(4000)))).alias("doi"),
         F.when(F.col("l_linenumber") > 2, F.pmod("l_suppkey", F.lit(60))).alias("row_number"),
@@ -36,7 +36,7 @@ def _truth(t):
 
 _SQL_TRUTH = """rec as (select '10.1/' || (o_orderkey % 3000) as doi, o_custkey % 60 as row_number, o_orderkey as record_id from orders),
 tr as (select '10.1/' || (l_orderkey % 4000) as doi, case when l_linenumber > 2 then l_suppkey % 60 end as row_number,
-  l_returnflag as context, l_linestatus as label from lineitem where l_quantity < 12),
+  l_returnflag as context, l_linestatus as label from lineitem),
 rr as (select doi, row_number, sum(n) as n, sum(l) as u, max(l) > 1 as c from (select doi, row_number, context, count(*) as n,
   count(distinct label) as l from tr where row_number is not null group by all) group by all),
 dd as (select doi, sum(n) as n, sum(l) as u, max(l) > 1 as c from (select doi, context, count(*) as n,
@@ -120,7 +120,7 @@ _KEY = "regexp_replace(lower({}), '[^0-9a-z]+', '', 'g')"
 
 @query(
     "jon3_binding_by_name",
-    f"""with m as (select l_orderkey as doi, l_linenumber::bigint * 1000000 + l_partkey as mi, {sql_pick(_NAMES, 'l_partkey')} as nm from lineitem where l_tax > 0.05),
+    f"""with m as (select l_orderkey as doi, l_linenumber::bigint * 1000000 + l_partkey as mi, {sql_pick(_NAMES, 'l_partkey')} as nm from lineitem),
       mk as (select *, {_KEY.format('nm')} as k, lower(nm) = 'catalyst' as gen from m),
       pd as (select doi, count(*) as n, min(mi) as mi, max(gen) as gen from mk group by 1),
       x as (select o_orderkey as doi, {sql_pick(_ASKED, 'o_custkey')} as nm, 'the ' || {sql_pick(_NAMES, 'o_orderkey')} || ' was used' as ev from orders),
@@ -141,7 +141,7 @@ _KEY = "regexp_replace(lower({}), '[^0-9a-z]+', '', 'g')"
           else 'multiple_materials_without_material_name' end end as reason from j""",
 )
 def jon3(t):
-    materials = t.lineitem.where("l_tax > 0.05").select(
+    materials = t.lineitem.select(
         F.col("l_orderkey").alias("doi"),
         (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("material_index"),
         pick(_NAMES, "l_partkey").alias("name"),

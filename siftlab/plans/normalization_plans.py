@@ -414,12 +414,14 @@ def nrm19(t):
 
 @query(
     "nrm20_html_cleaning",
-    r"""with u as (select page_id, html as h from pages), e as (select page_id, replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') as h from u),
+    r"""with u as (select page_id, html || ' café é α 5µm — é' as h from pages),
+      e as (select page_id, replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') as h from u),
       c as (select page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as body from e)
     select page_id, len(body)::int as n_chars, md5(body) as digest from c""",
 )
 def nrm20(t):
-    body = D.clean_markup("html")
+    # Named, numeric and hexadecimal references stand behind every page.
+    body = D.clean_markup(F.concat("html", F.lit(" caf&eacute; &#233; &#x3b1; 5&micro;m &mdash; &#xE9;")))
     rows = t.pages.select("page_id", body.alias("body"))
     return rows.select("page_id", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
@@ -447,7 +449,7 @@ def nrm21(t):
 @query(
     "nrm22_document_id_extraction",
     """select doc_id, case doc_id % 6 when 0 then '10.1234/a.' || doc_id when 1 then '10.1234/b' || doc_id when 2 then '10.55555/(c)' || doc_id when 3 then null when 4 then '10.1234/far' || doc_id else null end as doi
-    from documents where n_chars < 7000 or doc_id % 6 < 3""",
+    from documents""",
 )
 def nrm22(t):
     k, d = F.pmod("doc_id", F.lit(6)), text("doc_id")
@@ -462,7 +464,7 @@ def nrm22(t):
         .when(k == 5, F.concat(F.lit("\nReferences\nhttps://doi.org/10.1234/ref"), d))
         .otherwise("")
     )
-    rows = t.wide("documents").where((F.col("n_chars") < 7000) | (k < 3)).select("doc_id", F.concat(head, F.col("text"), tail).alias("text"))
+    rows = t.wide("documents").select("doc_id", F.concat(head, F.col("text"), tail).alias("text"))
     return rows.select("doc_id", D.document_doi("text").alias("doi"))
 
 
@@ -719,8 +721,8 @@ _CTX_TASKS = ("photocatalytic_h2o2", "thermoelectric", "antibacterial", "furfura
     select t as task_type, q, has, case t when 'photocatalytic_h2o2' then '{{"metric":"apparent_quantum_efficiency","wavelengths":' || case when has then '["' || least(q || ' nm', '420 nm') || '"' || case when q = 420 then '' else ',"' || greatest(q || ' nm', '420 nm') || '"' end || ']' else '["unspecified"]' end || '}}'
       when 'thermoelectric' then case when has then '{{"metric":"figure_of_merit","temperature":"' || q || '","temperature_unit":"K"}}' else '{{"metric":"figure_of_merit","temperature":"unspecified","temperature_unit":"unspecified"}}' end
       when 'antibacterial' then '{{"metric":"antibacterial","organisms":' || case when has then '["e. coli","s. aureus"]' else '["unspecified"]' end || '}}'
-      when 'furfural_hydrogenation' then '{{"conditions":' || case when has then '["' || q || ' bar","3 h"]' else '["unspecified"]' end || ',"metric":"furfuryl_alcohol_yield"}}' else '{{"metric":"HER"}}' end as context, count(*) as n from c
-    where t <> 'furfural_hydrogenation' or q || ' bar' < '3 h' group by all""",
+      when 'furfural_hydrogenation' then '{{"conditions":' || case when has then '["' || least(q || ' bar', '3 h') || '","' || greatest(q || ' bar', '3 h') || '"]' else '["unspecified"]' end || ',"metric":"furfuryl_alcohol_yield"}}' else '{{"metric":"HER"}}' end as context, count(*) as n from c
+    group by all""",
 )
 def nrm36(t):
     q = text(F.col("l_quantity").cast("int"))
@@ -731,7 +733,6 @@ def nrm36(t):
         F.when(has, F.concat(q, F.lit(" K"))).alias("temperature"),
     )
     out = rows.withColumn("context", RC.context_key("task_type", {"evidence": "evidence", "temperature": "temperature"}))
-    out = out.where((F.col("task_type") != "furfural_hydrogenation") | (F.concat(text("q"), F.lit(" bar")) < "3 h"))
     return out.groupBy("task_type", "q", "has", "context").agg(F.count(F.lit(1)).alias("n"))
 
 

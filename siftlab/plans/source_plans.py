@@ -35,12 +35,15 @@ def src1_report(t):
 
 @query(
     "src1_jsonl_tagged_records",
-    f"with {_LINE_SQL} select task_type, count(*) as n, sum(k)::bigint as total from kd where kind = 'object' group by all",
+    f"""with {_LINE_SQL} select task_type, count_if(kind = 'object')::bigint as n, sum(case when kind = 'object' then k end)::bigint as total,
+      count_if(kind = 'corrupt')::bigint as n_corrupt from kd where kind in ('object', 'corrupt') group by all""",
 )
 def src1(t):
-    good = _raw_lines(t).where(F.col("line") != '{"k": ')
-    records = jsonl.tagged_records(good, "k bigint")
-    return records.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.sum("record.k").alias("total"))
+    records = jsonl.tagged_records(_raw_lines(t), "k bigint", strict=False)
+    return records.groupBy("task_type").agg(
+        F.count_if(~F.col("corrupt")).alias("n"), F.sum(F.when(~F.col("corrupt"), F.col("record.k"))).alias("total"),
+        F.count_if(F.col("corrupt")).alias("n_corrupt"),
+    )
 
 
 _PROPS = tuple(K.PROPERTY_METRIC_KEYS)

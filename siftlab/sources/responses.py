@@ -64,22 +64,28 @@ def classify_responses(lines: DataFrame, requests: DataFrame, prop: str) -> Data
     batch_http_error, an answer reason, missing_doi or kept.
     """
     item = F.from_json("line", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.where(strip("line") != "").select("line", item.alias("_i"))
-    joined = parsed.withColumn("custom_id", F.col("_i.custom_id")).join(requests, "custom_id", "left")
     content = F.coalesce(F.try_element_at("_i.response.body.choices", F.lit(1))["message"]["content"], F.lit(""))
-    judged = joined.withColumn("content", content).withColumn("_a", _answer(F.col("content"), prop))
-    doi = blank_to_null(F.col("doi"))
-    outcome = (
+    parsed = lines.where(strip("line") != "").select("line", item.alias("_i")).withColumn("content", content)
+    failure = (
         F.when(F.col("_i._corrupt").isNotNull(), "batch_json_decode_error")
         .when(F.coalesce(F.col("_i.response.status_code"), F.lit(0)) != 200, "batch_http_error")
         .when(F.col("_a.reason") != "kept", F.col("_a.reason"))
-        .when(doi.isNull(), "missing_doi")
-        .otherwise("kept")
     )
-    return judged.select(
-        "custom_id", "row_number", doi.alias("doi"), outcome.alias("outcome"), F.col("_a.metals").alias("metals"),
+    judged = parsed.withColumn("_a", _answer(F.col("content"), prop)).select(
+        F.col("_i.custom_id").alias("custom_id"), failure.alias("_failure"), F.col("_a.metals").alias("metals"),
         F.col("_a.metric").alias("metric"), "line", "content",
     )
+    # Only lines with an id are joined: those without one would all meet in one partition.
+    known = judged.where("custom_id is not null").join(requests, "custom_id", "left")
+    alone = judged.where("custom_id is null")
+    for c in requests.columns:
+        if c != "custom_id":
+            alone = alone.withColumn(c, F.lit(None).cast(requests.schema[c].dataType))
+    doi = blank_to_null(F.col("doi"))
+    outcome = F.coalesce("_failure", F.when(doi.isNull(), "missing_doi"), F.lit("kept"))
+    return known.unionByName(alone).select(
+        "custom_id", "row_number", doi.alias("doi"), outcome.alias("outcome"), "metals", "metric", "line", "content"
+    )
 
 
 def kept_responses(classified: DataFrame) -> DataFrame:
@@ -87,11 +93,11 @@ def kept_responses(classified: DataFrame) -> DataFrame:
 
 
 def dead_letters(classified: DataFrame) -> DataFrame:
-    """Rejected lines with the head of the raw line (500) or of the answer text (800 characters)."""
+    """Rejected lines, whole so that they can be replayed, with the head of the line or of the answer for display."""
     head = F.when(F.col("outcome") == "batch_json_decode_error", F.substring("line", 1, 500)).otherwise(
         F.substring("content", 1, 800)
     )
-    return classified.where("outcome <> 'kept'").select("row_number", "doi", F.col("outcome").alias("reason"), head.alias("raw_head"))
+    return classified.where("outcome <> 'kept'").select("row_number", "doi", F.col("outcome").alias("reason"), head.alias("raw_head"), F.col("line").alias("raw_line"))
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
