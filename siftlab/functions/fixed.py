@@ -207,12 +207,16 @@ VARIABLE_SCOPE_PATTERN = (
 
 # The chemical elements by atomic number.
 ELEMENTS = (
-    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr "
-    "Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu "
-    "Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr "
-    "Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
-).split()
-NON_METALS = "H He B C N O F Ne Si P S Cl Ar Ge As Se Br Kr Sb Te I Xe At Rn Ts Og".split()
+    "H", "He", "Li", "Be", "B", "C", "N", "O", "F", "Ne", "Na", "Mg", "Al", "Si", "P", "S", "Cl", "Ar", "K", "Ca", "Sc", "Ti", "V", "Cr", "Mn", "Fe",
+    "Co", "Ni", "Cu", "Zn", "Ga", "Ge", "As", "Se", "Br", "Kr", "Rb", "Sr", "Y", "Zr", "Nb", "Mo", "Tc", "Ru", "Rh", "Pd", "Ag", "Cd", "In", "Sn",
+    "Sb", "Te", "I", "Xe", "Cs", "Ba", "La", "Ce", "Pr", "Nd", "Pm", "Sm", "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb", "Lu", "Hf", "Ta", "W",
+    "Re", "Os", "Ir", "Pt", "Au", "Hg", "Tl", "Pb", "Bi", "Po", "At", "Rn", "Fr", "Ra", "Ac", "Th", "Pa", "U", "Np", "Pu", "Am", "Cm", "Bk", "Cf",
+    "Es", "Fm", "Md", "No", "Lr", "Rf", "Db", "Sg", "Bh", "Hs", "Mt", "Ds", "Rg", "Cn", "Nh", "Fl", "Mc", "Lv", "Ts", "Og",
+)
+NON_METALS = (
+    "H", "He", "B", "C", "N", "O", "F", "Ne", "Si", "P", "S", "Cl", "Ar", "Ge", "As", "Se", "Br", "Kr", "Sb", "Te", "I", "Xe", "At", "Rn", "Ts",
+    "Og",
+)
 SUPPORT_ELEMENTS = ("H", "O", "C", "N", "S", "P", "F", "Cl", "Br", "I", "K", "Na", "Li")
 
 # Element names written out.
@@ -320,9 +324,10 @@ CONDITION_PRESENT = r"\b\d+(?:\.\d+)?\s*(?:k|c|°c|bar|mpa|h|min)\b|temperature|
 
 # Tokens left out of keyword search and hash vectors.
 STOPWORDS = (
-    "a an and are as at be by can could do does for from had has have if in into is it its may must no not of on "
-    "only or our should so that the their then these this those to use using we when will with without you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "do", "does", "for", "from", "had", "has", "have", "if", "in", "into", "is",
+    "it", "its", "may", "must", "no", "not", "of", "on", "only", "or", "our", "should", "so", "that", "the", "their", "then", "these", "this",
+    "those", "to", "use", "using", "we", "when", "will", "with", "without", "you", "your",
+)
 
 # Title noise.
 TITLE_NOISE = (
