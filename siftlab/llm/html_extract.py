@@ -19,20 +19,33 @@ _TAG_COST = (0.05, 1.0)
 _BLOCK_COST = 4.0  # an advert inside the text must not outweigh what follows it
 
 # HTML elements by role.
-_HIDDEN = "script style noscript template head svg math iframe object textarea select button canvas audio video title".split()
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+_HIDDEN = (
+    "script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "textarea", "select", "button", "canvas", "audio", "video",
+    "title",
 )
-_SELF_CLOSING = frozenset("p li dt dd tr td th".split())
-_NEUTRAL = frozenset("html body div article main section span".split())
+_VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
+_BLOCK = frozenset((
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu",
+    "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+)
+)
+_SELF_CLOSING = frozenset((
+    "p", "li", "dt", "dd", "tr", "td", "th",
+))
+_NEUTRAL = frozenset((
+    "html", "body", "div", "article", "main", "section", "span",
+))
 _CONTENT = frozenset(("article", "main"))
 # Names of elements, classes and ids that mark parts around the main text.
-_AROUND = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads advert advertisement sponsor sponsored promo banner cookie "
-    "cookies consent notice gdpr popup modal newsletter subscribe signup login form search comment comments respond reply disqus share "
-    "social related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal skip".split()
+_AROUND = frozenset((
+    "nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "sponsor",
+    "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login",
+    "form", "search", "comment", "comments", "respond", "reply", "disqus", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs",
+    "pagination", "pager", "widget", "toolbar", "copyright", "legal", "skip",
+)
 )
 _AROUND_WEIGHT = 400.0
 
