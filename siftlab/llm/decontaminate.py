@@ -89,8 +89,8 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, n_item: int, size: int) -> lis
     """
     if n_item < size:  # the item is one seed
         return [(int(doc_at.min()), 0, n_item)] if len(doc_at) else []
-    order = np.lexsort((item_at, doc_at - item_at))
-    p, q = doc_at[order], item_at[order]
+    p, q = np.unique(np.stack([doc_at - item_at, item_at]), axis=1)  # by diagonal, then position
+    p = p + q
     cut = np.flatnonzero((np.diff(p - q) != 0) | (np.diff(q) != 1)) + 1
     begin = np.concatenate([[0], cut])
     length = np.diff(np.concatenate([begin, [len(p)]])) + size - 1
@@ -126,7 +126,7 @@ def contaminated(
     seeds are tiled greedily, and a pair is kept if the tiles cover at least ``coverage`` of the
     item's words, in whatever order the passages stand. An item shorter than a seed is found only in
     a document of just its words. Null and empty texts contain nothing and are in nothing;
-    null ids are ignored; rows of equal id are taken as one text after another; other columns
+    null ids are ignored; matches of rows of equal id count together; other columns
     are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession

@@ -56,6 +56,7 @@ def test_tiles_do_not_overlap():
     doc, item = np.array([0, 1, 2, 3, 10, 11]), np.array([0, 1, 2, 3, 1, 2])
     got = decontaminate.tile(doc, item, 8, 5)
     assert got == [(0, 0, 8)]
+    assert decontaminate.tile(np.repeat(doc, 2), np.repeat(item, 2), 8, 5) == got  # a row given twice
 
 
 def test_awkward_rows(spark):
