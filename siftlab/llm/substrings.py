@@ -10,9 +10,10 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from siftlab.llm.words import ByteHashes, as_texts, concat_ranges, slices, text_bytes
+from siftlab.llm.words import ByteHashes, as_texts, bounded, concat_ranges, slices, text_bytes
 from siftlab.session import materialize
 
 MIN_BYTES = 400
@@ -24,6 +25,7 @@ LONG_GROUP = 20_000
 # Lists of at most this many rows go to the texts; beyond it the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 _NO_ID = -(1 << 63)
+_PIECE = 1024
 
 
 def sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
@@ -68,47 +70,59 @@ def stretches(data: np.ndarray, offsets: np.ndarray, min_bytes: int, anchor: int
 
 @dataclass
 class SuffixArray:
-    """Suffixes of several byte strings that have ``depth`` bytes or more, in order, with their common prefixes."""
+    """Suffixes of several byte strings in order, with their common prefixes (a sparse enhanced suffix array)."""
 
     starts: np.ndarray  # of the suffixes, in suffix order
     prefix: np.ndarray  # common prefix of each with the next
     left: np.ndarray  # byte before each; a negative number that occurs once at the start of a string
 
 
+def _sorted(raw: bytes, starts: list[int], ends: list[int], depth: int = 0) -> list[int]:
+    """Suffixes in byte order, compared piece by piece so that long ones are never copied whole."""
+    keys = [raw[a + depth : min(b, a + depth + _PIECE)] for a, b in zip(starts, ends, strict=True)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    out, k = [], 0
+    while k < len(order):
+        stop = k + 1
+        while stop < len(order) and keys[order[stop]] == keys[order[k]]:
+            stop += 1
+        tied = order[k:stop]
+        if stop - k > 1 and len(keys[order[k]]) == _PIECE:
+            inner = _sorted(raw, [starts[i] for i in tied], [ends[i] for i in tied], depth + _PIECE)
+            tied = [tied[i] for i in inner]
+        out += tied
+        k = stop
+    return out
+
+
 def suffix_array(data: np.ndarray, offsets: np.ndarray, depth: int) -> SuffixArray:
-    """Prefix doubling over 8, 16, ... bytes; a string's end sorts before all bytes."""
-    n = len(data)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    here = np.arange(n)
-    spread = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for j in range(7):  # nine bits a byte: 0 is the end
-        key = (key << np.uint64(9)) | np.where(here + j < end, spread[j : n + j], np.uint64(0))
-    ranks = [np.unique(key, return_inverse=True)[1].astype(np.int64)]
-    sizes = [7]
-    longest = int(np.diff(offsets).max()) if len(offsets) > 1 else 0
-    while sizes[-1] < longest:
-        rank, size = ranks[-1], sizes[-1]
-        ahead = np.minimum(here + size, n - 1)
-        second = np.where(here + size < end, rank[ahead] + 1, 0)
-        ranks.append(np.unique(rank * np.int64(n + 1) + second, return_inverse=True)[1].astype(np.int64))
-        sizes.append(2 * size)
-    room = end - here >= depth
-    starts = here[room]
-    starts = starts[np.argsort(ranks[-1][starts], kind="stable")]
+    """The suffixes at which maximal repeats of ``depth`` bytes or more can start.
+
+    Those are the windows of ``depth`` bytes that stand twice and not always behind the same
+    byte. The others are left out: a window that always follows the same byte repeats as part of
+    a repeat that starts further left.
+    """
+    hashes = ByteHashes(data)
+    room = np.maximum(np.diff(offsets) - depth + 1, 0)
+    at = concat_ranges(offsets[:-1], room)
+    end = np.repeat(offsets[1:], room)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets[:-1]] = True
+    before = np.where(first[at], -1 - at, data[np.maximum(at - 1, 0)].astype(np.int64))
+    codes, unique = pd.factorize(hashes.ranges(at, at + depth))
+    low, high = np.full(len(unique), 1 << 40), np.full(len(unique), -(1 << 40))
+    np.minimum.at(low, codes, before)
+    np.maximum.at(high, codes, before)
+    kept = np.flatnonzero((low != high)[codes])
+    kept = kept[np.array(_sorted(data.tobytes(), at[kept].tolist(), end[kept].tolist()), np.int64)]
+    starts, ends = at[kept], end[kept]
     a, b = starts[:-1], starts[1:]
-    prefix = np.zeros(len(a), np.int64)
-    limit = np.minimum(end[a] - a, end[b] - b) if len(a) else prefix
-    for rank, size in zip(reversed(ranks), reversed(sizes), strict=True):
-        x, y = np.minimum(a + prefix, n - 1), np.minimum(b + prefix, n - 1)
-        prefix += np.where((prefix < limit) & (rank[x] == rank[y]), size, 0)
-    for _ in range(6):
-        x, y = np.minimum(a + prefix, n - 1), np.minimum(b + prefix, n - 1)
-        prefix += (prefix < limit) & (data[x] == data[y])
-    prefix = np.minimum(prefix, limit)
-    first = np.isin(starts, offsets[:-1])
-    left = np.where(first, -1 - np.arange(len(starts)), data[np.maximum(starts - 1, 0)].astype(np.int64))
-    return SuffixArray(starts, prefix, left)
+    lo, hi = np.zeros(len(a), np.int64), np.minimum(ends[:-1] - a, ends[1:] - b) if len(a) else np.zeros(0, np.int64)
+    while (lo < hi).any():  # the longest equal prefix by halving
+        middle = (lo + hi + 1) // 2
+        equal = hashes.ranges(a, a + middle) == hashes.ranges(b, b + middle)
+        lo, hi = np.where(equal, middle, lo), np.where(equal, hi, middle - 1)
+    return SuffixArray(starts, lo, before[kept])
 
 
 @dataclass
@@ -222,7 +236,7 @@ def _anchors(texts: DataFrame, min_bytes: int, anchor: int) -> DataFrame:
                 names=["id", "h", "anchor", "content", "first", "last", "twice"],
             )
 
-    return texts.mapInArrow(run, "id long, h long, anchor long, content long, first long, last long, twice boolean")
+    return bounded(texts).mapInArrow(run, "id long, h long, anchor long, content long, first long, last long, twice boolean")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
@@ -286,7 +300,7 @@ def _search(contexts: DataFrame, min_bytes: int) -> DataFrame:
             done = 0
             bodies = table.column("body").chunk(0) if whole else None
             ids, hs, firsts = (table.column(c).to_numpy() for c in ("id", "h", "first"))
-            ends = np.cumsum(pc_length(bodies)) if whole else None
+            ends = np.cumsum(pc.binary_length(bodies).to_numpy().astype(np.int64)) if whole else None
             while done < whole:  # whole anchors of about ARRAY_BYTES together
                 base = ends[done - 1] if done else 0
                 stop = min(whole, max(done + 1, int(np.searchsorted(ends, base + ARRAY_BYTES, side="right"))))
@@ -302,12 +316,6 @@ def _search(contexts: DataFrame, min_bytes: int) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _RANGES)
 
 
-def pc_length(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _count_windows(contexts: DataFrame, min_bytes: int) -> DataFrame:
     """The same for anchors with very many stretches: windows are counted by a combinable aggregate."""
 

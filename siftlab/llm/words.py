@@ -7,9 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Batches are cut into slices of about this many text bytes, so memory does not follow the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+# Text rows are sent to Python in batches of about this size: ten thousand long texts are not.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -62,6 +66,12 @@ class ByteHashes:
         return mix((self.sums[size:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """The frame, in a session that cuts batches by size and not only by rows."""
+    rows.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows
+
+
 def as_texts(column: pa.Array) -> pa.Array:
     """The column as large_string without nulls (null: empty text)."""
     return pc.fill_null(column.cast(pa.large_string()), "")
