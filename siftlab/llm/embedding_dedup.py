@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftlab.llm.components import components
+from siftlab.llm.selection import thinned
 from siftlab.session import materialize
 
 MIN_COSINE = 0.98
@@ -197,7 +198,7 @@ def near_vectors(
     product codes of their residuals; a query probes every list whose cell its ball can meet,
     and members whose table-lookup distance, less their own coding error, is within the radius
     are compared exactly, so no pair is lost. Centres and codewords are fitted to at most
-    ``sample`` vectors of smallest hash; every row is indexed. Vectors that are null, empty,
+    ``sample`` vectors chosen by hash; every row is indexed. Vectors that are null, empty,
     zero, of another length than most, or hold null or non-finite numbers link with nothing.
     Rows of equal id are separate rows. A null id counts as a link of others; its component is
     the smallest id reachable. An empty table gives no rows; other columns are ignored.
@@ -220,13 +221,15 @@ def near_vectors(
             yield batch.select(["node"]).take(pa.array(kept))
 
     good = materialize(nodes.select("node", "embedding").mapInArrow(valid, "node long"), "usable")
-    chosen = nodes.join(good, "node", "left_semi").orderBy("node").limit(sample).select("embedding").toPandas()
+    n_good = good.count()
+    chosen = nodes.join(good.where(thinned(F.col("node"), sample, n_good)), "node", "left_semi").orderBy("node").limit(sample)
+    chosen = chosen.select("embedding").toPandas()
     if not len(chosen):
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     points = np.stack([np.asarray(v, np.float64) for v in chosen["embedding"]])
     points = points / np.abs(points).max(axis=1)[:, None]
     points = points / np.sqrt((points * points).sum(1))[:, None]
-    n_lists = max(1, min(MAX_LISTS, good.count() // LIST_SIZE, len(points) // 8))
+    n_lists = max(1, min(MAX_LISTS, n_good // LIST_SIZE, len(points) // 8))
     quantiser = spark.sparkContext.broadcast(Quantiser.fit(points, n_lists, min_cosine))
     index = materialize(_indexed(nodes.select("label", "node", "embedding"), quantiser, width), "index")
     pairs = materialize(_pairs(index, quantiser, min_cosine), "pairs")

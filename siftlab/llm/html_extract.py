@@ -12,6 +12,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siftlab.llm.selection import thinned
+from siftlab.llm.words import bounded
+
 SAMPLE_PAGES = 1000
 MAX_FEATURES = 5000
 _CLIP = 4.0
@@ -214,11 +217,12 @@ def main_text(page: str, weights: Weights) -> str:
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Weights:
     """Weights from at most ``sample`` pages that mark their main text with <article> or <main>.
 
-    The pages of the smallest id hashes are taken; only counts per feature reach the driver, of
+    Pages are taken by id hash; only counts per feature reach the driver, of
     the ``MAX_FEATURES`` most frequent features. Without labelled pages the fixed names decide.
     """
     marked = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample).select("html")
+    marked = marked.where(thinned(F.xxhash64("id"), sample, pages.count()))
+    chosen = marked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,4 +261,4 @@ def extract_pages(
                 names=["id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return bounded(rows).mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

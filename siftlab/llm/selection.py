@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.session import materialize
 
@@ -25,6 +25,15 @@ def drop_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     return docs.join(_id_list(ids, column), F.col(column).eqNullSafe(F.col("_llm_listed")), "left_anti")
 
 
+def thinned(hashed: Column, wanted: int, total: int) -> Column:
+    """Condition that leaves about four times ``wanted`` of ``total`` rows, by hash.
+
+    A sample is then cut from what is left, so the last task sees few rows from however many tasks.
+    """
+    slots = 1 << 20
+    return F.lit(True) if total <= 4 * wanted else F.pmod(hashed, F.lit(slots)) <= slots * 4 * wanted // total
+
+
 def one_row_per_id(docs: DataFrame, marked: DataFrame, column: str = "doc_id") -> DataFrame:
     """``docs`` with one row for each id; ``marked`` has the ids of all rows.
 
