@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftlab.llm.words import LOWER, ByteHashes, as_texts, mix, slices, text_bytes, word_ranges
+from siftlab.llm.words import LOWER, ByteHashes, as_texts, bounded, mix, slices, text_bytes, word_ranges
 from siftlab.session import materialize
 
 MIN_TILE = 5  # words of the shortest tile, which are also the words of a seed
@@ -66,7 +66,7 @@ def _seed_rows(rows: DataFrame, size: int, filter_bits=None) -> DataFrame:
                 names=["id", "n_tokens", "position", "seed"],
             )
 
-    return rows.mapInArrow(run, "id long, n_tokens long, position long, seed long")
+    return bounded(rows).mapInArrow(run, "id long, n_tokens long, position long, seed long")
 
 
 def _in_use(seeds: DataFrame):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftlab.llm.words import LOWER, as_texts, range_sums, slices, text_bytes
+from siftlab.llm.words import LOWER, as_texts, bounded, range_sums, slices, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -272,4 +272,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_hidden long, base_sha256 string, spans string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.llm.components import components
-from siftlab.llm.words import LOWER, SPACE, ByteHashes, as_texts, mix, slices, text_bytes, word_ranges
+from siftlab.llm.words import LOWER, SPACE, ByteHashes, as_texts, bounded, mix, slices, text_bytes, word_ranges
 from siftlab.session import materialize
 
 SHINGLE_WORDS = 4
@@ -103,7 +103,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, fingerprints:
                 [piece.column("id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], names=["id", "fp", "check"]
             )
 
-    return rows.mapInArrow(run, "id long, fp long, check long")
+    return bounded(rows).mapInArrow(run, "id long, fp long, check long")
 
 
 def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:

@@ -14,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftlab.llm import simple8b
-from siftlab.llm.words import LOWER, ByteHashes, as_texts, concat_ranges, range_sums, slices, text_bytes, word_ranges
+from siftlab.llm.words import LOWER, ByteHashes, as_texts, bounded, concat_ranges, range_sums, slices, text_bytes, word_ranges
 from siftlab.session import scratch_path
 
 END_ID = 1
 # Letters that every step of the tokenizer treats alike: units of these are learned in bulk.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_KNOWN_UNITS = 600_000
+_KNOWN_UNITS = 350_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -166,7 +166,7 @@ def write_token_shards(
             before += len(ids)
             seq += 1
 
-    rows.mapInArrow(
+    bounded(rows).mapInArrow(
         pack,
         "part int, seq int, before long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, "
         "block_offsets array<bigint>, words binary",

@@ -10,7 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftlab.llm.words import LOWER, ByteHashes, as_texts, concat_ranges, range_sums, slices, text_bytes, word_ranges
+from siftlab.llm.selection import thinned
+from siftlab.llm.words import LOWER, ByteHashes, as_texts, bounded, concat_ranges, range_sums, slices, text_bytes, word_ranges
 from siftlab.session import materialize
 
 ORDER = 6  # bytes of the longest gram
@@ -23,7 +24,7 @@ CALIBRATION_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
 _CLIP = 12.0
 _UNFITTED = np.array([0.0, 0.5, 1.0, 1.0, 0.0, -4.0])  # where no calibration row can be had
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 _START, _END = 1, 2
 _BUCKETS = 1 << BUCKET_BITS
 
@@ -112,18 +113,30 @@ _TABLE = ("context", "left", "follow", "toxic", "ordinary", "toxic_all", "ordina
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per fold and bucket of all words of the task; at most one row for each of them."""
-    tables: dict[int, dict[str, np.ndarray]] = {}
+    """Counts per fold and bucket of all words of the task, which come by fold; one row for each at most."""
+    now, table = None, {}
     for piece in slices(batches, "word"):
         folds = piece.column("fold").to_numpy()
         for fold in np.unique(folds).tolist():
-            if fold not in tables:
+            if fold != now:
+                yield from _used_rows(now, table)
                 table = {c: np.zeros(_BUCKETS, np.uint64 if c.endswith(("left", "follow")) else np.int64) for c in _TABLE}
-                tables[fold] = table | {"context": np.full(_BUCKETS, -1, np.int64)}
-            _add_words(tables[fold], piece.filter(pa.array(folds == fold)))
-    for fold, table in tables.items():
-        used = np.flatnonzero(np.any([table[c] != 0 for c in _TABLE[1:]], axis=0))
-        columns = [pa.array(np.full(len(used), fold, np.int32)), pa.array(used), *(pa.array(table[c][used].view(np.int64)) for c in _TABLE)]
+                table["context"] -= 1
+                now = fold
+            _add_words(table, piece.filter(pa.array(folds == fold)))
+    yield from _used_rows(now, table)
+
+
+def _used_rows(fold: int | None, table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if fold is None:
+        return
+    kept = np.zeros(_BUCKETS, bool)
+    for c in _TABLE[1:]:
+        kept |= table[c] != 0
+    used = np.flatnonzero(kept)
+    for start in range(0, len(used), 1 << 16):
+        at = used[start : start + (1 << 16)]
+        columns = [pa.array(np.full(len(at), fold, np.int32)), pa.array(at), *(pa.array(table[c][at].view(np.int64)) for c in _TABLE)]
         yield pa.RecordBatch.from_arrays(columns, names=["fold", "bucket", *_TABLE])
 
 
@@ -276,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(model, logistic weights), or None if the labels do not have both classes.
 
     Rows with crc32(id) mod 3 = 1 give nothing; all others are counted, in two folds. At most
-    ``calibration_rows`` of them (by smallest id hash) turn features into a probability, each
+    ``calibration_rows`` of them (by id hash) turn features into a probability, each
     scored by a model of the other fold. Several labels of an id count as toxic if one is; null
     labels are none. Word counts are summed in Spark and grow with the corpus; what reaches the
     driver is one row for each of the fixed hash buckets.
@@ -285,13 +298,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     marks = marks.groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).withColumnRenamed("id", "_id")
-    if labels.count() <= BROADCAST_LABELS:
+    n_labels = labels.count()
+    chosen = marks.where(thinned(F.xxhash64("_id"), calibration_rows, n_labels)).orderBy(F.xxhash64("_id", F.lit(1)), "_id")
+    chosen = chosen.limit(calibration_rows).select(F.col("_id").alias("_sid"))
+    if n_labels <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id"))
     marked = marked.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
-    words = marked.select("fold", "text", "toxic").mapInArrow(_word_counts, "fold int, word binary, toxic long, ordinary long")
+    words = bounded(marked.select("fold", "text", "toxic")).mapInArrow(_word_counts, "fold int, word binary, toxic long, ordinary long")
     words = words.groupBy("fold", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counts = words.mapInArrow(_gram_counts, "fold int, bucket long, " + ", ".join(f"{c} long" for c in _TABLE))
+    counts = words.sortWithinPartitions("fold").mapInArrow(_gram_counts, "fold int, bucket long, " + ", ".join(f"{c} long" for c in _TABLE))
     columns = [F.max("context").alias("context")]
     for part, inside in (("0", F.col("fold") == 0), ("1", F.col("fold") == 1), ("both", F.lit(True))):
         for c in _TABLE[1:]:
@@ -304,7 +320,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not table["toxic_all_both"].any() or not table["ordinary_all_both"].any():
         return None
     folds = spark.sparkContext.broadcast([SpellingModel.of(table, "1"), SpellingModel.of(table, "0")])
-    chosen = marks.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(calibration_rows).select(F.col("_id").alias("_sid"))
     sample = marked.join(F.broadcast(chosen), F.col("id") == F.col("_sid"), "left_semi").select("text", "toxic", "fold")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
