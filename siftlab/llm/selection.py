@@ -34,12 +34,25 @@ def thinned(hashed: Column, wanted: int, total: int) -> Column:
     return F.lit(True) if total <= 4 * wanted else F.pmod(hashed, F.lit(slots)) <= slots * 4 * wanted // total
 
 
-def one_row_per_id(docs: DataFrame, marked: DataFrame, column: str = "doc_id") -> DataFrame:
-    """``docs`` with one row for each id; ``marked`` has the ids of all rows.
+def _key_list(keys: DataFrame, label: str) -> DataFrame:
+    listed = materialize(keys.select(F.col("id").alias("_llm_id"), F.col("text_hash").alias("_llm_listed")).distinct(), label)
+    return F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+
+
+def kept_rows(docs: DataFrame, marked: DataFrame, text_hash: Column, column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that are not kept, and of rows equal in id and text one.
 
-    Only rows of repeated ids are shuffled.
+    ``marked`` has (column, text_hash, kept) of every row. Rows are told apart by id, null or not,
+    and text hash, so an id says nothing on rows of another text. Only rows given twice are shuffled.
     """
-    again = materialize(marked.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(column), "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = marked.select(F.col(column).alias("id"), "text_hash", "kept")
+    keyed = docs.withColumn("_llm_hash", text_hash)
+    same = F.col(column).cast("long").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_hash") == F.col("_llm_listed"))
+    left = keyed.join(_key_list(marked.where("not kept"), "dropped"), same, "left_anti")
+    again = marked.where("kept").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = _key_list(again, "repeated")
     if again.isEmpty():
-        return docs
-    return drop_ids(docs, again, column).unionByName(keep_ids(docs, again, column).dropDuplicates([column]))
+        return left.select(columns)
+    once = left.join(again, same, "left_anti")
+    return once.unionByName(left.join(again, same, "left_semi").dropDuplicates([column, "_llm_hash"])).select(columns)

@@ -92,18 +92,24 @@ def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.
     return majority(w[fresh], distinct), majority(shingles, count)
 
 
+def text_hash(text_col: str) -> Column:
+    """With the id the key of a row; a null text has the hash of no text."""
+    return F.xxhash64(F.col(f"`{text_col}`"))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, fingerprints: Callable) -> DataFrame:
-    """(id, fp, check) per document: the indexed fingerprint and the one that is checked, signed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, fp, check, text_hash) per row: the indexed fingerprint and the one that is checked, signed."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             fp, check = fingerprints(as_texts(piece.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], names=["id", "fp", "check"]
+                [piece.column("id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), piece.column("text_hash")],
+                names=["id", "fp", "check", "text_hash"],
             )
 
-    return bounded(rows).mapInArrow(run, "id long, fp long, check long")
+    return bounded(rows).mapInArrow(run, "id long, fp long, check long, text_hash long")
 
 
 def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:
@@ -244,18 +250,25 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, check_bits:
 
 
 def _groups(marked: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
-    """(id, fp, component_id) per row of (id, fp, check)."""
+    """(id, fp, component_id, text_hash, first_hash) per row of (id, fp, check, text_hash).
+
+    The component is the smallest id reachable, null only if all are; with the smallest
+    ``first_hash`` under that id it names the row that stands for the component.
+    """
     marked = materialize(marked.withColumn("node", F.xxhash64("fp", "check")), "fingerprints")
-    distinct = materialize(marked.groupBy("fp", "check", "node").agg(F.min("id").alias("least")), "distinct")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    distinct = materialize(marked.groupBy("fp", "check", "node").agg(least.alias("least")), "distinct")
     links = fingerprint_links(distinct.select("fp", "check"), max_bits, check_bits)
     edges = links.select(F.xxhash64("a", "a_check").alias("a"), F.xxhash64("b", "b_check").alias("b"))
     tree = components(edges)
     rooted = distinct.join(tree, distinct["node"] == tree["id"], "left").select(
         "node", "least", F.coalesce("root", "node").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("node").alias("_node"), "component_id")
-    return marked.join(named, F.col("node") == F.col("_node")).select("id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(least, "root").select(
+        F.col("node").alias("_node"), F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("first_hash")
+    )
+    return marked.join(named, F.col("node") == F.col("_node")).select("id", "fp", "component_id", "text_hash", "first_hash")
 
 
 def near_duplicates(
@@ -285,15 +298,18 @@ def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, max_bits: int = COPY_MAX_BITS,
     check_bits: int = COPY_CHECK_BITS,
 ) -> DataFrame:
-    """(id, component_id, kept) per row for copies with a shingle similarity of about 0.8 or more.
+    """(id, component_id, kept, text_hash) per row for copies with a shingle similarity of about 0.8 or more.
 
     The index runs over SimHashes of the different words; a pair is linked if these differ in at
     most ``max_bits`` bits and the SimHashes of the ``size``-word shingles in at most
-    ``check_bits``. Rows, nulls and ties are treated as in ``near_duplicates``.
+    ``check_bits``. ``kept`` marks the row of the smallest id (nulls last) and then the smallest
+    ``text_hash`` of its component; only rows equal in both are kept together. So every
+    component keeps a row, also one of null ids, and different texts under one id are judged each.
     """
 
     def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return copy_fingerprints_of(texts, size)
 
     found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), max_bits, check_bits)
-    return found.select(F.col("id").alias(id_col), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    return found.select(F.col("id").alias(id_col), "component_id", kept.alias("kept"), "text_hash")

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 import corpus_pipeline
 from siftlab.llm import simhash
 from siftlab.llm.queries import tokenizer_file
-from tests.llm.samples import docs_frame
+from tests.llm.samples import docs_frame, document, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,3 +58,14 @@ def test_near_dedup_leaves_one_of_each_group(spark):
     texts = [r["text"] for r in left.collect()]
     assert len(texts) == len(set(texts))
     assert simhash.similar_documents(left).where("not kept").count() == 0
+
+
+def test_near_dedup_judges_rows_and_not_ids(spark):
+    rng = random.Random(31)
+    texts = [words(rng, 80) for _ in range(9)]
+    copy = texts[0].replace(" ", "  ")
+    rows = [document(1, texts[0]), document(1, texts[1]), document(1, texts[1]), document(2, copy), document(2, texts[2])]
+    rows += [document(None, texts[k]) for k in (3, 4, 5, 5, 1)] + [document(None, copy), document(3, texts[6]), document(3, texts[6].replace(" ", "\t"))]
+    left = sorted((r["doc_id"] or 0, r["text"].split()) for r in corpus_pipeline.near_dedup(spark, docs_frame(spark, rows), FOLDER).collect())
+    want = [(0, 3), (0, 4), (0, 5), (1, 0), (1, 1), (2, 2), (3, 6)]
+    assert left == sorted((i, texts[k].split()) for i, k in want)
