@@ -17,14 +17,16 @@ from siftlab.session import materialize
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
-# Looser search for copies with a shingle similarity of 0.8: words are indexed, shingles checked.
+# Search for copies by the Jaccard similarity of their shingles: a fingerprint holds one byte of the
+# least shingle hash in each of eight orders, and texts that share ``COPY_TALLY`` bytes are compared.
 COPY_SHINGLE = 5
-COPY_MAX_BITS = 5
-COPY_CHECK_BITS = 12
+COPY_SIMILARITY = 0.8
+COPY_TALLY = 4
 # Largest number of fingerprints of one posting list that a task compares at once.
 LIST_BLOCK = 4096
 _SHORT_LIST = 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ORDERS = np.arange(1, 17, 2, dtype=np.uint64) * _STEP
 
 
 def shingle_ranges(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,27 +71,40 @@ def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Two SimHashes of each text: over its different words, and over its word shingles.
-
-    A changed word changes ``size`` shingles but one word, so copies stay close in the first;
-    the second tells them from texts that only share their vocabulary.
-    """
+def shingle_hashes(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each lower-cased word shingle, the number of them per text, and a hash of each text's words."""
     data, offsets = text_bytes(texts)
     starts, ends, first = word_ranges(data, offsets)
     words = ByteHashes(LOWER[data]).ranges(starts, ends)
-    text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
-    order = np.lexsort((words, text))
-    w, t = words[order], text[order]
-    fresh = np.ones(len(w), bool)
-    fresh[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
-    distinct = np.bincount(t[fresh].astype(np.int64), minlength=len(texts))
     begin, last, count = shingle_ranges(first, size)
     shingles = np.zeros(len(begin), np.uint64)
     for j in range(size):
         inside = begin + j <= last
         shingles[inside] = mix(shingles[inside] * _STEP + words[(begin + j)[inside]])
-    return majority(w[fresh], distinct), majority(shingles, count)
+    n_words = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], n_words)
+    content = np.zeros(len(texts), np.uint64)
+    full = np.flatnonzero(n_words)
+    if len(full):
+        content[full] = mix(np.add.reduceat(mix(words + place.astype(np.uint64) * _STEP), first[:-1][full]) + n_words[full].astype(np.uint64))
+    return shingles, count, content
+
+
+def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Eight MinHash bytes over the shingles of each text, and the hash of its words.
+
+    Two texts agree in each byte with the probability of their Jaccard similarity, whatever the
+    edits between them are.
+    """
+    shingles, count, content = shingle_hashes(texts, size)
+    out = np.zeros(len(texts), np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        at = (np.cumsum(count) - count)[full]
+        for k, step in enumerate(_ORDERS):
+            least = np.minimum.reduceat(mix(shingles + step), at)
+            out[full] |= (least & np.uint64(255)) << np.uint64(8 * k)
+    return out, content
 
 
 def text_hash(text_col: str) -> Column:
@@ -127,13 +142,28 @@ def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:
     return F.array(*keys)
 
 
-def linked(x: np.ndarray, y: np.ndarray, max_bits: int, check_bits: int) -> np.ndarray:
-    """Whether fingerprint pairs (rows of fp and check) are close enough in both."""
-    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= max_bits
-    return near if check_bits >= 64 else near & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= check_bits)
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def within_bits(max_bits: int) -> Near:
+    """Whether fingerprint pairs (rows of fp, check, group) differ in at most ``max_bits`` bits."""
+    return lambda x, y: np.bitwise_count(x[..., 0] ^ y[..., 0]) <= max_bits
+
+
+def same_bytes(tally: int) -> Near:
+    """Whether fingerprint pairs of different groups share at least ``tally`` positional bytes."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x[..., 0] ^ y[..., 0]
+        same = np.zeros(d.shape, np.int8)
+        for k in range(8):
+            same += (d >> np.uint64(8 * k) & np.uint64(255)) == 0
+        return (same >= tally) & (x[..., 2] != y[..., 2])
 
+    return near
 
-def star_edges(nodes: np.ndarray, max_bits: int, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
+
+def star_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """(member, first member) of every group of linked nodes.
 
     A breadth-first search in which every member is compared with those not yet reached, so a
@@ -145,18 +175,29 @@ def star_edges(nodes: np.ndarray, max_bits: int, check_bits: int) -> tuple[np.nd
         seed, rest = rest[0], rest[1:]
         frontier = np.array([seed])
         while len(frontier) and len(rest):
-            near = np.zeros(len(rest), bool)
+            hits = np.zeros(len(rest), bool)
             for k in range(0, len(frontier), 64):
-                open_ = np.flatnonzero(~near)
-                hit = linked(nodes[frontier[k : k + 64], None], nodes[None, rest[open_]], max_bits, check_bits)
-                near[open_] = hit.any(axis=0)
-            frontier, rest = rest[near], rest[~near]
+                open_ = np.flatnonzero(~hits)
+                hit = near(nodes[frontier[k : k + 64], None], nodes[None, rest[open_]])
+                hits[open_] = hit.any(axis=0)
+            frontier, rest = rest[hits], rest[~hits]
             root[frontier] = seed
     moved = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[moved], nodes[root[moved]]
 
 
-_FOUND = "a long, a_check long, b long, b_check long, key long, block int"
+def pair_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of different nodes."""
+    left, right = [nodes[:0]], [nodes[:0]]
+    for k in range(0, len(nodes), 64):
+        i, j = np.nonzero(near(nodes[k : k + 64, None], nodes[None, k:]))
+        i, j = i[i < j] + k, j[i < j] + k
+        left.append(nodes[i])
+        right.append(nodes[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+_FOUND = "a long, a_check long, a_group long, b long, b_check long, key long, block int"
 
 
 def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pa.RecordBatch:
@@ -166,16 +207,17 @@ def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pa.Recor
     empty = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            column(a, 0), column(a, 1), empty if b is None else column(b, 0), empty if b is None else column(b, 1),
+            column(a, 0), column(a, 1), empty if b is not None else column(a, 2),
+            empty if b is None else column(b, 0), empty if b is None else column(b, 1),
             empty if key is None else pa.array(np.full(n, key, np.int64)),
             pa.nulls(n, pa.int32()) if block is None else pa.array(np.full(n, block, np.int32)),
         ],
-        names=["a", "a_check", "b", "b_check", "key", "block"],
+        names=["a", "a_check", "a_group", "b", "b_check", "key", "block"],
     )
 
 
-def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of whole posting lists: short ones all together by shifted comparison, others by search."""
+def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, near: Near, search_list: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of whole posting lists: short ones all together by shifted comparison, others by ``search_list``."""
     lengths = np.diff(bounds)
     left, right = [nodes[:0]], [nodes[:0]]
     short = np.repeat(lengths <= _SHORT_LIST, lengths)
@@ -183,32 +225,33 @@ def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, bit
         same = np.flatnonzero(short[:-shift] & (keys[:-shift] == keys[shift:]))
         if not len(same):
             break
-        hit = same[linked(nodes[same], nodes[same + shift], *bits)]
+        hit = same[near(nodes[same], nodes[same + shift])]
         left.append(nodes[hit])
         right.append(nodes[hit + shift])
     for k in np.flatnonzero(lengths > _SHORT_LIST).tolist():
-        a, b = star_edges(nodes[bounds[k] : bounds[k + 1]], *bits)
+        a, b = search_list(nodes[bounds[k] : bounds[k + 1]], near)
         left.append(a)
         right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, check_bits: int = 64) -> DataFrame:
-    """Edges (a, a_check, b, b_check) between different nodes (fp, check); they have the components of all links.
+def fingerprint_links(distinct: DataFrame, keys: Column, near: Near, search_list: Callable = star_edges) -> DataFrame:
+    """Edges (a, a_check, b, b_check) between different nodes (fp, check, group).
+
+    They have the components of all links; with ``pair_edges`` as ``search_list`` they are all links.
 
     Posting lists are dealt by key and sorted, and each is searched by one task in blocks of
     ``LIST_BLOCK``. A longer list is not held together: its blocks are marked, and all pairs of
     its blocks are searched by separate tasks, so no link is lost and no task grows with the list.
     """
-    rows = distinct.select("fp", "check", F.explode(posting_keys(F.col("fp"), max_bits)).alias("key"))
+    rows = distinct.select("fp", "check", "group", F.explode(keys).alias("key"))
     rows = rows.repartition("key").sortWithinPartitions("key", "fp", "check")
-    bits = (max_bits, check_bits)
 
     def nodes_of(batch) -> np.ndarray:
-        return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "check")], axis=1)
+        return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "check", "group")], axis=1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        keys, nodes = np.zeros(0, np.int64), np.zeros((0, 3), np.uint64)
         long_key, block = None, 0  # the list of which blocks have been sent on
         for batch in chain(batches, [None]):
             if batch is not None:
@@ -224,7 +267,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, check_bits:
                 bounds, long_key = bounds[1:], None
             if len(bounds) > 1:
                 lo, hi = bounds[0], bounds[-1]
-                yield _rows(*_edges_of_lists(keys[lo:hi], nodes[lo:hi], bounds - lo, bits))
+                yield _rows(*_edges_of_lists(keys[lo:hi], nodes[lo:hi], bounds - lo, near, search_list))
             keys, nodes = keys[bounds[-1] :], nodes[bounds[-1] :]
             while len(keys) > LIST_BLOCK:
                 if keys[0] != long_key:
@@ -234,33 +277,32 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, check_bits:
 
     found = materialize(rows.mapInArrow(search, _FOUND), "postings")
     edges = found.where("b is not null").select("a", "a_check", "b", "b_check")
-    blocks = found.where("key is not null").select(F.col("a").alias("fp"), F.col("a_check").alias("check"), "key", "block")
+    blocks = found.where("key is not null").select(F.col("a").alias("fp"), F.col("a_check").alias("check"), F.col("a_group").alias("group"), "key", "block")
     # Every pair of blocks of a long list: each block is sent to as many tasks as the list has blocks.
     sizes = blocks.groupBy("key").agg((F.max("block") + 1).alias("n"))
     cells = blocks.join(sizes, "key").select(
-        "fp", "check", "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "check")
+        "fp", "check", "group", "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "check", "group")
 
     def search_cell(table: pa.Table) -> pa.Table:
-        a, b = star_edges(nodes_of(table.combine_chunks()), *bits)
+        a, b = search_list(nodes_of(table.combine_chunks()), near)
         return pa.Table.from_batches([_rows(a, b)]).select(["a", "a_check", "b", "b_check"])
 
     searched = cells.groupBy("key", "i", "j").applyInArrow(search_cell, "a long, a_check long, b long, b_check long")
     return edges.unionByName(searched)
 
 
-def _groups(marked: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
+def _groups(marked: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, fp, component_id, text_hash, first_hash) per row of (id, fp, check, text_hash).
 
-    The component is the smallest id reachable, null only if all are; with the smallest
-    ``first_hash`` under that id it names the row that stands for the component.
+    ``links`` gives the edges (a, b) between the nodes of a frame (fp, check, node). The component
+    is the smallest id reachable, null only if all are; with the smallest ``first_hash`` under that
+    id it names the row that stands for the component.
     """
     marked = materialize(marked.withColumn("node", F.xxhash64("fp", "check")), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
     distinct = materialize(marked.groupBy("fp", "check", "node").agg(least.alias("least")), "distinct")
-    links = fingerprint_links(distinct.select("fp", "check"), max_bits, check_bits)
-    edges = links.select(F.xxhash64("a", "a_check").alias("a"), F.xxhash64("b", "b_check").alias("b"))
-    tree = components(edges)
+    tree = components(links(distinct.select("fp", "check", "node")))
     rooted = distinct.join(tree, distinct["node"] == tree["id"], "left").select(
         "node", "least", F.coalesce("root", "node").alias("root")
     )
@@ -271,6 +313,10 @@ def _groups(marked: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
     return marked.join(named, F.col("node") == F.col("_node")).select("id", "fp", "component_id", "text_hash", "first_hash")
 
 
+def _node_edges(links: DataFrame) -> DataFrame:
+    return links.select(F.xxhash64("a", "a_check").alias("a"), F.xxhash64("b", "b_check").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED
 ) -> DataFrame:
@@ -287,29 +333,90 @@ def near_duplicates(
     def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return fingerprints_of(texts, size, seed), np.zeros(len(texts), np.uint64)
 
-    found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), max_bits, 64)
+    def links(nodes: DataFrame) -> DataFrame:
+        rows = nodes.withColumn("group", F.lit(0).cast("long"))
+        return _node_edges(fingerprint_links(rows, posting_keys(F.col("fp"), max_bits), within_bits(max_bits)))
+
+    found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), links)
     return found.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``check`` values whose shingle sets have at least this Jaccard similarity."""
+    right = sets.select(F.col("check").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("check").alias("a"), F.col("shingles").alias("x"))
+    both = pairs.join(right, "b").join(left, "a")
+    # Equal shares are not lost to rounding: both sides are whole numbers below 2 ** 53.
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("n", shared).where(
+        F.col("n") * F.lit(1000) >= F.lit(round(similarity * 1000)) * (F.size("x") + F.size("y") - F.col("n"))
+    ).select("a", "b")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
+    """(check, shingles) of the texts whose hash is in ``wanted`` (text_hash): the different shingle hashes of each."""
+    rows = docs.select(F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    rows = rows.join(wanted, "text_hash", "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            shingles, count, content = shingle_hashes(as_texts(piece.column("text")), size)
+            bounds = np.concatenate([[0], np.cumsum(count)])
+            sets = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), lists], names=["check", "shingles"])
+
+    return bounded(rows).mapInArrow(run, "check long, shingles array<long>")
+
+
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, max_bits: int = COPY_MAX_BITS,
-    check_bits: int = COPY_CHECK_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY,
+    tally: int = COPY_TALLY,
 ) -> DataFrame:
-    """(id, component_id, kept, text_hash) per row for copies with a shingle similarity of about 0.8 or more.
-
-    The index runs over SimHashes of the different words; a pair is linked if these differ in at
-    most ``max_bits`` bits and the SimHashes of the ``size``-word shingles in at most
-    ``check_bits``. ``kept`` marks the row of the smallest id (nulls last) and then the smallest
-    ``text_hash`` of its component; only rows equal in both are kept together. So every
-    component keeps a row, also one of null ids, and different texts under one id are judged each.
+    """(id, component_id, kept, text_hash) per row for copies with a shingle similarity of ``similarity`` or more.
+
+    The index runs over MinHash bytes of the ``size``-word shingles (a text of fewer words is one
+    shingle), keyed by every choice of ``tally`` positions: a pair of similarity s is a candidate
+    with the probability that at least ``tally`` of eight bytes agree, 0.99 at 0.8, whatever the
+    edits. Every candidate link is checked by the exact Jaccard similarity of the shingle sets. A
+    first search takes a tree of candidates from each long list; a second one takes all
+    candidate pairs that the links found so far do not connect, so no checked link is missed for
+    the sake of a tree. Texts of equal words are one node. ``kept`` marks the row of the smallest
+    id (nulls last) and then the smallest ``text_hash`` of its component; only rows equal in both
+    are kept together. So every component keeps a row, also one of null ids, and different texts
+    under one id are judged each.
     """
 
     def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return copy_fingerprints_of(texts, size)
 
-    found = _groups(with_fingerprint(docs, id_col, text_col, fingerprints), max_bits, check_bits)
+    marked = materialize(with_fingerprint(docs, id_col, text_col, fingerprints), "copies")
+
+    def links(nodes: DataFrame) -> DataFrame:
+        keys = posting_keys(F.col("fp"), 8 - tally)
+        near = same_bytes(tally)
+        pairs = lambda found: materialize(
+            found.select(F.greatest("a_check", "b_check").alias("a"), F.least("a_check", "b_check").alias("b")).distinct(), "candidates"
+        )
+        first = pairs(fingerprint_links(nodes.withColumn("group", F.col("check")), keys, near))
+        # Every text with a candidate is in one of these edges; the others need no shingles and no second search.
+        ends = materialize(first.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "candidates")
+        again = marked.join(ends, "check", "left_semi").groupBy("check").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
+        sets = materialize(shingle_sets(docs, text_col, again, size).dropDuplicates(["check"]), "shingles")
+        found = materialize(_similar(first, sets, similarity), "similar")
+        tree = components(found).select(F.col("id").alias("_id"), "root")
+        open_ = nodes.join(ends, "check", "left_semi")
+        open_ = open_.join(tree, F.col("check") == F.col("_id"), "left").select("fp", "check", F.coalesce("root", "check").alias("group"))
+        more = pairs(fingerprint_links(materialize(open_, "open"), keys, near, pair_edges)).join(first, ["a", "b"], "left_anti")
+        found = found.unionByName(_similar(more, sets, similarity))
+        names = nodes.select("check", "node")
+        a, b = names.select(F.col("check").alias("a"), F.col("node").alias("x")), names.select(F.col("check").alias("b"), F.col("node").alias("y"))
+        return found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    found = _groups(marked, links)
     kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     return found.select(F.col("id").alias(id_col), "component_id", kept.alias("kept"), "text_hash")

@@ -58,3 +58,61 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(docs_frame(spark, [])).count() == 0
     got = simhash.near_duplicates(docs_frame(spark, [document(None, "a b"), document(None, "a b"), document(3, "")])).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (3, 3, True)]
+
+
+def edited(rng, base, kind, n):
+    text, at = list(base), rng.randrange(len(base) - 40)
+    if kind == "substituted":
+        for k in rng.sample(range(len(text)), n):
+            text[k] = words(rng, 1)
+    elif kind == "appended":
+        text += words(rng, 5 * n).split()
+    elif kind == "removed":
+        del text[at : at + 4 * n]
+    else:
+        part, text = text[at : at + 40], text[:at] + text[at + 40 :]
+        to = rng.randrange(len(text))
+        text[to:to] = part
+    return text
+
+
+def shingle_set(text):
+    found = text.split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_copies_by_kind_of_edit_equal_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "LIST_BLOCK", block)
+    rng, rows = random.Random(17), []
+    for kind in ("substituted", "appended", "removed", "moved"):
+        for n in (1, 3, 5, 7, 9):
+            for _ in range(6):
+                base = words(rng, 200, "abcdefghijklm").split()
+                rows += [document(len(rows), " ".join(base)), document(len(rows) + 1, " ".join(edited(rng, base, kind, n)))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_frame(spark, rows)).collect()}
+    hits, wanted = 0, 0
+    for i in range(0, len(rows), 2):
+        x, y = shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])
+        close = len(x & y) >= 0.8 * len(x | y)
+        assert close or found[i + 1] == i + 1  # nothing less similar is linked
+        wanted += close
+        hits += close and found[i + 1] == i
+    assert 60 <= wanted < 120 and hits >= 0.97 * wanted
+
+
+def test_every_close_pair_of_a_dense_list_is_linked(spark):
+    rng = random.Random(23)
+    base = words(rng, 200, "abcdefghijklm").split()
+    texts = [" ".join(base[: 200 - 10 * k] + words(rng, 10 * k).split()) for k in range(8) for _ in range(6)]
+    rows = [document(i, t) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for t in texts]
+    prints = simhash.copy_fingerprints_of(simhash.pa.array(texts, simhash.pa.large_string()))[0].tolist()
+
+    def close(i, j):
+        same = sum(prints[i] >> 8 * k & 255 == prints[j] >> 8 * k & 255 for k in range(8))
+        return same >= 4 and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+
+    roots = groups_of(len(rows), close)
+    assert 1 < len(set(roots)) < len(rows)
+    assert [r["component_id"] for r in simhash.similar_documents(docs_frame(spark, rows)).orderBy("doc_id").collect()] == roots
