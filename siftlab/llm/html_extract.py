@@ -22,10 +22,10 @@ _TAG_COST = (0.05, 1.0)
 _BLOCK_COST = 4.0  # an advert inside the text must not outweigh what follows it
 
 # HTML elements by role.
-_HIDDEN = (
-    "script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "textarea", "select", "button", "canvas", "audio", "video",
-    "title",
-)
+_RAW_TEXT = ("script", "style", "textarea", "title")
+_HIDDEN = frozenset((
+    "noscript", "template", "head", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video",
+))
 _VOID = frozenset((
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 ))
@@ -52,7 +52,7 @@ _AROUND = frozenset((
 )
 _AROUND_WEIGHT = 400.0
 
-_RAW = "|".join(_HIDDEN)
+_RAW = "|".join(_RAW_TEXT)
 _ATTRS = r"(?:(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^<>]*)"  # quoted values may hold a ">"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -80,8 +80,40 @@ def _features(name: str, attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _hidden_spans(page: str) -> list[tuple[int, int]]:
+    """(start, end) of the outermost hidden elements that are closed, in page order.
+
+    An element that is not closed hides nothing, one that closes itself is empty, and a head ends
+    at the first block at the latest.
+    """
+    spans: list[tuple[int, int]] = []
+    open_: dict[str, list[int]] = {}
+    for m in _TOKEN.finditer(page):
+        name = m["name"] and m["name"].lower()
+        if name in _BLOCK and not m["close"] and open_.get("head"):
+            inside = [n for n in ("noscript", "template") if open_.get(n)]
+            if not inside:
+                spans.append((open_.pop("head")[0], m.start()))
+        if name not in _HIDDEN:
+            continue
+        if not m["close"]:
+            if not m["attrs"].endswith("/"):
+                open_.setdefault(name, []).append(m.start())
+        elif open_.get(name):
+            spans.append((open_[name].pop(), m.end()))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not merged or a >= merged[-1][1]:
+            merged.append((a, b))
+        elif b > merged[-1][1]:
+            merged[-1] = (merged[-1][0], b)
+    return merged
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order. Block elements cut, others do not; hidden elements are left out."""
+    hidden = iter(_hidden_spans(page))
+    span = next(hidden, None)
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str], bool]] = []
     opened: Counter = Counter()
@@ -103,6 +135,10 @@ def blocks_of(page: str) -> list[Block]:
             pending = []
 
     for m in _TOKEN.finditer(page):
+        while span and m.start() >= span[1]:
+            span = next(hidden, None)
+        if span and m.start() >= span[0]:
+            continue
         if m["text"] is not None:
             parts.append(m["text"])
             continue
@@ -110,6 +146,8 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in _HIDDEN:
+            continue
         if name == "br":
             parts.append(" ")
             continue

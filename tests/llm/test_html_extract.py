@@ -44,3 +44,16 @@ def test_best_run():
     assert html_extract.best_run([-1, 2, -1, 3, -5, 3]) == (1, 4)
     assert html_extract.best_run([-1, -2]) == (0, 0)
     assert html_extract.best_run([1, -1, 1]) == (0, 1)
+
+
+def test_unclosed_and_self_closed_hidden_elements_drop_nothing_else():
+    weights = html_extract.fit({})
+    body = "<p>One two three four.</p><p>Five six seven eight.</p>"
+    want = "One two three four.\nFive six seven eight."
+    for page in (
+        f"<html><head><title>t</title><meta charset=x><body>{body}</body></html>", f"<head><title>t</title>{body}",
+        "<p>One two three four.</p><svg/><p>Five six seven eight.</p>", "<p>One two three four.</p><iframe src='x' /><p>Five six seven eight.</p>",
+        f"<button>{body}", f"<object data=x>{body}", f"<select>{body}", f"{body}<svg><text>no</text><svg></svg> no</svg>",
+        f"<head><noscript><p>no</p></noscript></head><body>{body}", f"{body}<button>no</button><template><p>no</p></template>",
+    ):
+        assert html_extract.main_text(page, weights) == want, page
