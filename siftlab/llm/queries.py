@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import decontaminate, embedding_dedup, html_extract, mixing, pii, simhash, substrings, token_output, toxicity, url_filter
+from siftlab.llm import decontaminate, embedding_dedup, html_extract, manifest, mixing, pii, simhash, substrings, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify_tampered(manifest.build_manifest(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_url_filter": op2_url_filter,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -151,4 +156,48 @@ counted as (select x, count(*) as n from links group by x)
 select e.vec_id, coalesce(c.n, 0)::bigint as n_links, r.component_id, e.vec_id = r.component_id as kept
 from embeddings e join reach r on r.x = e.vec_id left join counted c on c.x = e.vec_id"""
 
-SQL: dict[str, str] = {"op4_product_quantisation": OP4_SQL, "op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
+_FIELDS = ["doc_id", "source", "lang", "n_chars"]
+_FRAMED = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in _FIELDS)
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# A byte, then eight shifts of the checksum.
+_CRC_STEPS = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"""xor(4294967295, list_reduce({_CRC_STEPS},
+    lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint))"""
+
+OP11_SQL = f"""
+with recursive leaves as (
+  select doc_id, coalesce('=' || lang, '') as tree, sha256({_FRAMED} || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256({_FRAMED} || coalesce(strlen({_LOWERED}) || ':' || {_LOWERED}, '-')) as lowered,
+    coalesce({_CRC} % 3 = 0, false) as touched
+  from documents),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from leaves),
+low(tree, level, idx, n, digest) as (
+  select tree, 0, pos, n, leaf from placed
+  union all
+  select tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from low where n > 1 group by all),
+roots as (select tree, digest, level as height, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1),
+high(level, idx, n, digest) as (
+  select 0, pos, n, digest from roots
+  union all
+  select level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from high where n > 1 group by all),
+steps as (
+  select p.tree, p.pos as leaf_at, l.level,
+    coalesce(string_agg(l.digest, '' order by l.idx) filter (l.idx < p.pos // (8 ** l.level)::bigint), '') as a,
+    coalesce(string_agg(l.digest, '' order by l.idx) filter (l.idx > p.pos // (8 ** l.level)::bigint), '') as b
+  from placed p join low l on l.tree = p.tree and l.n > 1 and l.idx // 8 = p.pos // (8 ** (l.level + 1))::bigint group by all
+  union all
+  select p.tree, p.pos, r.height + h.level,
+    coalesce(string_agg(h.digest, '' order by h.idx) filter (h.idx < r.pos // (8 ** h.level)::bigint), ''),
+    coalesce(string_agg(h.digest, '' order by h.idx) filter (h.idx > r.pos // (8 ** h.level)::bigint), '')
+  from placed p join roots r on r.tree = p.tree join high h on h.n > 1 and h.idx // 8 = r.pos // (8 ** (h.level + 1))::bigint group by all),
+paths as (select tree, leaf_at, list({{'a': a, 'b': b}} order by level) as path from steps group by all),
+told as (
+  select p.doc_id, p.leaf, r.digest as subroot, (select digest from high where n = 1) as root,
+    sha256(coalesce(list_aggregate(list_transform(path, lambda s: s.a || s.b), 'string_agg', ''), '')) as proof_sha256,
+    list_reduce(coalesce(path, []), lambda x, s: {{'a': sha256(s.a || x.a || s.b), 'b': ''}},
+      {{'a': case when touched then lowered else leaf end, 'b': ''}}).a as folded_root
+  from placed p join roots r on r.tree = p.tree left join paths q on q.tree = p.tree and q.leaf_at = p.pos)
+select *, folded_root = root as verified from told"""
+
+SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op4_product_quantisation": OP4_SQL, "op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
