@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlab.llm import decontaminate, embedding_dedup, html_extract, manifest, mixing, pii, simhash, substrings, token_counts, token_output, toxicity, url_filter
+from siftlab.llm import alignment, decontaminate, embedding_dedup, html_extract, manifest, mixing, pii, simhash, substrings, token_counts, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.verify_tampered(manifest.build_manifest(_table(spark, folder, "documents")))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return alignment.align_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), tokenizer_file())
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_token_counts": op13_token_counts,
 }
 
