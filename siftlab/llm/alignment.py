@@ -32,6 +32,7 @@ FREQUENT = 1 << 18
 _SURE = np.zeros(256, bool)
 _SURE[0x21:0x7F] = True
 _MARK = "▁"
+_MARK_BYTES = _MARK.encode()
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -49,7 +50,6 @@ class _Vocabulary:
         self.lengths = np.array([len(e) for e in entries], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
-        self.names = [str(i) for i in range(len(entries))]
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return self.blob[concat_ranges(self.starts[ids], self.lengths[ids])]
@@ -59,11 +59,16 @@ class Pieces:
     """Alignment of distinct pieces of text: counts, links (keys ``a << 32 | b``) and groups per piece."""
 
     def __init__(self, n: int, with_groups: bool):
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.at = (np.zeros(n, np.int64) for _ in range(5))
         self.good = np.ones(n, bool)
-        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        self.found: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.held = 0
         self.groups: list[str] | None = [""] * n if with_groups else None
 
+    def links(self) -> np.ndarray:
+        """The links of all pieces in their order."""
+        return np.concatenate(self.found)[concat_ranges(self.at, self.n_links)]
+
 
 class Aligner:
     """Aligns a byte-level BPE (tokenizers) and a SentencePiece BPE with byte fallback.
@@ -89,6 +94,9 @@ class Aligner:
         self.vocab_b = _Vocabulary(
             [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         )
+        # Every id as text, followed by the sign inside its side of a group or at the end of the side.
+        signs = [(self.vocab_a, ",|"), (self.vocab_b, ",;")]
+        self.signed = np.array([f"{i}{sign}" for vocab, pair in signs for i in range(len(vocab.lengths)) for sign in pair], object)
         self.cuts = np.zeros(256, bool)
         self.cuts[[ord(c) for c in " \n\t" if not any((_MARK if c == " " else c) in p[1:].lstrip(_MARK) for p in pieces)]] = True
 
@@ -104,46 +112,49 @@ class Aligner:
         floor = offsets[np.searchsorted(offsets, at, side="right") - 1]
         inner = at[(at > floor)]
         inner = inner[self._sure(data, inner, floor[at > floor])]
-        starts = np.union1d(inner, offsets[:-1][np.diff(offsets) > 0])
+        begins = np.zeros(len(data), bool)
+        begins[inner] = begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
         return starts, np.searchsorted(starts, offsets)
 
-    def _encode(self, out: Pieces, numbers: list[int], texts: list[bytes]) -> None:
-        """Align pieces joined to one text; if the result does not fall apart at their ends, each half again."""
-        joined = b" ." + b"".join(texts)
-        text = joined.decode()
+    def _encode(self, out: Pieces, numbers: np.ndarray, pieces: np.ndarray, sizes: np.ndarray) -> None:
+        """Align pieces (their bytes one after another); if the result does not fall apart at their ends, each half again."""
+        raw = np.concatenate([np.frombuffer(b" .", np.uint8), pieces])
+        text = raw.tobytes().decode()
         a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         b = np.array(self.b.encode(text[1:], num_threads=1), np.int64)
         ends_a, ends_b = np.cumsum(self.vocab_a.lengths[a]), np.cumsum(self.vocab_b.lengths[b])
-        ends = 2 + np.cumsum([0, *map(len, texts)])
-        raw = np.frombuffer(joined, np.uint8)
-        both = np.intersect1d(ends_a, ends_b)
-        fits = np.array_equal(self.vocab_a.joined(a), raw) and np.array_equal(self.vocab_b.joined(b), raw) and np.isin(ends, both).all()
+        ends = 2 + np.concatenate([[0], np.cumsum(sizes)])
+        fits = ends_a[-1] == ends_b[-1] == len(raw) and np.array_equal(self.vocab_a.joined(a), raw) and np.array_equal(self.vocab_b.joined(b), raw)
+        marks = np.zeros((2, len(raw) + 1), bool)
+        if fits:
+            marks[0, ends_a], marks[1, ends_b] = True, True
+            fits = marks[:, ends].all()
         if not fits:
-            if len(texts) == 1:
-                out.good[numbers[0]] = False
+            if len(numbers) == 1:
+                out.good[numbers] = False
                 return
-            half = len(texts) // 2
-            self._encode(out, numbers[:half], texts[:half])
-            self._encode(out, numbers[half:], texts[half:])
+            half = len(numbers) // 2
+            cut = int(sizes[:half].sum())
+            self._encode(out, numbers[:half], pieces[:cut], sizes[:half])
+            self._encode(out, numbers[half:], pieces[cut:], sizes[half:])
             return
-        every = np.union1d(ends_a, ends_b)
-        keys = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)]
-        index = np.array(numbers)
+        every, both = np.flatnonzero(marks[0] | marks[1]), np.flatnonzero(marks[0] & marks[1])
+        out.found.append(a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)])
         for counts, places in ((out.n_a, ends_a), (out.n_b, ends_b), (out.n_groups, both), (out.n_links, every)):
-            counts[index] = np.diff(np.searchsorted(places, ends, side="right"))
-        link_at = np.searchsorted(every, ends, side="right").tolist()
-        for i, n in enumerate(numbers):
-            out.keys[n] = keys[link_at[i] : link_at[i + 1]]
+            counts[numbers] = np.diff(np.searchsorted(places, ends, side="right"))
+        out.at[numbers] = out.held + np.searchsorted(every, ends[:-1], side="right")
+        out.held += len(every)
         if out.groups is not None:
-            names_a, names_b = [self.vocab_a.names[i] for i in a.tolist()], [self.vocab_b.names[i] for i in b.tolist()]
-            to_a, to_b = np.searchsorted(ends_a, both, side="right").tolist(), np.searchsorted(ends_b, both, side="right").tolist()
-            groups, x, y = [], 0, 0
-            for u, v in zip(to_a, to_b, strict=True):
-                groups.append(f"{','.join(names_a[x:u])}|{','.join(names_b[y:v])}")
-                x, y = u, v
-            group_at = np.searchsorted(both, ends, side="right").tolist()
-            for i, n in enumerate(numbers):
-                out.groups[n] = ";".join(groups[group_at[i] : group_at[i + 1]])
+            # Tokens in the order of (group, tokenizer), each written with the sign that follows it.
+            group = np.concatenate([np.searchsorted(both, ends_a) * 2, np.searchsorted(both, ends_b) * 2 + 1])
+            order = np.argsort(group, kind="stable")
+            last = np.diff(group[order], append=-1) != 0
+            entry = np.concatenate([a, len(self.vocab_a.lengths) + b])[order] * 2 + last
+            signed = self.signed[entry].tolist()
+            token_at = np.searchsorted(group[order], np.searchsorted(both, ends, side="right") * 2).tolist()
+            for i, n in enumerate(numbers.tolist()):
+                out.groups[n] = "".join(signed[token_at[i] : token_at[i + 1]])
 
     def align(self, texts: pa.Array, with_groups: bool) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct pieces, the piece of each occurrence, first occurrence of each text, texts with tokens)."""
@@ -156,27 +167,19 @@ class Aligner:
         where = np.zeros(len(unique), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         at, stop = starts[where], ends[where]
+        sizes = stop - at
+        out = Pieces(len(unique), with_groups)
+        # The mark in a text stands for a blank in the other vocabulary.
+        marks = np.flatnonzero((data[:-2] == _MARK_BYTES[0]) & (data[1:-1] == _MARK_BYTES[1]) & (data[2:] == _MARK_BYTES[2]))
+        out.good = np.searchsorted(marks, at) == np.searchsorted(marks, stop)
         # A piece that ends with white space, at the end of its text, must not meet another piece.
         alone = ~self._sure(data, stop, at)
-        raw = data.tobytes()
-        out = Pieces(len(unique), with_groups)
-        mark = _MARK.encode()
-        numbers, pieces, held = [], [], 0
-        for i, (a, b, single) in enumerate(zip(at.tolist(), stop.tolist(), alone.tolist(), strict=True)):
-            piece = raw[a:b]
-            if mark in piece:  # stands for a blank in the other vocabulary
-                out.good[i] = False
-            elif single:
-                self._encode(out, [i], [piece])
-            else:
-                numbers.append(i)
-                pieces.append(piece)
-                held += b - a
-                if held >= CALL_BYTES:
-                    self._encode(out, numbers, pieces)
-                    numbers, pieces, held = [], [], 0
-        if pieces:
-            self._encode(out, numbers, pieces)
+        for n in np.flatnonzero(alone & out.good).tolist():
+            self._encode(out, np.array([n]), data[at[n] : stop[n]], sizes[n : n + 1])
+        rest = np.flatnonzero(~alone & out.good)
+        call = np.cumsum(sizes[rest]) // CALL_BYTES
+        for numbers in np.split(rest, np.flatnonzero(np.diff(call)) + 1) if len(rest) else []:
+            self._encode(out, numbers, data[concat_ranges(at[numbers], sizes[numbers])], sizes[numbers])
         whole = range_sums((~out.good)[codes].astype(np.int64), first) == 0
         return out, codes, first, whole & (np.diff(first) > 0)
 
@@ -213,7 +216,7 @@ def link_counts(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         for piece in slices(batches, "text", CHUNK_BYTES):
             found, codes, first, whole = aligner.align(as_texts(piece.column("text")), False)
             times = np.bincount(codes[np.repeat(whole, np.diff(first))], minlength=len(found.good))
-            links = np.concatenate([*found.keys, np.zeros(0, np.int64)])
+            links = found.links()
             weights = np.repeat(times, found.n_links)
             keys, n = _summed(np.concatenate([keys, links[weights > 0]]), np.concatenate([n, weights[weights > 0]]))
             if len(keys) > HELD:
@@ -331,7 +334,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
         vector = KeyedVector(PerfectHash.load(dump), held, counts)
         for piece in slices(batches, "text", CHUNK_BYTES):
             found, codes, first, whole = aligner.align(as_texts(piece.column("text")), True)
-            links = np.concatenate([*found.keys, np.zeros(0, np.int64)])
+            links = found.links()
             at = np.concatenate([[0], np.cumsum(found.n_links)])
             n = vector.get(links)
             tops = (n >= 0) & (n == best[np.minimum(links & 0xFFFFFFFF, len(best) - 1)])
@@ -339,7 +342,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
             per_text = lambda v: np.where(whole, range_sums(v[codes], first), 0)
             shas = []
             for lo, hi, ok in zip(first[:-1].tolist(), first[1:].tolist(), whole.tolist(), strict=True):
-                shas.append(hashlib.sha256(";".join([found.groups[c] for c in codes[lo:hi].tolist()]).encode()).hexdigest() if ok else "")
+                shas.append(hashlib.sha256("".join([found.groups[c] for c in codes[lo:hi].tolist()])[:-1].encode()).hexdigest() if ok else "")
             # Links of other pairs, one entry for each pair of a text.
             rare = np.flatnonzero(n < 0)
             rare_at = np.searchsorted(rare, at)
