@@ -16,9 +16,9 @@ from siftlab.session import materialize
 
 TOKEN_LIMIT = 2048
 # A pre-token is frequent if it makes up one part in FREQUENT of all pre-tokens: there are at most that many.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 # Bytes of text worked on at once, and distinct pre-tokens a task holds before it passes their counts on.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 HELD = 200_000
 
 # Kinds of bytes for the fast way; anything else goes through the tokenizer's own pre-tokenizer.
