@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import all_matches, as_col, casefold, let, lookup, squeeze, strip, text_or_empty
+from siftlab.functions.folding import casefold
+from siftlab.functions.text import all_matches, as_col, let, lookup, squeeze, strip, text_or_empty
 
 
 def _symbols(values) -> Column:

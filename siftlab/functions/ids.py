@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import all_matches, as_col, blank_to_null, let, nfkc, strip, text_or_empty
+from siftlab.functions.folding import nfkc
+from siftlab.functions.text import all_matches, as_col, blank_to_null, let, strip, text_or_empty
 
 
 def _trim_chars(c: Column, chars: str) -> Column:

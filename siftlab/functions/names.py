@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import as_col, canonical_text, casefold, let, nfkc, strip, text_or_empty
+from siftlab.functions.folding import canonical_text, casefold, nfkc
+from siftlab.functions.text import as_col, let, strip, text_or_empty
 
 
 def name_key(c) -> Column:

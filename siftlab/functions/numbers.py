@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.text import as_col, blank_to_null, casefold, let, nfkc, squeeze, strip, text_or_empty
+from siftlab.functions.folding import casefold, nfkc
+from siftlab.functions.text import as_col, blank_to_null, let, squeeze, strip, text_or_empty
 
 _LEAD = rf"^\s*({K.COMPARATOR})?\s*({K.NUMBER})"
 # Wide enough for every value met, narrow enough that a product with a unit factor stays exact.

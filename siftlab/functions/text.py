@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, functions as F
 
 # Whitespace in the Unicode sense; Java's \\s alone is ASCII only.
@@ -53,43 +50,6 @@ def fold_dashes(c, extra: str = "") -> Column:
     return F.translate(as_col(c), chars, "-" * len(chars))
 
 
-@lru_cache(maxsize=1)
-def _compat_pairs() -> tuple[str, str, dict[str, str]]:
-    """Compatibility characters with a one-character form, and the few longer common ones."""
-    single_from, single_to = [], []
-    for cp in [*range(0xA0, 0x3400), *range(0xF900, 0xFFF0)]:
-        ch = chr(cp)
-        folded = unicodedata.normalize("NFKC", ch)
-        if folded != ch and len(folded) == 1:
-            single_from.append(ch)
-            single_to.append(folded)
-    longer = {ch: unicodedata.normalize("NFKC", ch) for ch in "…ﬁﬂﬀﬃﬄ℃™½¼¾"}
-    return "".join(single_from), "".join(single_to), longer
-
-
-def nfkc(c) -> Column:
-    """Compatibility folding for precomposed text (combining marks are left as they are)."""
-    source, target, longer = _compat_pairs()
-
-    def fold(text: Column) -> Column:
-        folded = F.translate(text, source, target)
-        for ch, plain in longer.items():
-            folded = F.replace(folded, F.lit(ch), F.lit(plain))
-        # Plain ASCII, the common case, skips the table.
-        return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(folded)
-
-    return let(fold, c)
-
-
-def casefold(c) -> Column:
-    return F.replace(F.translate(F.lower(as_col(c)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
-
-
-def canonical_text(c) -> Column:
-    """Compatibility- and case-folded text with single blanks; null becomes empty."""
-    return squeeze(casefold(nfkc(text_or_empty(c))))
-
-
 def first_match(c, pattern: str, group: int = 1) -> Column:
     """First match or null (``regexp_extract`` alone gives an empty string)."""
     return let(lambda t: F.when(t.rlike(pattern), F.regexp_extract(t, pattern, group)), c)

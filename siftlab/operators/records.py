@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.chemistry import product_label, sorted_symbols
+from siftlab.functions.folding import canonical_text
 from siftlab.functions.numbers import comparator_is_bound, decimal_text, leading_number, numeric_struct, unit_suffix
 from siftlab.functions.tasks import canonical_reaction
-from siftlab.functions.text import all_matches, as_col, blank_to_null, canonical_text, let, strip, text_or_empty
+from siftlab.functions.text import all_matches, as_col, blank_to_null, let, strip, text_or_empty
 from siftlab.functions.units import (
     condition_status, current_density_ma, metric_key, metric_text, normalize_metric, percent_fraction,
 )

@@ -66,6 +66,22 @@ def nrm2(t):
     return t.part.select("p_partkey", names.identity_key(name, F.col("p_partkey")).alias("key"))
 
 
+@query(
+    "nrm2_folded_entity_names",
+    """select p_partkey, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') || 'fi' || p_partkey || 'ss' as key from part""",
+)
+def nrm2_folded(t):
+    # The name in full-width letters, a ligature, circled or superscript digits, accents as marks in both orders.
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    wide = F.translate("p_name", plain, "".join(chr(ord(ch) + 0xFEE0) for ch in plain))
+    digits = F.when(F.col("p_size") % 2 == 0, F.translate(text("p_partkey"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")).otherwise(
+        F.translate(text("p_partkey"), "0123456789", "⓪①②③④⑤⑥⑦⑧⑨")
+    )
+    marks = F.when(F.col("p_size") % 3 == 0, "e\u0323\u0302").otherwise("e\u0302\u0323")
+    name = F.concat(wide, F.lit(" ﬁ-"), digits, F.lit("ß"), marks, F.lit("가"))
+    return t.part.select("p_partkey", names.name_key(name).alias("key"))
+
+
 _VAL_SQL = f"""v as (select {_LI_ID} as id, l_partkey % 8 as k, {sql_pick(K.TASKS, 'l_orderkey')} as task_type, {_Q} as q, l_quantity, l_linenumber from lineitem)"""
 _COMP = ("", ">=", "<", "~", "≈", "≤ ", "", ">")
 

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftlab.functions import answers as A, cards as CA, chemistry as CH, claims as CL, documents as D, ids, names, numbers as N
-from siftlab.functions import scoring as S, tasks as TK, text as TX, units as U
+from siftlab.functions import answers as A, cards as CA, chemistry as CH, claims as CL, documents as D, folding, ids, names, numbers as N
+from siftlab.functions import scoring as S, tasks as TK, units as U
 from siftlab.operators import records as RC
 
 
@@ -22,7 +22,7 @@ def ev(spark):
 
 
 def test_nfkc_and_canonical_text(ev):
-    assert ev(TX.canonical_text, ["ＡＢ　c", "x²  Y z", None, "Straße", "plain"]) == ["ab c", "x2 y z", "", "strasse", "plain"]
+    assert ev(folding.canonical_text, ["ＡＢ　c", "x²  Y z", None, "Straße", "plain"]) == ["ab c", "x2 y z", "", "strasse", "plain"]
 
 
 def test_doi_profiles(ev):
