@@ -1,7 +1,7 @@
 """Binding of truth values and extractions to the records and materials they belong to.
 
 All matching stays inside a document, and no operator emits all pairs of a document: candidates
-are reduced to distinct keys first, containment is looked up through substrings, and element sets
+are reduced to distinct keys first, containment is looked up through an index of short pieces, and element sets
 meet through the rarest element only. A document may hold any share of the rows.
 """
 
@@ -106,15 +106,52 @@ def bind_by_elements(targets: DataFrame, materials: DataFrame, doc: str = "doi")
     return wanted.join(exact.unionByName(subset), [doc, "eset"], "left").drop("eset")
 
 
-def windows(text: Column, lengths: Column) -> Column:
-    """All distinct substrings of the text with one of the given lengths."""
-    def of_length(k: Column) -> Column:
-        starts = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(text, i, k))
+# Length of the pieces that names and texts are looked up by.
+GRAM = 3
+
+
+def grams(text: Column, size) -> Column:
+    """All overlapping pieces of ``size`` characters in order, in one pass over the text."""
+    return F.regexp_extract_all(text, F.concat(F.lit(r"(?=([\s\S]{"), F.lit(size), F.lit("}))")), F.lit(1))
+
+
+def contained_keys(patterns: DataFrame, texts: DataFrame, doc: str = "doi") -> DataFrame:
+    """(doc, text_id, key): the keys that occur inside each text of the same document.
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    ``patterns`` has doc, key (distinct, not empty); ``texts`` doc, text_id, text (distinct by id).
+    An inverted index holds the positions of those pieces of the texts that some key of the
+    document has. Every key is looked up by its piece that is rarest in the texts, and a key with
+    a piece that no text has is not looked up at all. Each place found is confirmed by further
+    pieces of the key that cover it, at their distance from the first: equality joins only, and
+    texts are never joined. Keys shorter than a piece meet the short pieces of the texts.
+    """
+    short = patterns.where(F.length("key") < GRAM)
+    brief = texts.join(short.select(doc).distinct(), doc, "left_semi")
+    pieces = F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), k) for k in range(1, GRAM)])))
+    direct = brief.select(doc, "text_id", F.explode(pieces).alias("key")).join(short, [doc, "key"]).select(doc, "text_id", "key")
+
+    long = patterns.where(F.length("key") >= GRAM)
+    own = materialize(long.select(doc, "key", F.posexplode(grams(F.col("key"), GRAM)).alias("off", "gram")), "key-grams")
+    wanted = own.select(doc, "gram").distinct()
+    listed = texts.select(doc, "text_id", F.posexplode(grams(F.col("text"), GRAM)).alias("pos", "gram"))
+    postings = materialize(listed.join(wanted, [doc, "gram"], "left_semi"), "postings")
+    frequency = postings.groupBy(doc, "gram").agg(F.count(F.lit(1)).alias("df"))
+    probe = (
+        own.join(frequency, [doc, "gram"], "left").groupBy(doc, "key")
+        .agg(F.min(F.struct("df", "off", "gram")).alias("p"), F.count_if(F.col("df").isNull()).alias("missing"))
+        .where("missing = 0").select(doc, "key", "p.off", "p.gram")
+    )
+    places = materialize(
+        probe.join(postings, [doc, "gram"]).where("pos >= off").select(doc, "text_id", "key", (F.col("pos") - F.col("off")).alias("start")), "places"
+    )
+    # Pieces at 0, GRAM, 2 GRAM, ... and the last one leave no character of the key open.
+    last = F.length("key") - GRAM
+    cover = F.array_union(F.sequence(F.lit(0), last, F.lit(GRAM)), F.array(last))
+    asked = places.select(doc, "text_id", "key", "start", F.size(cover).alias("parts"), F.explode(cover).alias("off"))
+    asked = asked.select("*", F.substring(F.col("key"), F.col("off") + 1, F.lit(GRAM)).alias("gram"), (F.col("start") + F.col("off")).alias("pos"))
+    met = asked.join(postings, [doc, "text_id", "gram", "pos"]).groupBy(doc, "text_id", "key", "start", "parts").agg(F.count(F.lit(1)).alias("n"))
+    found = met.where("n = parts").select(doc, "text_id", "key").distinct()
+    return direct.unionByName(found)
 
 
 def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi") -> DataFrame:
@@ -141,7 +178,9 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
     # Both sides are read several times below, so their keys are computed once.
     names = materialize(names, "names")
     asked = materialize(
-        extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence")), "asked"
+        extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence"))
+        .withColumn("_key_id", F.sha2("_key", 256)).withColumn("_evidence_id", F.sha2("_evidence", 256)),
+        "asked",
     )
 
     def counted(hits: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
@@ -153,39 +192,26 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
 
     distinct = asked.where("_key <> ''").select(doc, "_key").distinct()
     exact = counted(distinct.join(names.withColumnRenamed("key", "_key"), [doc, "_key"]), "e", [doc, "_key"])
-    # Containment both ways is equality on substrings, and only of the lengths that occur on the
-    # other side of the same document. Hits are summed up per key before anything is joined back.
-    name_lengths = names.groupBy(doc).agg(F.collect_set(F.length("key")).alias("_lengths"))
-    asked_lengths = distinct.groupBy(doc).agg(F.collect_set(F.length("_key")).alias("_lengths"))
+    # Containment either way; hits are summed up per key before anything is joined back.
+    text_id = lambda c: F.sha2(c, 256)
+    stated_names = names.select(doc, "key")
+    around = contained_keys(
+        distinct.select(doc, F.col("_key").alias("key")), stated_names.select(doc, text_id("key").alias("text_id"), F.col("key").alias("text")), doc
+    ).withColumnRenamed("key", "_key")
     containing = counted(
-        names.join(asked_lengths, doc)
-        .select(doc, F.explode(windows(F.col("key"), F.col("_lengths"))).alias("_key"), "n", "material_index", "generic", "key")
-        .where("_key <> key"),
-        "c",
-        [doc, "_key"],
-    )
-    inside = counted(
-        distinct.join(name_lengths, doc)
-        .select(doc, "_key", F.explode(windows(F.col("_key"), F.col("_lengths"))).alias("key"))
-        .where("_key <> key")
-        .join(names, [doc, "key"]),
-        "i",
-        [doc, "_key"],
-    )
-    unnamed = asked.where("_key = '' AND _evidence <> ''").select(doc, "_evidence").distinct()
-    mentioned = counted(
-        unnamed.join(name_lengths, doc)
-        .select(doc, "_evidence", F.explode(windows(F.col("_evidence"), F.col("_lengths"))).alias("key"))
-        .join(names, [doc, "key"]),
-        "m",
-        [doc, "_evidence"],
+        around.join(names.withColumn("text_id", text_id("key")), [doc, "text_id"]).where("_key <> key"), "c", [doc, "_key"]
     )
+    unnamed = asked.where("_key = '' AND _evidence <> ''").select(doc, F.col("_evidence").alias("text")).distinct()
+    searched = distinct.select(doc, F.col("_key").alias("text")).union(unnamed).distinct().select(doc, text_id("text").alias("text_id"), "text")
+    within = materialize(contained_keys(stated_names, searched, doc).join(names, [doc, "key"]), "within")
+    inside = counted(within.where(F.col("text_id") != text_id("key")), "i", [doc, "text_id"]).withColumnRenamed("text_id", "_key_id")
+    mentioned = counted(within, "m", [doc, "text_id"]).withColumnRenamed("text_id", "_evidence_id")
     joined = (
         asked.join(per_doc, doc, "left")
         .join(exact, [doc, "_key"], "left")
         .join(containing, [doc, "_key"], "left")
-        .join(inside, [doc, "_key"], "left")
-        .join(mentioned, [doc, "_evidence"], "left")
+        .join(inside, [doc, "_key_id"], "left")
+        .join(mentioned, [doc, "_evidence_id"], "left")
     )
     # "Contains either way" includes equality.
     near_n = sum((F.coalesce(f"{p}_n", F.lit(0)) for p in ("c", "i")), F.coalesce("e_n", F.lit(0)))
