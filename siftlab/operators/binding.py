@@ -108,6 +108,8 @@ def bind_by_elements(targets: DataFrame, materials: DataFrame, doc: str = "doi")
 
 # Length of the pieces that names and texts are looked up by.
 GRAM = 3
+# Texts up to this length travel with their pieces, so that places in them are confirmed at once.
+CARRIED = 128
 
 
 def grams(text: Column, size) -> Column:
@@ -121,9 +123,9 @@ def contained_keys(patterns: DataFrame, texts: DataFrame, doc: str = "doi") -> D
     ``patterns`` has doc, key (distinct, not empty); ``texts`` doc, text_id, text (distinct by id).
     An inverted index holds the positions of those pieces of the texts that some key of the
     document has. Every key is looked up by its piece that is rarest in the texts, and a key with
-    a piece that no text has is not looked up at all. Each place found is confirmed by further
-    pieces of the key that cover it, at their distance from the first: equality joins only, and
-    texts are never joined. Keys shorter than a piece meet the short pieces of the texts.
+    a piece that no text has is not looked up at all. Each place found is confirmed: by the text,
+    if it is short and travels with its pieces, else by further pieces of the key that cover it, at
+    their distance from the first; long texts are never joined. Keys shorter than a piece meet the short pieces of the texts.
     """
     short = patterns.where(F.length("key") < GRAM)
     brief = texts.join(short.select(doc).distinct(), doc, "left_semi")
@@ -131,26 +133,31 @@ def contained_keys(patterns: DataFrame, texts: DataFrame, doc: str = "doi") -> D
     direct = brief.select(doc, "text_id", F.explode(pieces).alias("key")).join(short, [doc, "key"]).select(doc, "text_id", "key")
 
     long = patterns.where(F.length("key") >= GRAM)
-    own = materialize(long.select(doc, "key", F.posexplode(grams(F.col("key"), GRAM)).alias("off", "gram")), "key-grams")
-    wanted = own.select(doc, "gram").distinct()
-    listed = texts.select(doc, "text_id", F.posexplode(grams(F.col("text"), GRAM)).alias("pos", "gram"))
-    postings = materialize(listed.join(wanted, [doc, "gram"], "left_semi"), "postings")
+    own = long.select(doc, "key", F.posexplode(grams(F.col("key"), GRAM)).alias("off", "gram"))
+    carried = F.when(F.length("text") <= CARRIED, F.col("text")).alias("text")
+    listed = texts.select(doc, "text_id", carried, F.posexplode(grams(F.col("text"), GRAM)).alias("pos", "gram"))
+    # Three readers share the exchange of these rows.
+    postings = listed.join(own.select(doc, "gram").distinct(), [doc, "gram"], "left_semi")
     frequency = postings.groupBy(doc, "gram").agg(F.count(F.lit(1)).alias("df"))
     probe = (
         own.join(frequency, [doc, "gram"], "left").groupBy(doc, "key")
         .agg(F.min(F.struct("df", "off", "gram")).alias("p"), F.count_if(F.col("df").isNull()).alias("missing"))
         .where("missing = 0").select(doc, "key", "p.off", "p.gram")
     )
+    start = (F.col("pos") - F.col("off")).alias("start")
     places = materialize(
-        probe.join(postings, [doc, "gram"]).where("pos >= off").select(doc, "text_id", "key", (F.col("pos") - F.col("off")).alias("start")), "places"
+        probe.join(postings, [doc, "gram"]).where("pos >= off").select(doc, "text_id", "key", start, "text")
+        .where(F.col("text").isNull() | (F.substring(F.col("text"), F.col("start") + 1, F.length("key")) == F.col("key"))),
+        "places",
     )
-    # Pieces at 0, GRAM, 2 GRAM, ... and the last one leave no character of the key open.
+    # In longer texts pieces at 0, GRAM, 2 GRAM, ... and the last one leave no character of the key open.
     last = F.length("key") - GRAM
     cover = F.array_union(F.sequence(F.lit(0), last, F.lit(GRAM)), F.array(last))
-    asked = places.select(doc, "text_id", "key", "start", F.size(cover).alias("parts"), F.explode(cover).alias("off"))
+    asked = places.where("text is null").select(doc, "text_id", "key", "start", F.size(cover).alias("parts"), F.explode(cover).alias("off"))
     asked = asked.select("*", F.substring(F.col("key"), F.col("off") + 1, F.lit(GRAM)).alias("gram"), (F.col("start") + F.col("off")).alias("pos"))
-    met = asked.join(postings, [doc, "text_id", "gram", "pos"]).groupBy(doc, "text_id", "key", "start", "parts").agg(F.count(F.lit(1)).alias("n"))
-    found = met.where("n = parts").select(doc, "text_id", "key").distinct()
+    exact = postings.where("text is null").join(places.where("text is null").select(doc, "text_id").distinct(), [doc, "text_id"], "left_semi")
+    met = asked.join(exact, [doc, "text_id", "gram", "pos"]).groupBy(doc, "text_id", "key", "start", "parts").agg(F.count(F.lit(1)).alias("n"))
+    found = met.where("n = parts").select(doc, "text_id", "key").union(places.where("text is not null").select(doc, "text_id", "key")).distinct()
     return direct.unionByName(found)
 
 
@@ -162,9 +169,9 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
     in the evidence. ``extractions`` has doi, extraction_id, name, evidence; ``materials`` doi,
     material_index, name. Adds material_index, status and reason.
     """
-    keyed = materials.select(
-        doc, "material_index", name_key("name").alias("key"), is_generic_name("name").alias("generic")
-    )
+    # Folding the names is the heavy part, so both sides are written with their keys.
+    keyed = materials.select(doc, "material_index", name_key("name").alias("key"), is_generic_name("name").alias("generic"))
+    keyed = materialize(keyed, "keyed")
     per_doc = keyed.groupBy(doc).agg(
         F.count(F.lit(1)).alias("n_materials"),
         F.min("material_index").alias("only_index"),
@@ -175,8 +182,6 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
         F.min("material_index").alias("material_index"),
         F.max(F.col("generic").cast("int")).alias("generic"),
     )
-    # Both sides are read several times below, so their keys are computed once.
-    names = materialize(names, "names")
     asked = materialize(
         extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence"))
         .withColumn("_key_id", F.sha2("_key", 256)).withColumn("_evidence_id", F.sha2("_evidence", 256)),
@@ -192,17 +197,22 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
 
     distinct = asked.where("_key <> ''").select(doc, "_key").distinct()
     exact = counted(distinct.join(names.withColumnRenamed("key", "_key"), [doc, "_key"]), "e", [doc, "_key"])
-    # Containment either way; hits are summed up per key before anything is joined back.
+    # Containment either way, for names that no material has alone and evidence where there is a
+    # choice; hits are summed up per key before anything is joined back.
+    settled = exact.where("e_n = 1 and e_generic = 0").select(doc, "_key")
+    distinct = materialize(distinct.join(settled, [doc, "_key"], "left_anti"), "open")
+    choice = per_doc.where("n_materials > 1").select(doc)
     text_id = lambda c: F.sha2(c, 256)
-    stated_names = names.select(doc, "key")
+    unnamed = asked.where("_key = '' AND _evidence <> ''").select(doc, F.col("_evidence").alias("text")).distinct().join(choice, doc, "left_semi")
+    searched = distinct.select(doc, F.col("_key").alias("text")).union(unnamed).distinct().select(doc, text_id("text").alias("text_id"), "text")
+    searched = materialize(searched, "searched")
+    stated_names = names.select(doc, "key").join(searched.select(doc).distinct(), doc, "left_semi")
     around = contained_keys(
         distinct.select(doc, F.col("_key").alias("key")), stated_names.select(doc, text_id("key").alias("text_id"), F.col("key").alias("text")), doc
     ).withColumnRenamed("key", "_key")
     containing = counted(
         around.join(names.withColumn("text_id", text_id("key")), [doc, "text_id"]).where("_key <> key"), "c", [doc, "_key"]
     )
-    unnamed = asked.where("_key = '' AND _evidence <> ''").select(doc, F.col("_evidence").alias("text")).distinct()
-    searched = distinct.select(doc, F.col("_key").alias("text")).union(unnamed).distinct().select(doc, text_id("text").alias("text_id"), "text")
     within = materialize(contained_keys(stated_names, searched, doc).join(names, [doc, "key"]), "within")
     inside = counted(within.where(F.col("text_id") != text_id("key")), "i", [doc, "text_id"]).withColumnRenamed("text_id", "_key_id")
     mentioned = counted(within, "m", [doc, "text_id"]).withColumnRenamed("text_id", "_evidence_id")

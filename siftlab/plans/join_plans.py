@@ -141,12 +141,12 @@ _KEY = "regexp_replace(lower({}), '[^0-9a-z]+', '', 'g')"
           else 'multiple_materials_without_material_name' end end as reason from j""",
 )
 def jon3(t):
-    materials = t.lineitem.select(
+    materials = t.wide("lineitem").select(
         F.col("l_orderkey").alias("doi"),
         (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("material_index"),
         pick(_NAMES, "l_partkey").alias("name"),
     )
-    extractions = t.orders.select(
+    extractions = t.wide("orders").select(
         F.col("o_orderkey").alias("doi"),
         F.col("o_orderkey").alias("extraction_id"),
         pick(_ASKED, "o_custkey").alias("name"),

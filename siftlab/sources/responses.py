@@ -75,15 +75,12 @@ def classify_responses(lines: DataFrame, requests: DataFrame, prop: str) -> Data
         F.col("_i.custom_id").alias("custom_id"), failure.alias("_failure"), F.col("_a.metals").alias("metals"),
         F.col("_a.metric").alias("metric"), "line", "content",
     )
-    # Only lines with an id are joined: those without one would all meet in one partition.
-    known = judged.where("custom_id is not null").join(requests, "custom_id", "left")
-    alone = judged.where("custom_id is null")
-    for c in requests.columns:
-        if c != "custom_id":
-            alone = alone.withColumn(c, F.lit(None).cast(requests.schema[c].dataType))
+    # Lines without an id meet no request; a key of their own keeps them out of one partition.
+    own = F.concat(F.lit("\x00"), F.sha2("line", 256))
+    known = judged.withColumn("_key", F.coalesce("custom_id", own)).join(requests.withColumnRenamed("custom_id", "_key"), "_key", "left")
     doi = blank_to_null(F.col("doi"))
     outcome = F.coalesce("_failure", F.when(doi.isNull(), "missing_doi"), F.lit("kept"))
-    return known.unionByName(alone).select(
+    return known.select(
         "custom_id", "row_number", doi.alias("doi"), outcome.alias("outcome"), "metals", "metric", "line", "content"
     )
 
