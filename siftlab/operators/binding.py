@@ -106,10 +106,10 @@ def bind_by_elements(targets: DataFrame, materials: DataFrame, doc: str = "doi")
     return wanted.join(exact.unionByName(subset), [doc, "eset"], "left").drop("eset")
 
 
-# Length of the pieces that names and texts are looked up by.
+# Length of the pieces that names and long texts are looked up by.
 GRAM = 3
-# Texts up to this length travel with their pieces, so that places in them are confirmed at once.
-CARRIED = 128
+# Texts up to this length are looked up by all their substrings of the lengths that keys have.
+BRIEF = 128
 
 
 def grams(text: Column, size) -> Column:
@@ -117,48 +117,60 @@ def grams(text: Column, size) -> Column:
     return F.regexp_extract_all(text, F.concat(F.lit(r"(?=([\s\S]{"), F.lit(size), F.lit("}))")), F.lit(1))
 
 
+def windows(text: Column, lengths: Column) -> Column:
+    """All distinct substrings of a brief text with one of the given lengths."""
+    def of_length(k: Column) -> Column:
+        starts = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, k))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
 def contained_keys(patterns: DataFrame, texts: DataFrame, doc: str = "doi") -> DataFrame:
     """(doc, text_id, key): the keys that occur inside each text of the same document.
 
     ``patterns`` has doc, key (distinct, not empty); ``texts`` doc, text_id, text (distinct by id).
-    An inverted index holds the positions of those pieces of the texts that some key of the
-    document has. Every key is looked up by its piece that is rarest in the texts, and a key with
-    a piece that no text has is not looked up at all. Each place found is confirmed: by the text,
-    if it is short and travels with its pieces, else by further pieces of the key that cover it, at
-    their distance from the first; long texts are never joined. Keys shorter than a piece meet the short pieces of the texts.
+    Brief texts meet the keys through their substrings, a bounded number for each. Longer texts go
+    through :func:`_indexed_keys`.
+    """
+    lengths = patterns.where(F.length("key") <= BRIEF).groupBy(doc).agg(F.collect_set(F.length("key")).alias("lengths"))
+    inside = texts.where(F.length("text") <= BRIEF).join(lengths, doc)
+    found = inside.select(doc, "text_id", F.explode(windows(F.col("text"), F.col("lengths"))).alias("key")).join(patterns, [doc, "key"])
+    found = found.select(doc, "text_id", "key")
+    longer = texts.where(F.length("text") > BRIEF)
+    return found if longer.isEmpty() else found.unionByName(_indexed_keys(patterns, longer, doc))
+
+
+def _indexed_keys(patterns: DataFrame, texts: DataFrame, doc: str) -> DataFrame:
+    """Keys inside long texts by an inverted index of the positions of short pieces.
+
+    The index holds the pieces of the texts that some key of the document has. Every key is looked
+    up by its piece that is rarest in the texts, and a key with a piece that no text has is not
+    looked up at all. Each place found is confirmed by further pieces of the key that cover it, at
+    their distance from the first: equality joins only, and texts are never joined. Keys shorter
+    than a piece meet the shorter pieces of the texts.
     """
     short = patterns.where(F.length("key") < GRAM)
-    brief = texts.join(short.select(doc).distinct(), doc, "left_semi")
     pieces = F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), k) for k in range(1, GRAM)])))
-    direct = brief.select(doc, "text_id", F.explode(pieces).alias("key")).join(short, [doc, "key"]).select(doc, "text_id", "key")
-
-    long = patterns.where(F.length("key") >= GRAM)
-    own = long.select(doc, "key", F.posexplode(grams(F.col("key"), GRAM)).alias("off", "gram"))
-    carried = F.when(F.length("text") <= CARRIED, F.col("text")).alias("text")
-    listed = texts.select(doc, "text_id", carried, F.posexplode(grams(F.col("text"), GRAM)).alias("pos", "gram"))
-    # Three readers share the exchange of these rows.
-    postings = listed.join(own.select(doc, "gram").distinct(), [doc, "gram"], "left_semi")
+    direct = texts.select(doc, "text_id", F.explode(pieces).alias("key")).join(short, [doc, "key"]).select(doc, "text_id", "key")
+
+    own = patterns.where(F.length("key") >= GRAM).select(doc, "key", F.posexplode(grams(F.col("key"), GRAM)).alias("off", "gram"))
+    listed = texts.select(doc, "text_id", F.posexplode(grams(F.col("text"), GRAM)).alias("pos", "gram"))
+    postings = materialize(listed.join(own.select(doc, "gram").distinct(), [doc, "gram"], "left_semi"), "postings")
     frequency = postings.groupBy(doc, "gram").agg(F.count(F.lit(1)).alias("df"))
     probe = (
         own.join(frequency, [doc, "gram"], "left").groupBy(doc, "key")
         .agg(F.min(F.struct("df", "off", "gram")).alias("p"), F.count_if(F.col("df").isNull()).alias("missing"))
         .where("missing = 0").select(doc, "key", "p.off", "p.gram")
     )
-    start = (F.col("pos") - F.col("off")).alias("start")
-    places = materialize(
-        probe.join(postings, [doc, "gram"]).where("pos >= off").select(doc, "text_id", "key", start, "text")
-        .where(F.col("text").isNull() | (F.substring(F.col("text"), F.col("start") + 1, F.length("key")) == F.col("key"))),
-        "places",
-    )
-    # In longer texts pieces at 0, GRAM, 2 GRAM, ... and the last one leave no character of the key open.
+    places = probe.join(postings, [doc, "gram"]).where("pos >= off").select(doc, "text_id", "key", (F.col("pos") - F.col("off")).alias("start"))
+    # Pieces at 0, GRAM, 2 GRAM, ... and the last one leave no character of the key open.
     last = F.length("key") - GRAM
     cover = F.array_union(F.sequence(F.lit(0), last, F.lit(GRAM)), F.array(last))
-    asked = places.where("text is null").select(doc, "text_id", "key", "start", F.size(cover).alias("parts"), F.explode(cover).alias("off"))
+    asked = places.select(doc, "text_id", "key", "start", F.size(cover).alias("parts"), F.explode(cover).alias("off"))
     asked = asked.select("*", F.substring(F.col("key"), F.col("off") + 1, F.lit(GRAM)).alias("gram"), (F.col("start") + F.col("off")).alias("pos"))
-    exact = postings.where("text is null").join(places.where("text is null").select(doc, "text_id").distinct(), [doc, "text_id"], "left_semi")
-    met = asked.join(exact, [doc, "text_id", "gram", "pos"]).groupBy(doc, "text_id", "key", "start", "parts").agg(F.count(F.lit(1)).alias("n"))
-    found = met.where("n = parts").select(doc, "text_id", "key").union(places.where("text is not null").select(doc, "text_id", "key")).distinct()
-    return direct.unionByName(found)
+    met = asked.join(postings, [doc, "text_id", "gram", "pos"]).groupBy(doc, "text_id", "key", "start", "parts").agg(F.count(F.lit(1)).alias("n"))
+    return direct.unionByName(met.where("n = parts").select(doc, "text_id", "key").distinct())
 
 
 def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi") -> DataFrame:
