@@ -194,6 +194,7 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
         F.min("material_index").alias("material_index"),
         F.max(F.col("generic").cast("int")).alias("generic"),
     )
+    names = materialize(names, "names")
     asked = materialize(
         extractions.withColumn("_key", name_key("name")).withColumn("_evidence", name_key("evidence"))
         .withColumn("_key_id", F.sha2("_key", 256)).withColumn("_evidence_id", F.sha2("_evidence", 256)),
@@ -212,7 +213,7 @@ def bind_by_name(extractions: DataFrame, materials: DataFrame, doc: str = "doi")
     # Containment either way, for names that no material has alone and evidence where there is a
     # choice; hits are summed up per key before anything is joined back.
     settled = exact.where("e_n = 1 and e_generic = 0").select(doc, "_key")
-    distinct = materialize(distinct.join(settled, [doc, "_key"], "left_anti"), "open")
+    distinct = distinct.join(settled, [doc, "_key"], "left_anti")
     choice = per_doc.where("n_materials > 1").select(doc)
     text_id = lambda c: F.sha2(c, 256)
     unnamed = asked.where("_key = '' AND _evidence <> ''").select(doc, F.col("_evidence").alias("text")).distinct().join(choice, doc, "left_semi")
