@@ -22,11 +22,16 @@ SEED = 42
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
 COPY_TALLY = 4
+# Each text also carries one bit of the least hash in 128 further orders. Texts of similarity s agree in
+# (1 + s) / 2 of them; at 0.8 that is 115 bits with a deviation of 3.4, so 107 are asked for.
+SKETCH = ("s0", "s1")
+SKETCH_BITS = 107
 # Largest number of fingerprints of one posting list that a task compares at once.
 LIST_BLOCK = 4096
 _SHORT_LIST = 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.arange(1, 17, 2, dtype=np.uint64) * _STEP
+_FACTORS = np.random.default_rng(9).integers(1, 1 << 63, 64 * len(SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_ranges(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +95,8 @@ def shingle_hashes(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarra
     return shingles, count, content
 
 
-def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Eight MinHash bytes over the shingles of each text, and the hash of its words.
+def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.ndarray, ...]:
+    """Eight MinHash bytes over the shingles of each text, the hash of its words, and the sketch words.
 
     Two texts agree in each byte with the probability of their Jaccard similarity, whatever the
     edits between them are.
@@ -104,7 +109,12 @@ def copy_fingerprints_of(texts: pa.Array, size: int = COPY_SHINGLE) -> tuple[np.
         for k, step in enumerate(_ORDERS):
             least = np.minimum.reduceat(mix(shingles + step), at)
             out[full] |= (least & np.uint64(255)) << np.uint64(8 * k)
-    return out, content
+    sketch = np.zeros((len(SKETCH), len(texts)), np.uint64)
+    if len(full):
+        for k, factor in enumerate(_FACTORS):
+            least = mix(np.minimum.reduceat(shingles * factor, at))
+            sketch[k // 64, full] |= (least & np.uint64(1)) << np.uint64(k % 64)
+    return out, content, *sketch
 
 
 def text_hash(text_col: str) -> Column:
@@ -112,19 +122,18 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`"))
 
 
-def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, fingerprints: Callable) -> DataFrame:
-    """(id, fp, check, text_hash) per row: the indexed fingerprint and the one that is checked, signed."""
+def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, fingerprints: Callable, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, check, text_hash) per row: the indexed fingerprint and the one that is checked, signed; then ``more``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            fp, check = fingerprints(as_texts(piece.column("text")))
+            fp, check, *rest = [pa.array(x.view(np.int64)) for x in fingerprints(as_texts(piece.column("text")))]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), piece.column("text_hash")],
-                names=["id", "fp", "check", "text_hash"],
+                [piece.column("id"), fp, check, piece.column("text_hash"), *rest], names=["id", "fp", "check", "text_hash", *more]
             )
 
-    return bounded(rows).mapInArrow(run, "id long, fp long, check long, text_hash long")
+    return bounded(rows).mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", "check", "text_hash", *more)))
 
 
 def posting_keys(fp: Column, max_bits: int = MAX_BITS) -> Column:
@@ -150,15 +159,20 @@ def within_bits(max_bits: int) -> Near:
     return lambda x, y: np.bitwise_count(x[..., 0] ^ y[..., 0]) <= max_bits
 
 
-def same_bytes(tally: int) -> Near:
-    """Whether fingerprint pairs of different groups share at least ``tally`` positional bytes."""
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing sketch bits of node pairs."""
+    return sum(np.bitwise_count(x[..., 3 + k] ^ y[..., 3 + k]).astype(np.int16) for k in range(len(SKETCH)))
+
+
+def alike(tally: int, bits: int = SKETCH_BITS) -> Near:
+    """Whether node pairs of different groups share ``tally`` positional bytes and ``bits`` sketch bits or more."""
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         d = x[..., 0] ^ y[..., 0]
         same = np.zeros(d.shape, np.int8)
         for k in range(8):
             same += (d >> np.uint64(8 * k) & np.uint64(255)) == 0
-        return (same >= tally) & (x[..., 2] != y[..., 2])
+        return (same >= tally) & (x[..., 2] != y[..., 2]) & (sketch_distance(x, y) <= 64 * len(SKETCH) - bits)
 
     return near
 
@@ -186,21 +200,41 @@ def star_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def pair_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of different nodes."""
-    left, right = [nodes[:0]], [nodes[:0]]
+def parent_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """(member, the member it was reached from) of every group of linked nodes, the same search as ``star_edges``."""
+    parent = np.arange(len(nodes))
+    rest = np.arange(len(nodes))
+    while len(rest):
+        frontier, rest = rest[:1], rest[1:]
+        while len(frontier) and len(rest):
+            via = np.full(len(rest), -1)
+            for k in range(0, len(frontier), 64):
+                open_ = np.flatnonzero(via < 0)
+                hit = near(nodes[frontier[k : k + 64], None], nodes[None, rest[open_]])
+                reached = hit.any(axis=0)
+                via[open_[reached]] = frontier[k + hit.argmax(axis=0)[reached]]
+            parent[rest[via >= 0]] = via[via >= 0]
+            frontier, rest = rest[via >= 0], rest[via < 0]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def nearest_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """(node, its linked node of fewest differing sketch bits) of every node that has one."""
+    nearest = np.full(len(nodes), -1)
     for k in range(0, len(nodes), 64):
-        i, j = np.nonzero(near(nodes[k : k + 64, None], nodes[None, k:]))
-        i, j = i[i < j] + k, j[i < j] + k
-        left.append(nodes[i])
-        right.append(nodes[j])
-    return np.concatenate(left), np.concatenate(right)
+        x, y = nodes[k : k + 64, None], nodes[None]
+        far = np.where(near(x, y), sketch_distance(x, y), np.int16(1 << 14))
+        best = far.argmin(axis=1)
+        nearest[k : k + 64] = np.where(far[np.arange(len(best)), best] < 1 << 14, best, -1)
+    has = np.flatnonzero(nearest >= 0)
+    return nodes[has], nodes[nearest[has]]
 
 
 _FOUND = "a long, a_check long, a_group long, b long, b_check long, key long, block int"
 
 
-def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pa.RecordBatch:
+def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None, more: tuple[str, ...] = ()) -> pa.RecordBatch:
     """Edges from nodes ``a`` to ``b``, or without ``b`` the nodes of one block of a long list."""
     n = len(a)
     column = lambda x, k: pa.array(np.ascontiguousarray(x[:, k]).view(np.int64))
@@ -211,8 +245,9 @@ def _rows(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pa.Recor
             empty if b is None else column(b, 0), empty if b is None else column(b, 1),
             empty if key is None else pa.array(np.full(n, key, np.int64)),
             pa.nulls(n, pa.int32()) if block is None else pa.array(np.full(n, block, np.int32)),
+            *[empty if b is not None else column(a, 3 + k) for k in range(len(more))],
         ],
-        names=["a", "a_check", "a_group", "b", "b_check", "key", "block"],
+        names=["a", "a_check", "a_group", "b", "b_check", "key", "block", *more],
     )
 
 
@@ -235,23 +270,27 @@ def _edges_of_lists(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, nea
     return np.concatenate(left), np.concatenate(right)
 
 
-def fingerprint_links(distinct: DataFrame, keys: Column, near: Near, search_list: Callable = star_edges) -> DataFrame:
-    """Edges (a, a_check, b, b_check) between different nodes (fp, check, group).
+def fingerprint_links(
+    distinct: DataFrame, keys: Column, near: Near, search_list: Callable = star_edges, more: tuple[str, ...] = ()
+) -> DataFrame:
+    """Edges (a, a_check, b, b_check) between different nodes (fp, check, group and the columns ``more``).
 
-    They have the components of all links; with ``pair_edges`` as ``search_list`` they are all links.
+    With ``star_edges`` or ``parent_edges`` they have the components of all links. A list of n nodes
+    gives fewer than n edges, or all of a list of at most ``_SHORT_LIST``.
 
     Posting lists are dealt by key and sorted, and each is searched by one task in blocks of
     ``LIST_BLOCK``. A longer list is not held together: its blocks are marked, and all pairs of
     its blocks are searched by separate tasks, so no link is lost and no task grows with the list.
     """
-    rows = distinct.select("fp", "check", "group", F.explode(keys).alias("key"))
+    names = ("fp", "check", "group", *more)
+    rows = distinct.select(*names, F.explode(keys).alias("key"))
     rows = rows.repartition("key").sortWithinPartitions("key", "fp", "check")
 
     def nodes_of(batch) -> np.ndarray:
-        return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "check", "group")], axis=1)
+        return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = np.zeros(0, np.int64), np.zeros((0, 3), np.uint64)
+        keys, nodes = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
         long_key, block = None, 0  # the list of which blocks have been sent on
         for batch in chain(batches, [None]):
             if batch is not None:
@@ -263,26 +302,26 @@ def fingerprint_links(distinct: DataFrame, keys: Column, near: Near, search_list
             if batch is not None:
                 bounds = bounds[:-1]  # the last list may go on
             if long_key is not None and keys[0] == long_key and len(bounds) > 1:
-                yield _rows(nodes[: bounds[1]], None, long_key, block)
+                yield _rows(nodes[: bounds[1]], None, long_key, block, more)
                 bounds, long_key = bounds[1:], None
             if len(bounds) > 1:
                 lo, hi = bounds[0], bounds[-1]
-                yield _rows(*_edges_of_lists(keys[lo:hi], nodes[lo:hi], bounds - lo, near, search_list))
+                yield _rows(*_edges_of_lists(keys[lo:hi], nodes[lo:hi], bounds - lo, near, search_list), more=more)
             keys, nodes = keys[bounds[-1] :], nodes[bounds[-1] :]
             while len(keys) > LIST_BLOCK:
                 if keys[0] != long_key:
                     long_key, block = keys[0], 0
-                yield _rows(nodes[:LIST_BLOCK], None, long_key, block)
+                yield _rows(nodes[:LIST_BLOCK], None, long_key, block, more)
                 keys, nodes, block = keys[LIST_BLOCK:], nodes[LIST_BLOCK:], block + 1
 
-    found = materialize(rows.mapInArrow(search, _FOUND), "postings")
+    found = materialize(rows.mapInArrow(search, ", ".join([_FOUND, *[f"{c} long" for c in more]])), "postings")
     edges = found.where("b is not null").select("a", "a_check", "b", "b_check")
-    blocks = found.where("key is not null").select(F.col("a").alias("fp"), F.col("a_check").alias("check"), F.col("a_group").alias("group"), "key", "block")
+    blocks = found.where("key is not null").select(F.col("a").alias("fp"), F.col("a_check").alias("check"), F.col("a_group").alias("group"), *more, "key", "block")
     # Every pair of blocks of a long list: each block is sent to as many tasks as the list has blocks.
     sizes = blocks.groupBy("key").agg((F.max("block") + 1).alias("n"))
     cells = blocks.join(sizes, "key").select(
-        "fp", "check", "group", "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "check", "group")
+        *names, "key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    ).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *names)
 
     def search_cell(table: pa.Table) -> pa.Table:
         a, b = search_list(nodes_of(table.combine_chunks()), near)
@@ -292,17 +331,17 @@ def fingerprint_links(distinct: DataFrame, keys: Column, near: Near, search_list
     return edges.unionByName(searched)
 
 
-def _groups(marked: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, fp, component_id, text_hash, first_hash) per row of (id, fp, check, text_hash).
+def _groups(marked: DataFrame, links: Callable[[DataFrame], DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, component_id, text_hash, first_hash) per row of (id, fp, check, text_hash and the columns ``more``).
 
-    ``links`` gives the edges (a, b) between the nodes of a frame (fp, check, node). The component
+    ``links`` gives the edges (a, b) between the nodes of a frame (fp, check, node, more). The component
     is the smallest id reachable, null only if all are; with the smallest ``first_hash`` under that
     id it names the row that stands for the component.
     """
     marked = materialize(marked.withColumn("node", F.xxhash64("fp", "check")), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    distinct = materialize(marked.groupBy("fp", "check", "node").agg(least.alias("least")), "distinct")
-    tree = components(links(distinct.select("fp", "check", "node")))
+    distinct = materialize(marked.groupBy("fp", "check", "node", *more).agg(least.alias("least")), "distinct")
+    tree = components(links(distinct.select("fp", "check", "node", *more)))
     rooted = distinct.join(tree, distinct["node"] == tree["id"], "left").select(
         "node", "least", F.coalesce("root", "node").alias("root")
     )
@@ -382,10 +421,12 @@ def similar_documents(
     The index runs over MinHash bytes of the ``size``-word shingles (a text of fewer words is one
     shingle), keyed by every choice of ``tally`` positions: a pair of similarity s is a candidate
     with the probability that at least ``tally`` of eight bytes agree, 0.99 at 0.8, whatever the
-    edits. Every candidate link is checked by the exact Jaccard similarity of the shingle sets. A
-    first search takes a tree of candidates from each long list; a second one takes all
-    candidate pairs that the links found so far do not connect, so no checked link is missed for
-    the sake of a tree. Texts of equal words are one node. ``kept`` marks the row of the smallest
+    edits. Candidates must also agree in enough bits of a wider sketch, and each is checked by the
+    exact Jaccard similarity of the shingle sets. A first search takes a tree of candidates from
+    each posting list. Where failed checks leave the nodes of such trees apart, each of them
+    proposes its nearest node of another group in each of its lists, and those proposals are
+    checked, until no group gains a link. So every round checks fewer pairs than its index has
+    rows, whatever the size of a group. Texts of equal words are one node. ``kept`` marks the row of the smallest
     id (nulls last) and then the smallest ``text_hash`` of its component; only rows equal in both
     are kept together. So every component keeps a row, also one of null ids, and different texts
     under one id are judged each.
@@ -394,29 +435,39 @@ def similar_documents(
     def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return copy_fingerprints_of(texts, size)
 
-    marked = materialize(with_fingerprint(docs, id_col, text_col, fingerprints), "copies")
+    marked = materialize(with_fingerprint(docs, id_col, text_col, fingerprints, SKETCH), "copies")
 
     def links(nodes: DataFrame) -> DataFrame:
         keys = posting_keys(F.col("fp"), 8 - tally)
-        near = same_bytes(tally)
-        pairs = lambda found: materialize(
-            found.select(F.greatest("a_check", "b_check").alias("a"), F.least("a_check", "b_check").alias("b")).distinct(), "candidates"
-        )
-        first = pairs(fingerprint_links(nodes.withColumn("group", F.col("check")), keys, near))
-        # Every text with a candidate is in one of these edges; the others need no shingles and no second search.
-        ends = materialize(first.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "candidates")
-        again = marked.join(ends, "check", "left_semi").groupBy("check").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
-        sets = materialize(shingle_sets(docs, text_col, again, size).dropDuplicates(["check"]), "shingles")
-        found = materialize(_similar(first, sets, similarity), "similar")
-        tree = components(found).select(F.col("id").alias("_id"), "root")
-        open_ = nodes.join(ends, "check", "left_semi")
-        open_ = open_.join(tree, F.col("check") == F.col("_id"), "left").select("fp", "check", F.coalesce("root", "check").alias("group"))
-        more = pairs(fingerprint_links(materialize(open_, "open"), keys, near, pair_edges)).join(first, ["a", "b"], "left_anti")
-        found = found.unionByName(_similar(more, sets, similarity))
+        pairs = lambda rows, search: fingerprint_links(rows, keys, alike(tally), search, SKETCH).select(
+            F.greatest("a_check", "b_check").alias("a"), F.least("a_check", "b_check").alias("b")
+        ).distinct()
+        tried = materialize(pairs(nodes.withColumn("group", F.col("check")), parent_edges), "candidates")
+        # Every text with a candidate is in one of these edges; the others need no shingles and no further search.
+        ends = materialize(tried.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "candidates")
+        wanted = marked.join(ends, "check", "left_semi").groupBy("check").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
+        sets = materialize(shingle_sets(docs, text_col, wanted, size).dropDuplicates(["check"]), "shingles")
+        rooted = lambda rows, edges, name: rows.join(
+            components(edges).select(F.col("id").alias("check"), F.col("root").alias("_root")), "check", "left"
+        ).select(*rows.columns, F.coalesce("_root", "check").alias(name))
+        # All candidate pairs, also those no tree holds, lie within one loose group.
+        active = materialize(rooted(nodes.join(ends, "check", "left_semi"), tried, "loose"), "active")
+        found = materialize(_similar(tried, sets, similarity), "similar")
+        while True:
+            grouped = materialize(rooted(active, found, "group"), "groups")
+            split = grouped.groupBy("loose").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+            open_ = materialize(grouped.join(split, "loose", "left_semi"), "open")
+            proposed = materialize(pairs(open_, nearest_edges).join(tried, ["a", "b"], "left_anti"), "proposed")
+            added = materialize(_similar(proposed, sets, similarity), "similar")
+            if added.isEmpty():
+                break
+            found, tried = found.unionByName(added), tried.unionByName(proposed)
+            gained = open_.join(added.select(F.col("a").alias("check")), "check", "left_semi").select("loose").distinct()
+            active = open_.join(gained, "loose", "left_semi").select(active.columns)
         names = nodes.select("check", "node")
         a, b = names.select(F.col("check").alias("a"), F.col("node").alias("x")), names.select(F.col("check").alias("b"), F.col("node").alias("y"))
         return found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    found = _groups(marked, links)
+    found = _groups(marked, links, SKETCH)
     kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     return found.select(F.col("id").alias(id_col), "component_id", kept.alias("kept"), "text_hash")
