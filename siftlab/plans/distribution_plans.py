@@ -95,6 +95,22 @@ def agg21(t):
     return _rounded(_rounded(D.density_curve(_values(t), _BY, "value"), ["x"], 3), ["y"], 4)
 
 
+@query(
+    "agg21_binned_density",
+    f"""{_SHAPE}, g as (select metric, unit, lo, hi, width, 1.06 * sd * pow(n, -0.2::double) as h, (hi - lo) / 956 as d from f),
+      placed as (select metric, unit, (value - lo) / d as pos, count(*) as c from v join g using (metric, unit) group by all),
+      shares as (select metric, unit, floor(pos)::int as cell, c * (1 - (pos - floor(pos))) as w from placed
+        union all select metric, unit, floor(pos)::int + 1, c * (pos - floor(pos)) from placed),
+      sums as (select metric, unit, cell, sum(w) as w from shares group by all),
+      marks as (select *, unnest(range(0, 240)) as point from g)
+    select metric, unit, point::int as point, round(max(lo + point * (d * 4)), 3) as x,
+      round(sum(w * exp(-0.5 * pow((point * 4 - cell) * d / h, 2))) * max(width / (h * sqrt(2 * pi()))), 4) as y
+    from marks join sums using (metric, unit) group by metric, unit, point""",
+)
+def agg21_binned(t):
+    return _rounded(_rounded(D.binned_density_curve(_values(t), _BY, "value"), ["x"], 3), ["y"], 4)
+
+
 @query(
     "agg22_out_of_range_sanity",
     """select l_returnflag as metric, count_if(l_tax * 13 between 0 and 1)::bigint as n_in_range,

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,3 +290,23 @@ def test_block_join_sizes(spark, monkeypatch):
     vs = spark.createDataFrame([(i, [float(i), 1.0], "d", "t") for i in range(9)], "id int, embedding array<double>, doc_id string, task_type string")
     qs = spark.createDataFrame([(i, [1.0, float(i)], None, None) for i in range(3)], "qid int, embedding array<double>, tasks array<string>, masked_doc string")
     assert RT.vector_top_k(vs, qs, 2).count() == 6
+
+
+@pytest.mark.parametrize("points,cells", [(240, 4), (24, 1)])
+def test_binned_density_stays_within_its_error_of_the_exact_curve(spark, points, cells):
+    rng = random.Random(5)
+    rows = [("normal", rng.gauss(3, 2)) for _ in range(400)] + [("ties", float(rng.randint(0, 4))) for _ in range(90)]
+    rows += [(None, rng.expovariate(1)) for _ in range(60)] + [("few", 1.0), ("few", 2.0), ("flat", 1.0), ("flat", 1.0), ("flat", 1.0), ("normal", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    exact = {(r["g"], r["point"]): r for r in D.density_curve(df, ["g"], "v", points).collect()}
+    binned = {(r["g"], r["point"]): r for r in D.binned_density_curve(df, ["g"], "v", points, cells).collect()}
+    shape = {r["g"]: r for r in D.histogram_shape(df, ["g"], "v").collect()}
+    assert exact.keys() == binned.keys() and {g for g, _ in binned} == {"normal", "ties", None}
+    for g in ("normal", "ties", None):
+        values = [v for k, v in rows if k == g and v is not None]
+        h = 1.06 * statistics.stdev(values) * len(values) ** -0.2
+        step = (max(values) - min(values)) / (cells * (points - 1))
+        bound = len(values) * shape[g]["width"] / (h * math.sqrt(2 * math.pi)) * step**2 / (8 * h**2)
+        for p in range(points):
+            assert abs(binned[g, p]["x"] - exact[g, p]["x"]) < 1e-9
+            assert abs(binned[g, p]["y"] - exact[g, p]["y"]) <= bound + 1e-9
