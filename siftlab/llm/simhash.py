@@ -425,8 +425,8 @@ def similar_documents(
     exact Jaccard similarity of the shingle sets. A first search takes a tree of candidates from
     each posting list. Where failed checks leave the nodes of such trees apart, each of them
     proposes its nearest node of another group in each of its lists, and those proposals are
-    checked, until no group gains a link. So every round checks fewer pairs than its index has
-    rows, whatever the size of a group. Texts of equal words are one node. ``kept`` marks the row of the smallest
+    checked, until no group gains a link. So the pairs of a round are in proportion to the rows
+    of its index, whatever the size of a group. Texts of equal words are one node. ``kept`` marks the row of the smallest
     id (nulls last) and then the smallest ``text_hash`` of its component; only rows equal in both
     are kept together. So every component keeps a row, also one of null ids, and different texts
     under one id are judged each.
