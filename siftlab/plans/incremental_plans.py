@@ -105,8 +105,13 @@ def inc4_stream(t):
 @query(
     "inc5_experiment_snapshots",
     """with s as (select event_type as experiment, user_id % 7 as step, event_id as note_id from events)
-    select experiment, step, note_id from s where step = 6""",
+    select experiment, step, note_id from s where step = (select max(o.step) from s as o where o.experiment = s.experiment)""",
 )
 def inc5(t):
     snapshots = t.events.select(F.col("event_type").alias("experiment"), F.pmod("user_id", F.lit(7)).alias("step"), F.col("event_id").alias("note_id"))
-    return J.latest_snapshot(snapshots)
+    path = scratch_path(t.spark, "snapshots")
+    J.write_snapshots(snapshots, path)
+    # The first step is uploaded again, unchanged; only its folders are rewritten.
+    J.write_snapshots(snapshots.where("step = 0"), path)
+    stored = J.read_snapshots(t.spark, path, snapshots.schema)
+    return J.latest_snapshot(stored).select("experiment", "step", "note_id")

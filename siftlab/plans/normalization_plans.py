@@ -447,18 +447,15 @@ _REFS = ("", "\n## References\n[1] A, B, 2019.", "\nAcknowledgements\nthanks", "
 
 @query(
     "nrm21_reference_removal",
-    r"""with d as (select doc_id, doc_id % 5 as k, replace(replace(text, '[', ''), 'doi', 'dio') as body from documents),
+    r"""with d as (select doc_id, doc_id % 5 as k, text as body from documents),
       b as (select doc_id, k, case k when 0 then body when 1 then body when 2 then body when 3 then body else body || chr(10) || '[1] A' || chr(10) || '[2] B' end as kept from d)
-    select doc_id, k, md5(case when k = 3 then rtrim(kept, chr(10) || ' ') when k in (1, 2) then kept || chr(10) else kept end) as digest from b
-    where not regexp_matches(kept, '(?m)^\s*(\d{1,3}[.)]\s+\S|.*\b(19|20)\d{2}[a-z]?\b)') and not regexp_matches(kept, '(?i)reference|acknowledgement')""",
+    select doc_id, k, md5(case when k = 3 then rtrim(kept, chr(10) || ' ') when k = 1 then kept || chr(10) when k = 2 then regexp_replace(kept || chr(10), '##?\s*$', '') else kept end) as digest from b""",
 )
 def nrm21(t):
     k = F.pmod("doc_id", F.lit(5))
-    body = F.replace(F.replace(F.col("text"), F.lit("["), F.lit("")), F.lit("doi"), F.lit("dio"))
-    plain = ~body.rlike(r"(?m)^\s*(\d{1,3}[.)]\s+\S|.*\b(19|20)\d{2}[a-z]?\b)") & ~body.rlike("(?i)reference|acknowledgement")
-    rows = t.wide("documents").where(plain).select("doc_id", k.alias("k"), F.concat(body, pick(_REFS, "doc_id")).alias("text"))
+    rows = t.wide("documents").select("doc_id", k.alias("k"), F.concat("text", pick(_REFS, "doc_id")).alias("text"))
     out = rows.select("doc_id", "k", D.drop_references("text").alias("kept"))
-    # The heading cases leave the line break before the heading.
+    # The heading cases leave the line break before the heading, unless hash marks end the line above it.
     return out.select("doc_id", "k", F.md5("kept").alias("digest"))
 
 
@@ -488,7 +485,7 @@ def nrm22(t):
     "nrm23_title_candidates",
     """select doc_id, case doc_id % 4 when 0 then 'Study of ' || source || ': part ' || lang when 1 then 'On ' || source when 2 then 'A bold enough title ' || source else 'Named ' || lang end as title,
       case doc_id % 4 when 0 then 'study of ' || source when 1 then 'on ' || source when 2 then 'a bold enough title ' || source else 'named ' || lang end as last_variant
-    from documents where text not like '%**%' and text not like '%#%'""",
+    from documents""",
 )
 def nrm23(t):
     k = F.pmod("doc_id", F.lit(4))
@@ -499,8 +496,7 @@ def nrm23(t):
         .when(k == 2, F.concat(F.lit("**Short**\n**A bold enough title "), src, F.lit("**")))
         .otherwise(F.concat(F.lit("# Abstract\nTitle： `Named` "), lang))
     )
-    clean = t.wide("documents").where(~F.col("text").contains("**") & ~F.col("text").contains("#"))
-    rows = clean.select("doc_id", D.title_candidates(F.concat(head, F.lit("\n"), F.col("text"))).alias("c"))
+    rows = t.wide("documents").select("doc_id", D.title_candidates(F.concat(head, F.lit("\n"), F.col("text"))).alias("c"))
     first = F.try_element_at("c", F.lit(1))
     return rows.select("doc_id", first.alias("title"), D.title_key(F.try_element_at(D.title_variants(first), F.lit(-1))).alias("last_variant"))
 
@@ -508,7 +504,7 @@ def nrm23(t):
 @query(
     "nrm24_answer_object_extraction",
     """select conv_id, turn, case (conv_id + turn) % 5 when 0 then '{"v":' || turn || '}' when 1 then '{"v":' || turn || '}' when 2 then '{"v": ' || turn || '}' when 3 then '{"w": 1}' end as answer
-    from conversations where text not like '%{%'""",
+    from conversations""",
 )
 def nrm24(t):
     k, v = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)), text("turn")
@@ -521,21 +517,21 @@ def nrm24(t):
         .when(k == 3, F.concat(F.lit("<answer>none</answer>"), body, F.lit('{"w": 1}')))
         .otherwise(body)
     )
-    rows = t.conversations.where(~body.contains("{")).select("conv_id", "turn", reply.alias("reply"))
+    rows = t.conversations.select("conv_id", "turn", reply.alias("reply"))
     return A.with_answer_object(rows, "reply").select("conv_id", "turn", "answer")
 
 
 _CLAIM_TASKS = ("HER", "OER", "ORR", "UOR", "CO2RR", "conductivity", "antibacterial")
 
 
-_CLAIM_VALUE = """case k when 0 then q * 10 when 1 then 5000 when 2 then ('0.' || (q + 10) || '5')::double when 3 then (1000 + q) / 1000 when 4 then q when 5 then q * 0.1 else q end"""
+_CLAIM_VALUE = """case k when 0 then q * 10 when 1 then 5000 when 2 then ('0.' || (q + 10) || '5')::double when 3 then (1000 + q) / 1000 when 4 then case when q <= 1 then q * 100 else q end when 5 then q * 0.1 else q end"""
 
 
 @query(
     "nrm26_claim_metric_extraction",
     f"""with c as (select {_LI_ID} as id, l_partkey % 7 as k, {_Q} as q from lineitem)
     select id, (['HER', 'OER', 'ORR', 'UOR', 'CO2RR', 'conductivity', 'antibacterial'])[1 + k] as task_type, round({_CLAIM_VALUE}, 6)::double as value,
-      (['mV', 'mV', 'V', 'V', '%', 'S/m', 'ppm'])[1 + k] as unit, case when k = 4 then 'HCOOH' end as product from c where k <> 4 or q > 1""",
+      (['mV', 'mV', 'V', 'V', '%', 'S/m', 'ppm'])[1 + k] as unit, case when k = 4 then 'HCOOH' end as product from c""",
 )
 def nrm26(t):
     q = F.col("l_quantity").cast("int")
@@ -552,7 +548,7 @@ def nrm26(t):
     claim = F.concat(
         F.lit("Task Type: x\nPerformance Metrics: 1 V\nPerformance Metrics (final): "), body, F.lit("\nEvidence: llm")
     )
-    rows = t.wide("lineitem").where((line != 4) | (q > 1)).select(_li_id(), pick(_CLAIM_TASKS, "l_partkey").alias("task_type"), claim.alias("claim"))
+    rows = t.wide("lineitem").select(_li_id(), pick(_CLAIM_TASKS, "l_partkey").alias("task_type"), claim.alias("claim"))
     out = rows.withColumn("m", CL.claim_metric("task_type", CL.metric_line("claim")))
     product = F.when(F.col("task_type") == "CO2RR", CL.claim_product("claim", CL.metric_line("claim")))
     return out.select("id", "task_type", F.round("m.value", 6).alias("value"), F.col("m.unit").alias("unit"), product.alias("product"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlab.functions import fixed as K
 from siftlab.functions.documents import chunk_quality
-from siftlab.operators import chunking as C, joins as J, retrieval as R
+from siftlab.operators import chunking as C, joins as J, pivots as P, retrieval as R
 from siftlab.plans.common import pick, sql_list, sql_pick, text
 from siftlab.plans.registry import query
 
@@ -112,6 +112,27 @@ def top1_grid(t):
     return _r6(R.vector_top_k(_vectors(t), _queries(t), 5, grid=3))
 
 
+@query("top1_vector_top_k_pivots", _vector_sql())
+def top1_pivots(t):
+    return _r6(P.pivot_top_k(P.build_index(_vectors(t)), _queries(t), 5)[0])
+
+
+@query(
+    "top1_similar_records_pivots",
+    f"""with p as (select vec_id as q, embedding::double[] as c from embeddings where vec_id % 100 = 0), s as (select q, vec_id, {sql_pick(K.TASKS, 'vec_id')} as task_type,
+        round(list_cosine_similarity(embedding::double[], c), 9) as score from embeddings, p),
+      r as (select *, row_number() over (partition by q order by score desc, vec_id::varchar) as rank from s where task_type in ('HER', 'OER') and score >= 0.2)
+    select q::varchar as qid, vec_id::varchar as id, round(score, 6) as score, rank::int as rank from r where rank <= 10""",
+)
+def top1_similar(t):
+    vectors = _vectors(t)
+    tasks = F.array(F.lit("HER"), F.lit("OER"))
+    asked = vectors.where(F.pmod("id", F.lit(100)) == 0).select(
+        F.col("id").alias("qid"), "embedding", tasks.alias("tasks"), F.lit(None).cast("string").alias("masked_doc")
+    )
+    return _r6(P.pivot_top_k(P.build_index(vectors), asked, 10, max_distance=0.8)[0])
+
+
 @query(
     "flt6_metadata_and_distance",
     _vector_sql("task_type in ('HER', 'OER', 'conductivity') and score >= 0.05"),

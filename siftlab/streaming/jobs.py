@@ -7,7 +7,7 @@ and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from siftlab.operators.ordinals import best_per_group
 
@@ -121,6 +121,20 @@ def write_snapshot(notes: DataFrame, path: str, experiment: str, step: int) -> N
     notes.write.mode("overwrite").parquet(f"{path}/experiment={experiment}/step={step}")
 
 
+def write_snapshots(notes: DataFrame, path: str) -> None:
+    """Full note sets of many steps in one job, from rows with experiment and step.
+
+    Steps that have rows here are replaced, all others stay as they are.
+    """
+    writer = notes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("experiment", "step").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stored snapshots; a filter on experiment or step prunes folders."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def latest_snapshot(snapshots: DataFrame, experiment: str = "experiment", step: str = "step") -> DataFrame:
     """All rows of the highest step per experiment."""
     last = snapshots.groupBy(experiment).agg(F.max(step).alias(step))
