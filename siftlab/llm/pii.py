@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,26 +121,40 @@ _BRACKET_OR_ODD[[40, 91, 123, 60, 0xC2, *range(0xC4, 0x100)]] = True
 Replacement = tuple[int, int, str]
 
 
-def _apply(text: str, origin: list[tuple[int, int]] | None, edits: list[Replacement]) -> tuple[str, list[tuple[int, int]]]:
-    """Rewrite non-overlapping ranges; each new character keeps the source range it stands for."""
-    if origin is None:
-        origin = [(i, i + 1) for i in range(len(text))]
-    out: list[str] = []
-    kept: list[tuple[int, int]] = []
-    at = 0
-    for start, end, new in sorted(edits):
-        if start < at:
-            continue
-        out.append(text[at:start])
-        kept += origin[at:start]
-        out.append(new)
-        if new:
-            source = (origin[start][0], origin[end - 1][1])
-            kept += [source] * len(new)
-        at = end
-    out.append(text[at:])
-    kept += origin[at:]
-    return "".join(out), kept
+class _Rewrite:
+    """A rewritten text and the way back: only the edits are kept, the stretches between them are shifts."""
+
+    def __init__(self, text: str, edits: list[Replacement]):
+        out: list[str] = []
+        self.new_start: list[int] = []
+        self.new_end: list[int] = []
+        self.old: list[tuple[int, int]] = []
+        at = length = 0
+        for start, end, new in sorted(edits):
+            if start < at:
+                continue
+            out += (text[at:start], new)
+            length += start - at
+            self.new_start.append(length)
+            length += len(new)
+            self.new_end.append(length)
+            self.old.append((start, end))
+            at = end
+        out.append(text[at:])
+        self.text = "".join(out)
+
+    def _back(self, i: int) -> tuple[int, int]:
+        """Range before the rewriting that the character at ``i`` stands for."""
+        k = bisect_right(self.new_start, i) - 1
+        if k < 0:
+            return i, i + 1
+        if i < self.new_end[k]:
+            return self.old[k]
+        source = self.old[k][1] + i - self.new_end[k]
+        return source, source + 1
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        return self._back(start)[0], self._back(end - 1)[1]
 
 
 def _char_edits(text: str) -> list[Replacement]:
@@ -167,9 +182,19 @@ def _bracket_edits(text: str) -> list[Replacement]:
     return [(m.start(), m.end(), "@" if m[1] or "@" in m[0] else ".") for m in _BRACKETED.finditer(text)]
 
 
+# Words that stand before "at" in running text and are no mailbox.
+_NOT_MAILBOXES = frozenset((
+    "look", "looking", "looked", "is", "are", "was", "were", "be", "it", "me", "us", "them", "him", "her", "you", "find", "found", "visit",
+    "available", "hosted", "here", "there", "read", "see", "shop", "buy", "sold", "live", "work", "working", "works", "online", "site", "page",
+    "website", "store", "more", "details", "arrive", "arrived", "meet", "stay", "start", "and", "or", "published", "posted", "located",
+))
+
+
 def _spoken_edits(text: str) -> list[Replacement]:
     edits = []
     for m in _SPOKEN_MAIL.finditer(text):
+        if text[m.start() : m.start(1)].lower() in _NOT_MAILBOXES:
+            continue
         edits.append((m.start(1), m.end(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(text, m.start(), m.end())]
     return edits
@@ -205,21 +230,30 @@ def may_hide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers in source positions, without those that a base span of the kind meets."""
-    seen, origin = text, None
+    """Spans of disguised identifiers in source positions, without those that a base span of the kind meets.
+
+    Spans of one kind come in order on both sides, so each is held against its neighbour among the
+    base spans and the last one added: n log n in their number, and memory for the edits only.
+    """
+    seen, steps = text, []
     for step in (_char_edits, _bracket_edits, _digit_edits, _spoken_edits, _dot_edits):
         edits = step(seen)
         if edits:
-            seen, origin = _apply(seen, origin, edits)
-    if origin is None:
+            steps.append(_Rewrite(seen, edits))
+            seen = steps[-1].text
+    if not steps:
         return []
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    last = dict.fromkeys(KINDS, 0)
     added = []
     for kind, start, end in base_spans(seen):
-        source = (origin[start][0], origin[end - 1][1])
-        if all(source[1] <= s or source[0] >= e for s, e in taken[kind]):
-            added.append((kind, *source))
-            taken[kind].append(source)
+        for step in reversed(steps):
+            start, end = step.back(start, end)
+        held = taken[kind]
+        k = bisect_left(held, (end,)) - 1  # the last base span that begins before the end
+        if start >= last[kind] and (k < 0 or held[k][1] <= start):
+            added.append((kind, start, end))
+            last[kind] = end
     return added
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from siftlab.llm import pii
 from tests.llm.samples import awkward_documents, docs_frame, document
@@ -56,9 +57,49 @@ def test_disguises_map_back():
     assert hidden("call plus four nine one five one two three four five six") == [("phone", "plus four nine one five one two three four five six")]
     assert hidden("one nine two dot one six eight dot zero dot one") == [("ip", "one nine two dot one six eight dot zero dot one")]
     assert hidden("we met at noon dot dash, one of two at 3") == []
+    assert hidden("look at example dot com") == [] and hidden("we are at example dot org") == []
     assert hidden("plain a@b.co and 1.2.3.4 (at home)") == []
 
 
+def by_characters(text, base):
+    """The way back kept as one source range per character, every span held against all others."""
+    seen, origin = text, [(i, i + 1) for i in range(len(text))]
+    for step in (pii._char_edits, pii._bracket_edits, pii._digit_edits, pii._spoken_edits, pii._dot_edits):
+        out, ranges, at = "", [], 0
+        for a, b, new in sorted(step(seen)):
+            if a >= at:
+                out += seen[at:a] + new
+                ranges += origin[at:a] + [(origin[a][0], origin[b - 1][1])] * len(new)
+                at = b
+        seen, origin = out + seen[at:], ranges + origin[at:]
+    found = []
+    for kind, a, b in pii.base_spans(seen) if seen != text else []:
+        a, b = origin[a][0], origin[b - 1][1]
+        if all(b <= s or a >= e for k, s, e in base + found if k == kind):
+            found.append((kind, a, b))
+    return found
+
+
+def test_the_way_back_equals_one_range_per_character():
+    rng = random.Random(5)
+    parts = ["john", " at ", " dot ", "com", "[at]", " (dot) ", "@", ".", "exаmple", "＠", "​", "one ", "two ", "three ", "4 ", "+", "plus ", "5", "é", " ", "a@b.co", "1.2.3.4"]
+    seen = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        base = pii.base_spans(text)
+        got = pii.hidden_spans(text, base)
+        assert got == by_characters(text, base), text
+        seen += len(got)
+    assert seen > 500
+
+
+def test_a_very_long_text_takes_seconds():
+    text = "mail john dot doe at example dot com now; " * 250_000  # over 10 MB
+    begun = time.monotonic()
+    assert len(pii.hidden_spans(text, pii.base_spans(text))) == 250_000
+    assert time.monotonic() - begun < 60
+
+
 def test_rows(spark):
     rows = awkward_documents() + [document(50, "x (at) y.org, a@b.co"), document(51, "b" * 100_000 + " q@r.de " + "7" * 100_000)]
     got = {}
