@@ -59,6 +59,10 @@ _TOKEN = re.compile(
     rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^<>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+# Parts of a class name after which a name says what the element has or lacks, not what it is,
+# and first parts that name a topic.
+_ABOUT_OTHERS = frozenset(("no", "not", "has", "with", "without", "hide"))
+_TOPICS = frozenset(("category", "tag", "format", "type", "post-type", "post-format"))
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -73,13 +77,29 @@ class Block:
     labelled: bool
 
 
+def _names(token: str, whole_page: bool) -> set[str]:
+    """Parts of one class, id or role. Names of surroundings count only where they say what the element is."""
+    parts = _PART.findall(token)
+    topic = any(token.startswith(f"{t}-") for t in _TOPICS)
+    return {
+        p
+        for i, p in enumerate(parts)
+        if p not in _AROUND or not (whole_page or topic or _ABOUT_OTHERS.intersection(parts[:i]) or "free" in parts[i + 1 :])
+    }
+
+
 def _features(name: str, attrs: str) -> frozenset[str]:
     found = set() if name in _NEUTRAL else {f"tag:{name}"}
     for groups in _NAMED.findall(attrs) if attrs else ():
-        found.update(f"name:{w}" for w in _PART.findall("".join(groups).lower()))
+        for token in "".join(groups).lower().split():
+            found.update(f"name:{p}" for p in _names(token, name in ("html", "body")))
     return frozenset(found)
 
 
+def _is_around(feature: str) -> bool:
+    return feature.startswith("name:") and feature[5:] in _AROUND
+
+
 def _hidden_spans(page: str) -> list[tuple[int, int]]:
     """(start, end) of the outermost hidden elements that are closed, in page order.
 
@@ -167,6 +187,8 @@ def blocks_of(page: str) -> list[Block]:
             if stack and stack[-1][0] == name in _SELF_CLOSING:
                 opened[stack.pop()[0]] -= 1
             above, inside = stack[-1][1:] if stack else (frozenset(), False)
+            if name == "main" and any(map(_is_around, above)):  # the main part of a page is no part of its surroundings
+                above = frozenset(f for f in above if not _is_around(f))
             own = _features(name, m["attrs"])
             stack.append((name, above if own <= above else above | own, inside or name in _CONTENT))
             opened[name] += 1
@@ -282,7 +304,10 @@ def extract_pages(
 
     Words score by the place they stand in, tags cost; the best contiguous run is the content
     region, and blocks inside it that stand in menus, adverts, forms, comments and the like are
-    left out. Character references are decoded, white space inside a block becomes one space,
+    left out. Class names count for the element that carries them and what is inside it, not where
+    they say what it has or lacks (``no-sidebar``, ``with-share``, ``ad-free``) or its topic
+    (``category-legal``), and never on the whole page. A header inside an article is a header and
+    left out with its title. Character references are decoded, white space inside a block becomes one space,
     blocks are joined by one line end. A null, empty or textless page gives an empty text;
     broken markup is read as far as it goes; repeated rows give repeated results; other columns
     are ignored; an empty table gives no rows.

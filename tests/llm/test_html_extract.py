@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from siftlab.llm import html_extract
 
 SCHEMA = "page_id long, url string, html string, text string, id string"
@@ -57,3 +61,30 @@ def test_unclosed_and_self_closed_hidden_elements_drop_nothing_else():
         f"<head><noscript><p>no</p></noscript></head><body>{body}", f"{body}<button>no</button><template><p>no</p></template>",
     ):
         assert html_extract.main_text(page, weights) == want, page
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<body class="single-post no-sidebar"><article>', "</article></body>"),
+        ('<body><div class="content has-header with-share"><article>', "</article></div></body>"),
+        ('<body><div class="ad-free story">', "</div></body>"),
+        ('<body><article class="post-type-post category-legal">', "</article></body>"),
+        ('<body><div class="header-layout"><main>', "</main></div></body>"),
+    ],
+)
+def test_names_that_do_not_mark_surroundings_keep_the_article(before, after):
+    words = "some plain words of a long story that goes on for a while"
+    menu = '<div class="sidebar menu"><p>Home Shop News About us and all the rest</p></div>'
+    text = html_extract.main_text(f"<html>{before}<p>{words}</p><p>{words} again</p>{after}{menu}</html>", html_extract.fit({}))
+    assert text == f"{words}\n{words} again"
+
+
+def test_best_run_equals_trying_all_runs():
+    rng = random.Random(11)
+    for _ in range(2000):
+        scores = [rng.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 14))]
+        runs = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max((r[0] for r in runs), default=0.0)
+        start, end = html_extract.best_run(scores)
+        assert sum(scores[start:end]) == max(best, 0.0)
