@@ -166,3 +166,13 @@ def mix_documents(
 def training_order(plan: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """The taken copies range-sorted by training position."""
     return taken_copies(plan, schedules).repartitionByRange("position").sortWithinPartitions("position", "epoch")
+
+
+def with_training_rank(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The plan range-sorted by the position of each document's first copy, numbered ``training_rank`` from 0.
+
+    Positions count to nine places; ties and documents the mix leaves out (last) go by id, so no
+    position makes a hot range.
+    """
+    order = [F.round("position", 9).asc_nulls_last(), F.col(id_col).asc_nulls_last(), F.col("offset"), F.col("size")]
+    return with_ordinal(plan, order, "training_rank")

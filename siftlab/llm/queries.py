@@ -41,8 +41,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    plan = mixing.mix_plan(_table(spark, folder, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.with_training_rank(mixing.mix_plan(_table(spark, folder, "documents")))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"),
+        F.round("position", 6).alias("position"), "training_rank",
+    )
 
 
 def op7_html_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,13 +129,31 @@ _WEIGHTS = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
 _E = mixing.MAX_EPOCHS
 _COPIES = " + ".join(f"({e} * source_size + begun + size / 2 < target)::int" for e in range(_E))
 
+
+
+def _position_sql(share: str, rank: str) -> str:
+    """Inverse of the integrated schedule: on the segment that holds the share, the root of its parabola."""
+    cases = []
+    for k, knots in enumerate(mixing.SCHEDULES):
+        segments = [(t0, w0, t1, w1, (t1 - t0) * (w0 + w1) / 2) for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False)]
+        whole, done, whens = sum(s[4] for s in segments), 0.0, ""
+        for t0, w0, t1, w1, area in segments:
+            rest = f"greatest({share} * {whole}::double - {done}::double, 0)"
+            slope = (w1 - w0) / (t1 - t0)
+            root = f"({w0}::double + sqrt(greatest({w0 * w0}::double + {rest} * {2 * slope}::double, 0)))"
+            done += area
+            whens += f" when {share} <= {done / whole}::double then least({t0}::double + {rest} * 2 / {root}, {t1}::double)"
+        cases.append(f"when {k} then case{whens} else {knots[-1][0]}::double end")
+    return f"(case {rank} % {len(mixing.SCHEDULES)} {' '.join(cases)} end)"
+
+
 OP6_SQL = rf"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
     sha256('mix|' || coalesce(doc_id::varchar, '')) as k from documents),
 sources as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (
-  select *, ({_WEIGHTS})[1 + (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)}] as w from sources),
+  select *, ({_WEIGHTS})[1 + (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)}] as w, row_number() over (order by source nulls last) - 1 as rk from sources),
 byratio as (
   select *, coalesce(sum({_E} * source_size) over o, 0) as held, (select sum(w) from ranked) - coalesce(sum(w) over o, 0) as open,
     (select sum(source_size) from ranked) as total
@@ -142,15 +163,19 @@ level as (
   select arg_min((total - held) / open, held) as v from byratio
   where open > 0 and (total - held) / open * w <= {_E} * source_size),
 targets as (
-  select source, source_size, case when v * w > {_E} * source_size then ({_E} * source_size)::double else v * w end as target
+  select source, source_size, rk, case when v * w > {_E} * source_size then ({_E} * source_size)::double else v * w end as target
   from ranked, level),
 placed as (
-  select s.doc_id, s.size, t.source_size, t.target,
+  select s.doc_id, s.size, t.source_size, t.target, t.rk,
     coalesce(sum(s.size) over (partition by s.source order by s.k, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as begun
-  from sized s join targets t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (case when size > 0 then {_COPIES} else 0 end * size)::bigint as taken
-from placed"""
+  from sized s join targets t on s.source is not distinct from t.source),
+counted as (
+  select *, (case when size > 0 then {_COPIES} else 0 end)::bigint as copies, (begun + size / 2.0::double) / target as share from placed),
+timed as (
+  select *, case when copies > 0 then {_position_sql("share", "rk")} end as moment from counted)
+select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies, round(moment, 6) as position,
+  row_number() over (order by round(moment, 9) nulls last, doc_id nulls last, begun, size) - 1 as training_rank
+from timed"""
 
 OP4_SQL = f"""
 with usable as (
