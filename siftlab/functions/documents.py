@@ -28,7 +28,8 @@ def clean_markup(c) -> Column:
 
 
 def _is_reference_line(line: Column) -> Column:
-    dated = line.rlike(r"\b(19|20)\d{2}[a-z]?\b")
+    # Digits of a phone number with its international prefix are no year.
+    dated = F.regexp_replace(line, r"\+\d(?:[ ().-]{0,2}\d){8,14}(?!\d)", "+").rlike(r"\b(19|20)\d{2}[a-z]?\b")
     commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
     dots = F.length(line) - F.length(F.replace(line, F.lit("."), F.lit("")))
     return (

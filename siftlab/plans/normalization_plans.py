@@ -454,7 +454,7 @@ _REFS = ("", "\n## References\n[1] A, B, 2019.", "\nAcknowledgements\nthanks", "
 def nrm21(t):
     k = F.pmod("doc_id", F.lit(5))
     rows = t.wide("documents").select("doc_id", k.alias("k"), F.concat("text", pick(_REFS, "doc_id")).alias("text"))
-    out = rows.select("doc_id", "k", D.drop_references("text").alias("kept"))
+    out = rows.select("doc_id", "k", F.when(F.col("text").isNotNull(), D.drop_references("text")).alias("kept"))
     # The heading cases leave the line break before the heading, unless hash marks end the line above it.
     return out.select("doc_id", "k", F.md5("kept").alias("digest"))
 

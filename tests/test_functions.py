@@ -59,6 +59,12 @@ def test_reference_block(ev):
     assert ev(D.drop_references, [text, "a\n[1] x\n[2] y", "a\nReferences\nb"]) == ["intro\nbody", "a\n[1] x\n[2] y", "a\n"]
 
 
+def test_phone_numbers_are_no_reference_years(ev):
+    tail = "\n[1] A\n[2] B"
+    phone = "Call +1 (235) 555-2058 un. Gaó dotaie."
+    assert ev(D.drop_references, ["a\n" + phone + tail, "a\nA. B. 1998-2003." + tail]) == ["a\n" + phone + tail, "a"]
+
+
 def test_chunk_quality(ev):
     long = "This is a sufficiently long chunk with useful context and a metric like 0.83 V vs. RHE, so it is kept."
     got = ev(D.chunk_quality, ["### Oxygen Reduction Reaction", "### *Electrocatalytic O2 Reduction*", "### 0.83 V vs. RHE", "#### KEYWORDS: ORR; HEA", "short", long, " "])

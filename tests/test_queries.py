@@ -33,3 +33,15 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
+
+
+def test_reference_removal_of_null_texts_and_phone_numbers(spark, tmp_path):
+    texts = [None, "", "x", "a, b\n+1 (235) 555-2058 un, co, ezta", "a. b.\n+1 (207) 555-1984 ndth. is."]
+    rows = [(i, texts[i // 5]) for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = entry_points.queries()["nrm21_reference_removal"](spark, str(tmp_path))
+    cur = con.execute(entry_points.oracle_sql()["nrm21_reference_removal"])
+    columns = [d[0] for d in cur.description]
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
