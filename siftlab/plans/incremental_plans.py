@@ -12,7 +12,7 @@ from siftlab.streaming import jobs as J
 
 
 def _stream(t, table: str):
-    return J.file_stream(t.spark, t.folder, getattr(t, table).schema, pattern=f"{table}.parquet")
+    return J.table_stream(t.spark, f"{t.folder}/{table}.parquet", getattr(t, table).schema)
 
 
 @query(

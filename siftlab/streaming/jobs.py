@@ -24,6 +24,15 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None =
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stream of a Parquet table that is one file or a folder of files."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+        return file_stream(spark, path, schema)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, schema, pattern=name)
+
+
 def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 

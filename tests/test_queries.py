@@ -35,6 +35,18 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["inc1_stage_progress", "inc2_incremental_index", "inc4_first_results_stream"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    df = entry_points.queries()[name](spark, str(tmp_path))
+    cur = con.execute(entry_points.oracle_sql()[name])
+    columns = [d[0] for d in cur.description]
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
+
+
 def test_reference_removal_of_null_texts_and_phone_numbers(spark, tmp_path):
     texts = [None, "", "x", "a, b\n+1 (235) 555-2058 un, co, ezta", "a. b.\n+1 (207) 555-1984 ndth. is."]
     rows = [(i, texts[i // 5]) for i in range(25)]
