@@ -44,6 +44,32 @@ def pair_predictions(
     return joined.withColumn("stage", stage).withColumn("recommendation_id", F.col("_rec")).drop("_rec", "_known", "_ranked")
 
 
+def scored_pairs(
+    feedback: DataFrame, recommendations: DataFrame, ranked: DataFrame, default_id: str | None = None
+) -> DataFrame:
+    """The rows of ``pair_predictions`` that reach the last stage, without the others in the shuffle.
+
+    Rows that fail by their own values stay where they are. The last predictions of a recommendation
+    are one map by known task, so feedback is dealt once, by recommendation, and lies as later
+    joins on it need it.
+    """
+    stated = blank_to_null(F.col("recommendation_id"))
+    rec = F.coalesce(stated, F.lit(default_id)) if default_id else stated
+    known = recommendations.select(F.col("recommendation_id").alias("_rec"), F.col("components")).dropDuplicates(["_rec"])
+    items = ranked.where(F.col("task_type").isin(*K.TASKS)).groupBy(F.col("recommendation_id").alias("_rec"), "task_type").agg(
+        F.max_by("predicted", "pos").alias("predicted")
+    )
+    by_task = items.where("predicted is not null").groupBy("_rec").agg(
+        F.map_from_entries(F.collect_list(F.struct("task_type", "predicted"))).alias("_by_task")
+    )
+    usable = feedback.withColumn("_rec", rec).where(
+        F.col("task_type").isin(*K.TASKS) & F.col("_rec").isNotNull() & F.col("actual").isNotNull()
+    )
+    joined = usable.join(known.join(by_task, "_rec"), "_rec").withColumn("predicted", F.try_element_at("_by_task", F.col("task_type")))
+    paired = joined.where("predicted is not null").withColumn("stage", F.lit(STAGES[-1]))
+    return paired.withColumn("recommendation_id", F.col("_rec")).drop("_rec", "_by_task")
+
+
 def stage_counts(paired: DataFrame) -> DataFrame:
     """Rows in total and per stage, as one row."""
     return paired.agg(

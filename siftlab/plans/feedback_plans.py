@@ -24,7 +24,7 @@ _SQL_PAIR = f"""fb as (select l_orderkey || '-' || l_linenumber || '-' || l_part
     from pr where stage = 'scored')"""
 
 
-def _paired(t):
+def _inputs(t):
     li = t.lineitem
     unknown = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F") & (F.col("l_tax") == 0)
     rec = (
@@ -49,7 +49,11 @@ def _paired(t):
         F.lit(0).alias("pos"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 4).alias("predicted"),
     )
-    return FB.pair_predictions(rows, recommendations, ranked)
+    return rows, recommendations, ranked
+
+
+def _errors(t):
+    return FB.with_errors(FB.scored_pairs(*_inputs(t)))
 
 
 @query(
@@ -61,7 +65,7 @@ def _paired(t):
       count_if(stage = 'prediction_parse_failed')::bigint as rows_prediction_parse_failed, count_if(stage = 'scored')::bigint as rows_scored from pr""",
 )
 def jon7(t):
-    return FB.stage_counts(_paired(t))
+    return FB.stage_counts(FB.pair_predictions(*_inputs(t)))
 
 
 @query(
@@ -69,7 +73,7 @@ def jon7(t):
     f"with {_SQL_PAIR} select row_id, round(abs_error, 4) as abs_error, round(rel_error, 6) as rel_error, round(score, 6) as score from er",
 )
 def agg29(t):
-    e = FB.with_errors(_paired(t))
+    e = _errors(t)
     return e.select("row_id", F.round("abs_error", 4).alias("abs_error"), F.round("rel_error", 6).alias("rel_error"), F.round("score", 6).alias("score"))
 
 
@@ -79,7 +83,7 @@ def agg29(t):
       round(avg(case when rel_error <= 0.02 then 1.0 else greatest(0.05, least(0.95, score)) end), 6) as reward from er group by 1""",
 )
 def agg33(t):
-    e = FB.with_errors(_paired(t)).withColumn("reward", S.feedback_reward("rel_error"))
+    e = _errors(t).withColumn("reward", S.feedback_reward("rel_error"))
     return e.groupBy("task_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("rel_error") <= 0.02).alias("n_full"), F.round(F.avg("reward"), 6).alias("reward")
     )
@@ -124,7 +128,7 @@ def _round_records(t):
     ignored = t.supplier.select(
         F.col("s_suppkey").alias("round_id"), (F.pmod("s_nationkey", F.lit(7)) + 1).cast("int").alias("line")
     )
-    return FB.apply_ignore_list(FB.with_errors(_paired(t)), ignored, ["round_id", "line"])
+    return FB.apply_ignore_list(_errors(t), ignored, ["round_id", "line"])
 
 
 @query(
@@ -191,7 +195,7 @@ def flt9(t):
     f"""with {_SQL_PAIR} select row_id, round_id, round(score, 6) as score from er order by round_id, line, row_id limit 1000""",
 )
 def top9(t):
-    page = FB.cap_records(FB.with_errors(_paired(t)), ["round_id", "line", "row_id"], 1000)
+    page = FB.cap_records(_errors(t), ["round_id", "line", "row_id"], 1000)
     return page.select("row_id", "round_id", F.round("score", 6).alias("score"))
 
 
@@ -208,7 +212,7 @@ def jon8(t):
         F.col("o_orderkey").alias("trace"),
     )
     latest = FB.latest_traces(traces, ["recommendation_id"], "mtime", "trace")
-    out = FB.feedback_examples(FB.with_errors(_paired(t)), latest, ["recommendation_id"])
+    out = FB.feedback_examples(_errors(t), latest, ["recommendation_id"])
     return out.select("row_id", "recommendation_id", "trace", "has_trace")
 
 

@@ -310,3 +310,22 @@ def test_binned_density_stays_within_its_error_of_the_exact_curve(spark, points,
         for p in range(points):
             assert abs(binned[g, p]["x"] - exact[g, p]["x"]) < 1e-9
             assert abs(binned[g, p]["y"] - exact[g, p]["y"]) <= bound + 1e-9
+
+
+def test_scored_pairs_are_the_scored_rows_of_all_pairs(make):
+    fb = make(
+        [(1, "HER", "r1", 2.0, "mV"), (2, "OER", "r1", 2.0, "mV"), (3, "HER", " ", 1.0, "mV"), (4, "nope", "r1", 1.0, "mV"), (5, "HER", "r2", None, "mV"),
+         (6, "HER", "r2", 3.0, "mV"), (7, "HER", "r9", 3.0, "mV"), (8, None, "r1", 1.0, "mV"), (9, "HER", "r3", 1.0, "mV"), (10, "UOR", "r1", 4.0, "mV")],
+        "id int, task_type string, recommendation_id string, actual double, unit string",
+    )
+    rec = make([("r1", "a"), ("r2", "b"), ("r3", "c"), ("r1", "a")], "recommendation_id string, components string")
+    ranked = make(
+        [("r1", "HER", 0, 1.0), ("r1", "HER", 1, 5.0), ("r1", "UOR", 0, 7.0), ("r2", "HER", 0, 1.0), ("r2", "HER", 1, None), ("r9", "HER", 0, 1.0), (None, "HER", 0, 1.0)],
+        "recommendation_id string, task_type string, pos int, predicted double",
+    )
+    for default in (None, "r1"):
+        whole = FB.pair_predictions(fb, rec, ranked, default).where("stage = 'scored'")
+        some = FB.scored_pairs(fb, rec, ranked, default)
+        assert some.columns == whole.select(*some.columns).columns and set(some.columns) == set(whole.columns)
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
+        assert some.count() == (2 if default is None else 3)
