@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftlab.operators.joins import broadcast_if_small
 from siftlab.operators.ordinals import top_per_group
-from siftlab.operators.retrieval import _block_search, _by_length
+from siftlab.operators.retrieval import _unit_search, unit_rows
 from siftlab.session import materialize
 
 # Pivots grow with the square root of the table up to this number and these bytes.
@@ -23,8 +23,12 @@ MAX_PIVOTS = 1024
 MAX_PIVOT_BYTES = 8 * 1024 * 1024
 RINGS = 64
 
-# Rows of a block scored by one task; larger blocks are split by a hash of the id.
+# Rows of a bin, which one task scores at a time: whole blocks, or a part of a larger one, split by a hash of the id.
 PART_ROWS = 20_000
+# Bins of a small table, and the rows one has at least even so.
+BINS, BIN_ROWS = 64, 256
+# Rows of one batch of chosen bins, each with its query.
+CHOSEN_ROWS = 4096
 # Queries of a block scored by one task.
 SLICE_QUERIES = 4096
 # Rows a query reads before its first and second k-th score are taken.
@@ -46,6 +50,19 @@ class PivotIndex:
     pivots: list[list[float]]
 
 
+def _bins(blocks: list[tuple]) -> list[tuple[int, int]]:
+    """First bin and number of bins of each block (pivot, ring, low, high, n), in order."""
+    room = min(PART_ROWS, max(BIN_ROWS, -(-sum(b[4] for b in blocks) // BINS)))
+    out, at, filled = [], 0, 0
+    for n in (b[4] for b in blocks):
+        if filled and filled + n > room:
+            at, filled = at + 1, 0
+        parts = -(-n // room)
+        out.append((at, parts))
+        at, filled = (at + parts, 0) if parts > 1 else (at, filled + n)
+    return out
+
+
 def _usable(vector) -> bool:
     import numpy as np
 
@@ -110,28 +127,29 @@ def build_index(vectors: DataFrame, pivots: int | None = None) -> PivotIndex:
     return PivotIndex(rows, materialize(blocks, "blocks"), chosen)
 
 
-def _choose_blocks(index: PivotIndex, queries: DataFrame, start: int, stop: int | None) -> DataFrame:
-    """The parts of blocks each query reads in one round, with the query on every row.
+def _choose_blocks(
+    index: PivotIndex, table: list[tuple], bins: list[tuple[int, int]], queries: DataFrame, start: int, stop: int | None
+) -> DataFrame:
+    """The bins each query reads in one round: a row with the query, the blocks it asks for there and their rows.
 
     All blocks of a query are in one fixed order (best bound first); a round takes those that begin
-    at ``start`` to ``stop`` rows of that order and whose bound reaches ``floor``.
+    at ``start`` to ``stop`` rows of that order and whose bound reaches ``floor``. A query travels
+    once to each bin, however many blocks it asks for there.
     """
-    table = [tuple(r) for r in index.blocks.orderBy("pivot", "ring").collect()]
     pivots = index.pivots
-    fields = T.StructType([*queries.schema.fields])
-    for name in ("pivot", "ring", "part", "n"):
-        fields = fields.add(name, "integer" if name != "n" else "long")
+    fields = T.StructType([*queries.schema.fields]).add("bin", "integer").add("blocks", T.ArrayType(T.IntegerType())).add("n", "long")
 
     def choose(batches):
         import numpy as np
         import pandas as pd
 
-        number, ring, low, high, n = (np.array(c) for c in zip(*table)) if table else ([],) * 5
+        number, ring, low, high, n = (np.array(c) for c in zip(*table)) if table else (np.zeros(0, int),) * 5
+        first, parts = np.array(bins, dtype=np.int64).reshape(-1, 2).T
         centres = np.array(pivots)
-        inner = np.flatnonzero(np.array(number) != _OTHER)
-        other = np.flatnonzero(np.array(number) == _OTHER)
+        inner = np.flatnonzero(number != _OTHER)
+        other = np.flatnonzero(number == _OTHER)
+        out = []
         for pdf in batches:
-            out = []
             for q in pdf.itertuples(index=False):
                 v = np.asarray(q.embedding, dtype=float)
                 if not _usable(v):
@@ -148,37 +166,58 @@ def _choose_blocks(index: PivotIndex, queries: DataFrame, start: int, stop: int
                 take = (before >= start) & (bound >= q.floor)
                 if stop is not None:
                     take &= before < stop
-                for b in order[take]:
-                    parts = -(-int(n[b]) // PART_ROWS)
-                    out.extend((*q, number[b], ring[b], part, n[b] if part == 0 else 0) for part in range(parts))
+                chosen = np.sort(order[take])
+                for block in chosen[parts[chosen] > 1]:
+                    at = int(first[block])
+                    out.extend((*q, at + k, [block], n[block] if k == 0 else 0) for k in range(parts[block]))
+                chosen = chosen[parts[chosen] == 1]
+                for whole in np.split(chosen, np.flatnonzero(np.diff(first[chosen])) + 1):
+                    if len(whole):
+                        out.append((*q, first[whole[0]], whole.astype(np.int32), n[whole].sum()))
+                for k in range(0, len(out) - CHOSEN_ROWS + 1, CHOSEN_ROWS):
+                    yield pd.DataFrame(out[k : k + CHOSEN_ROWS], columns=fields.names)
+                out = out[len(out) // CHOSEN_ROWS * CHOSEN_ROWS :]
+        if out:
             yield pd.DataFrame(out, columns=fields.names)
 
     return queries.mapInPandas(choose, fields)
 
 
-def _score(index: PivotIndex, chosen: DataFrame, k: int, max_distance: float | None, slices: int) -> DataFrame:
-    """Cosines of the chosen parts: at most ``k`` hits per query and part."""
-    search = _block_search(k, max_distance)
-    keys = ["pivot", "ring", "part", "slice"]
+def _score(index: PivotIndex, places: DataFrame, chosen: DataFrame, k: int, max_distance: float | None, slices: int) -> DataFrame:
+    """Cosines of the chosen blocks: at most ``k`` hits per query and run of blocks in a bin."""
+    search = _unit_search(k, max_distance)
     asked = chosen.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)))
-    parts = F.ceil(F.col("n") / PART_ROWS)
-    place = F.floor(F.pmod(F.xxhash64("id"), F.lit(_HASHES)) * parts / _HASHES).cast("int")
-    rows = index.rows.join(F.broadcast(index.blocks.select("pivot", "ring", "n")), ["pivot", "ring"])
-    rows = rows.withColumn("part", place).drop("angle", "n")
+    part = F.floor(F.pmod(F.xxhash64("id"), F.lit(_HASHES)) * F.col("parts") / _HASHES).cast("int")
+    rows = index.rows.join(F.broadcast(places), ["pivot", "ring"]).withColumn("bin", F.col("first") + part)
+    rows = rows.select("id", "embedding", "doc_id", "task_type", "bin", "block")
     # Blocks nobody asked for end here, before the shuffle.
-    wanted = asked.select("pivot", "ring", "part", F.col("slice").alias("asked_slice")).distinct()
-    rows = rows.join(broadcast_if_small(wanted), keys[:3])
+    wanted = asked.select("bin", F.col("slice").alias("asked_slice"), F.explode("blocks").alias("block")).distinct()
+    rows = rows.join(broadcast_if_small(wanted), ["bin", "block"])
     schema = T.StructType().add("qid", "string").add("id", "string").add("score", "double")
 
     def cell(vs, qs):
+        import numpy as np
         import pandas as pd
 
         found = []
         if len(vs) and len(qs):
-            found = _by_length(search, vs, [(r.qid, r.embedding, r.tasks, r.masked_doc) for r in qs.itertuples()])
+            for _, part in vs.groupby(vs["embedding"].map(len), sort=False):
+                part = part.sort_values("block", kind="stable")
+                blocks = part["block"].to_numpy()
+                unit = unit_rows(np.stack(part["embedding"].to_numpy()).astype(float))
+                ids, docs, tasks = (part[c].to_numpy() for c in ("id", "doc_id", "task_type"))
+                for r in qs.itertuples():
+                    mine = np.sort(r.blocks)
+                    lo, hi = np.searchsorted(blocks, mine, "left"), np.searchsorted(blocks, mine, "right")
+                    # Runs of rows that follow each other are one view.
+                    new = np.flatnonzero(np.concatenate([[True], lo[1:] != hi[:-1]]))
+                    for a, b in zip(lo[new], hi[np.concatenate([new[1:], [len(mine)]]) - 1]):
+                        if a < b:
+                            one = [(r.qid, r.embedding, r.tasks, r.masked_doc)]
+                            found.extend(search(ids[a:b], unit[a:b], docs[a:b], tasks[a:b], one))
         return pd.DataFrame(found, columns=schema.names)
 
-    hits = rows.groupBy(*keys[:3], "asked_slice").cogroup(asked.groupBy(*keys)).applyInPandas(cell, schema)
+    hits = rows.groupBy("bin", "asked_slice").cogroup(asked.groupBy("bin", "slice")).applyInPandas(cell, schema)
     return hits.withColumn("score", F.round("score", 9))
 
 
@@ -204,11 +243,16 @@ def pivot_top_k(
         "queries",
     )
     slices = max(1, -(-q.count() // SLICE_QUERIES))
-    # A part gives at most k hits per query, so the best of all rounds are complete.
+    table = [tuple(r) for r in index.blocks.orderBy("pivot", "ring").collect()]
+    bins = _bins(table)
+    places = q.sparkSession.createDataFrame(
+        [(b[0], b[1], i, *bins[i]) for i, b in enumerate(table)], "pivot int, ring int, block int, first int, parts int"
+    )
+    # A run of blocks gives at most k hits per query, so the best of all rounds are complete.
     best, read, floors = None, None, q.select("qid", base.alias("floor"))
     for start, stop in ((0, FIRST_ROWS), (FIRST_ROWS, SECOND_ROWS), (SECOND_ROWS, None)):
-        chosen = materialize(_choose_blocks(index, q.join(floors, "qid"), start, stop), "chosen")
-        hits = _score(index, chosen, k, max_distance, slices)
+        chosen = materialize(_choose_blocks(index, table, bins, q.join(floors, "qid"), start, stop), "chosen")
+        hits = _score(index, places, chosen, k, max_distance, slices)
         hits = hits if best is None else best.unionByName(hits)
         best = materialize(top_per_group(hits, "qid", [F.desc("score"), F.col("id")], k).drop("rank"), "best")
         work = chosen.select("qid", "n")

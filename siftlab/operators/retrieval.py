@@ -99,20 +99,31 @@ def substring_search(
     return top_per_group(hits, "query", [F.desc("score"), F.col(doc_id)], k)
 
 
+def unit_rows(matrix):
+    """Rows scaled to length one; zero rows stay."""
+    import numpy as np
+
+    norms = np.linalg.norm(matrix, axis=1)
+    return matrix / np.where(norms > 0, norms, 1.0)[:, None]
+
+
 def _block_search(k: int, max_distance: float | None):
     """Closure over one block of queries: scores a block of vectors and keeps ``k`` per query."""
+    search = _unit_search(k, max_distance)
+    return lambda ids, matrix, docs, tasks, queries: search(ids, unit_rows(matrix), docs, tasks, queries)
+
+
+def _unit_search(k: int, max_distance: float | None):
+    """The same over rows of length one or zero."""
 
-    def search(ids, matrix, docs, tasks, queries):
+    def search(ids, unit, docs, tasks, queries):
         import numpy as np
 
         out = []
-        norms = np.linalg.norm(matrix, axis=1)
-        safe = np.where(norms > 0, norms, 1.0)
-        unit = matrix / safe[:, None]
         for qid, vector, allowed, masked in queries:
             v = np.asarray(vector, dtype=float)
             size = np.linalg.norm(v)
-            if not size or v.shape[0] != matrix.shape[1]:
+            if not size or v.shape[0] != unit.shape[1]:
                 continue  # a zero query, or one of another length, has no hits
             score = unit @ (v / size)
             keep = np.ones(len(ids), dtype=bool)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from siftlab.operators import pivots as P
 from siftlab.operators.pivots import build_index, pivot_top_k
 from siftlab.operators.retrieval import vector_top_k
 
@@ -61,3 +62,18 @@ def test_odd_vectors(make, monkeypatch):
     assert {r.qid for r in work.collect()} == {"same", "short", "zero", "far"}
     empty, work = pivot_top_k(build_index(make([], V)), queries, 8)
     assert empty.count() == 0 and {r.scored for r in work.collect()} == {0}
+
+
+def test_a_query_travels_once_to_a_bin(make):
+    """Directions without structure rule out no block: rows chosen follow the bins, not the blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:05d}", v.tolist(), "d", "HER") for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    index = build_index(make(rows, V))
+    table = [tuple(r) for r in index.blocks.orderBy("pivot", "ring").collect()]
+    bins = P._bins(table)
+    queries = make(_queries(rows, 300), Q).selectExpr("*", "-2.0D as floor")
+    got = P._choose_blocks(index, table, bins, queries, 0, None).collect()
+    n_bins = max(first + parts for first, parts in bins)
+    assert n_bins <= P.BINS < len(table)
+    assert len(got) == 10 * n_bins and sum(r.n for r in got) == 10 * 3000
+    assert sorted(b for r in got if r.qid == "v00000" for b in r.blocks) == list(range(len(table)))
