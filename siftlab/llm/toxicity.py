@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftlab.llm.selection import thinned
@@ -271,17 +272,16 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def _fetch(rows: DataFrame, turns: int = 16) -> dict[str, np.ndarray]:
-    """The counted table as dense arrays of fixed size, read in turns so that little is held twice."""
+def _fetch(rows: DataFrame, part: str, turns: int = 8) -> dict[str, np.ndarray]:
+    """One part of the counted table as dense arrays of fixed size, read in turns so that little is held twice."""
     table = {"context": np.full(_BUCKETS, -1, np.int32)}
-    for name in rows.columns:
-        if name not in ("bucket", "context"):
-            table[name] = np.zeros(_BUCKETS, np.uint8 if "left" in name or "follow" in name else np.float32)
+    for c in _TABLE[1:]:
+        table[f"{c}_{part}"] = np.zeros(_BUCKETS, np.uint8 if c.endswith(("left", "follow")) else np.float32)
     for turn in range(turns):
-        part = rows.where(F.shiftright("bucket", BUCKET_BITS - 4) == turn).toPandas()
-        at = part["bucket"].to_numpy(np.int64)
+        some = rows.where(F.shiftright("bucket", BUCKET_BITS - 3) == turn).select("bucket", *table).toArrow()
+        at = some.column("bucket").to_numpy()
         for name, values in table.items():
-            values[at] = part[name].fillna(0)
+            values[at] = pc.fill_null(some.column(name), 0).to_numpy()
     return table
 
 
@@ -316,14 +316,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 columns.append(F.bit_count(F.bit_or(own)).cast("tinyint").alias(f"{c}_{part}"))
             else:
                 columns.append(F.sum(own).cast("float").alias(f"{c}_{part}"))
-    table = _fetch(materialize(counts.groupBy("bucket").agg(*columns), "grams"))
-    if not table["toxic_all_both"].any() or not table["ordinary_all_both"].any():
+    grams = materialize(counts.groupBy("bucket").agg(*columns), "grams")
+    seen = grams.agg(F.max("toxic_all_both"), F.max("ordinary_all_both")).first()
+    if not seen[0] or not seen[1]:
         return None
-    folds = spark.sparkContext.broadcast([SpellingModel.of(table, "1"), SpellingModel.of(table, "0")])
+
+    def ship(part: str):
+        """The model of one part, held by the driver only until it is broadcast."""
+        return spark.sparkContext.broadcast(SpellingModel.of(_fetch(grams, part), part))
+
+    folds = [ship("1"), ship("0")]
     sample = marked.join(F.broadcast(chosen), F.col("id") == F.col("_sid"), "left_semi").select("text", "toxic", "fold")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(m) for m in folds.value]
+        scorers = [Scorer(m.value) for m in folds]
         for piece in slices(batches, "text"):
             of = piece.column("fold").to_numpy()
             for fold in np.unique(of).tolist():
@@ -332,8 +338,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), own.column("toxic")], names=["x", "toxic"])
 
     seen = sample.mapInArrow(measure, "x array<double>, toxic int").toPandas()
-    folds.destroy()
-    shipped = spark.sparkContext.broadcast(SpellingModel.of(table, "both"))
+    for model in folds:
+        model.destroy()
+    shipped = ship("both")
     y = seen["toxic"].to_numpy(np.float64)
     if len(y) < 2 or y.min() == y.max():
         return shipped, _UNFITTED

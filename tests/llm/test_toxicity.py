@@ -62,3 +62,18 @@ def test_word_ratio_uses_shared_backoff(spark):
     data, starts, ends, _ = toxicity.plain_words(pa.array(["zzworm zzwo zzz abc"], pa.large_string()))
     ratio = shipped.value.word_ratios(data, starts, ends)
     assert ratio[0] > 3 and abs(ratio[3]) < 3
+
+
+def test_driver_holds_one_part_of_the_counts(spark):
+    names = [f"{c}_{part}" for part in ("0", "1", "both") for c in toxicity._TABLE[1:]]
+    kinds = [f"{c} {'tinyint' if 'left' in c or 'follow' in c else 'float'}" for c in names]
+    rows = [(b, None if b == 5 else b + 1, *[None if "_0" in c and b == 9 else b % 60 for c in names]) for b in (5, 9, 70_000, (1 << 20) - 1)]
+    rows = [(b, c, *[v if v is None or "left" in n or "follow" in n else float(v) for n, v in zip(names, more, strict=True)]) for b, c, *more in rows]
+    frame = spark.createDataFrame(rows, "bucket long, context long, " + ", ".join(kinds))
+    table = toxicity._fetch(frame, "0")
+    assert set(table) == {"context", *(n for n in names if n.endswith("_0"))}
+    assert sum(v.nbytes for v in table.values()) <= 24 << 20
+    for at in (9, 70_000, (1 << 20) - 1):
+        assert table["context"][at] == at + 1
+        assert {int(v[at]) for n, v in table.items() if n != "context"} == {0 if at == 9 else at % 60}
+    assert table["toxic_0"].sum() == 5 + 70_000 % 60 + ((1 << 20) - 1) % 60
