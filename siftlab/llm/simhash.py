@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlab.llm.components import components
-from siftlab.llm.words import LOWER, SPACE, ByteHashes, as_texts, bounded, mix, slices, text_bytes, word_ranges
+from siftlab.llm.words import LOWER, SPACE, ByteHashes, as_texts, bounded, concat_ranges, mix, slices, text_bytes, word_ranges
 from siftlab.session import materialize
 
 SHINGLE_WORDS = 4
@@ -28,6 +28,8 @@ SKETCH = ("s0", "s1")
 SKETCH_BITS = 107
 # Largest number of fingerprints of one posting list that a task compares at once.
 LIST_BLOCK = 4096
+# Shingles of one block of a loose group; larger groups are compared block by block.
+BLOCK_SHINGLES = 1 << 20
 _SHORT_LIST = 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.arange(1, 17, 2, dtype=np.uint64) * _STEP
@@ -219,16 +221,37 @@ def parent_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[parent[moved]]
 
 
-def nearest_edges(nodes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """(node, its linked node of fewest differing sketch bits) of every node that has one."""
-    nearest = np.full(len(nodes), -1)
-    for k in range(0, len(nodes), 64):
-        x, y = nodes[k : k + 64, None], nodes[None]
-        far = np.where(near(x, y), sketch_distance(x, y), np.int16(1 << 14))
-        best = far.argmin(axis=1)
-        nearest[k : k + 64] = np.where(far[np.arange(len(best)), best] < 1 << 14, best, -1)
-    has = np.flatnonzero(nearest >= 0)
-    return nodes[has], nodes[nearest[has]]
+def joining_edges(check: np.ndarray, group: np.ndarray, side: np.ndarray, sets: pa.ListArray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all groups with a pair of at least this Jaccard similarity, and none below it.
+
+    Where ``side`` has two values, pairs within one are left to other calls. A node is compared with
+    all others at once: the lists of the nodes that hold its shingles are counted. Every pair of two
+    groups has a node outside of the largest one, so the nodes of that one start no comparison.
+    """
+    size = np.diff(sets.offsets.to_numpy())
+    first = np.concatenate([[0], np.cumsum(size)])
+    values = sets.flatten().to_numpy()
+    code = np.unique(values, return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(size)), size)[np.argsort(code, kind="stable")]
+    n_holders = np.bincount(code)
+    begin = np.cumsum(n_holders) - n_holders
+    group = np.unique(group, return_inverse=True)[1]
+    pairs = np.ones(len(size), bool)
+    left, right = [], []
+    for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+        if side.min() != side.max():
+            pairs = side != side[i]
+        if not (pairs & (group != group[i])).any():
+            continue
+        own = code[first[i] : first[i + 1]]
+        shared = np.bincount(holder[concat_ranges(begin[own], n_holders[own])], minlength=len(size))
+        close = shared * 1000 >= round(similarity * 1000) * (size + size[i] - shared)
+        for j in np.flatnonzero(pairs & close & (group != group[i])).tolist():
+            if group[i] != group[j]:
+                left.append(check[i])
+                right.append(check[j])
+                group[group == group[j]] = group[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 _FOUND = "a long, a_check long, a_group long, b long, b_check long, key long, block int"
@@ -412,6 +435,31 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, size: int) -
     return bounded(rows).mapInArrow(run, "check long, shingles array<long>")
 
 
+def _joined(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) of ``joining_edges`` over all pairs within each loose group of (check, loose, group).
+
+    Each group is dealt to blocks by hash, as many as its rows and shingles ask for, and every pair of blocks is
+    compared by one task, so no task grows with a group.
+    """
+    rows = open_.select("check", "loose", "group").join(sets, "check").withColumn("size", F.size("shingles"))
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / LIST_BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    # A block on its own is half full, so that a pair of blocks is a full one.
+    sizes = rows.groupBy("loose").agg(n.alias("n")).withColumn("n", F.when(F.col("n") > 1, F.col("n") * 2).otherwise(1))
+    dealt = rows.join(sizes, "loose").withColumn("block", F.pmod(F.xxhash64("check", F.lit(1)), F.col("n")).cast("int"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
+        "loose", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "check", "group", "shingles"
+    )
+
+    def join_cell(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks()
+        column = lambda c: batch.column(c).to_numpy()
+        sets = batch.column("shingles").combine_chunks()
+        a, b = joining_edges(column("check"), column("group"), column("block"), sets, similarity)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return cells.groupBy("loose", "i", "j").applyInArrow(join_cell, "a long, b long")
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY,
     tally: int = COPY_TALLY,
@@ -422,11 +470,11 @@ def similar_documents(
     shingle), keyed by every choice of ``tally`` positions: a pair of similarity s is a candidate
     with the probability that at least ``tally`` of eight bytes agree, 0.99 at 0.8, whatever the
     edits. Candidates must also agree in enough bits of a wider sketch, and each is checked by the
-    exact Jaccard similarity of the shingle sets. A first search takes a tree of candidates from
-    each posting list. Where failed checks leave the nodes of such trees apart, each of them
-    proposes its nearest node of another group in each of its lists, and those proposals are
-    checked, until no group gains a link. So the pairs of a round are in proportion to the rows
-    of its index, whatever the size of a group. Texts of equal words are one node. ``kept`` marks the row of the smallest
+    exact Jaccard similarity of the shingle sets. The search takes a tree of candidates from
+    each posting list; all candidates, also those in no tree, lie within one loose group of such
+    trees. Where failed checks leave nodes of a loose group apart, all its pairs of different
+    groups are compared by their shingle sets, so no candidate stays unchecked. Texts of equal
+    words are one node. ``kept`` marks the row of the smallest
     id (nulls last) and then the smallest ``text_hash`` of its component; only rows equal in both
     are kept together. So every component keeps a row, also one of null ids, and different texts
     under one id are judged each.
@@ -439,11 +487,9 @@ def similar_documents(
 
     def links(nodes: DataFrame) -> DataFrame:
         keys = posting_keys(F.col("fp"), 8 - tally)
-        pairs = lambda rows, search: fingerprint_links(rows, keys, alike(tally), search, SKETCH).select(
-            F.greatest("a_check", "b_check").alias("a"), F.least("a_check", "b_check").alias("b")
-        ).distinct()
-        tried = materialize(pairs(nodes.withColumn("group", F.col("check")), parent_edges), "candidates")
-        # Every text with a candidate is in one of these edges; the others need no shingles and no further search.
+        pairs = fingerprint_links(nodes.withColumn("group", F.col("check")), keys, alike(tally), parent_edges, SKETCH)
+        tried = materialize(pairs.select(F.greatest("a_check", "b_check").alias("a"), F.least("a_check", "b_check").alias("b")).distinct(), "candidates")
+        # Every text with a candidate is in one of these edges; the others need no shingles and no further comparison.
         ends = materialize(tried.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "candidates")
         wanted = marked.join(ends, "check", "left_semi").groupBy("check").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
         sets = materialize(shingle_sets(docs, text_col, wanted, size).dropDuplicates(["check"]), "shingles")
@@ -451,19 +497,11 @@ def similar_documents(
             components(edges).select(F.col("id").alias("check"), F.col("root").alias("_root")), "check", "left"
         ).select(*rows.columns, F.coalesce("_root", "check").alias(name))
         # All candidate pairs, also those no tree holds, lie within one loose group.
-        active = materialize(rooted(nodes.join(ends, "check", "left_semi"), tried, "loose"), "active")
-        found = materialize(_similar(tried, sets, similarity), "similar")
-        while True:
-            grouped = materialize(rooted(active, found, "group"), "groups")
-            split = grouped.groupBy("loose").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-            open_ = materialize(grouped.join(split, "loose", "left_semi"), "open")
-            proposed = materialize(pairs(open_, nearest_edges).join(tried, ["a", "b"], "left_anti"), "proposed")
-            added = materialize(_similar(proposed, sets, similarity), "similar")
-            if added.isEmpty():
-                break
-            found, tried = found.unionByName(added), tried.unionByName(proposed)
-            gained = open_.join(added.select(F.col("a").alias("check")), "check", "left_semi").select("loose").distinct()
-            active = open_.join(gained, "loose", "left_semi").select(active.columns)
+        loose = rooted(ends, tried, "loose")
+        similar = materialize(_similar(tried, sets, similarity), "similar")
+        grouped = materialize(rooted(loose, similar, "group"), "groups")
+        split = grouped.groupBy("loose").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+        found = similar.unionByName(materialize(_joined(grouped.join(split, "loose", "left_semi"), sets, similarity), "joined"))
         names = nodes.select("check", "node")
         a, b = names.select(F.col("check").alias("a"), F.col("node").alias("x")), names.select(F.col("check").alias("b"), F.col("node").alias("y"))
         return found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -116,3 +116,22 @@ def test_every_close_pair_of_a_dense_list_is_linked(spark):
     roots = groups_of(len(rows), close)
     assert 1 < len(set(roots)) < len(rows)
     assert [r["component_id"] for r in simhash.similar_documents(docs_frame(spark, rows)).orderBy("doc_id").collect()] == roots
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_pairs_with_nearer_failing_neighbours_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "LIST_BLOCK", block)
+    rng = random.Random(41)
+    base = words(rng, 200, "abcdefghijklm").split()
+    texts = []
+    for _ in range(70):
+        copy = list(base)
+        for k in rng.sample(range(0, 200, 5), 3):
+            copy[k] = words(rng, 1)
+        texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    close = {(i, j) for i in range(70) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    roots = groups_of(len(texts), lambda i, j: (i, j) in close)
+    assert 5 < len(set(roots)) < 50
+    found = simhash.similar_documents(docs_frame(spark, [document(i, t) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in found] == roots
