@@ -63,7 +63,7 @@ def nrm2(t):
     name = F.when(F.pmod("p_size", F.lit(4)) == 0, " -/ ").otherwise(
         F.concat(F.upper("p_name"), F.lit(" ‐("), text("p_partkey"), F.lit(")·Α"))
     )
-    return t.part.select("p_partkey", names.identity_key(name, F.col("p_partkey")).alias("key"))
+    return t.wide("part").select("p_partkey", names.identity_key(name, F.col("p_partkey")).alias("key"))
 
 
 @query(
@@ -79,7 +79,7 @@ def nrm2_folded(t):
     )
     marks = F.when(F.col("p_size") % 3 == 0, "e\u0323\u0302").otherwise("e\u0302\u0323")
     name = F.concat(wide, F.lit(" ﬁ-"), digits, F.lit("ß"), marks, F.lit("가"))
-    return t.part.select("p_partkey", names.name_key(name).alias("key"))
+    return t.wide("part").select("p_partkey", names.name_key(name).alias("key"))
 
 
 _VAL_SQL = f"""v as (select {_LI_ID} as id, l_partkey % 8 as k, {sql_pick(K.TASKS, 'l_orderkey')} as task_type, {_Q} as q, l_quantity, l_linenumber from lineitem)"""

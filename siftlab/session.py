@@ -63,15 +63,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Input of one task of CPU-heavy row work.
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core before CPU-heavy row work.
+    """Deal a scan out for CPU-heavy row work: one task per core at least, and one per 4 MB of files.
 
-    A table of many files has far more partitions than cores and is left alone, so this costs
-    nothing at scale; a small single-file table would otherwise run on one core.
+    The number of splits says little: a file is cut at its row groups only, so that splits can be
+    empty and a task can hold a million rows, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= cores else df.repartition(cores)
+    wanted = max(cores, -(-plan_size_bytes(df) // SPREAD_BYTES))
+    return df.repartition(wanted)
 
 
 # The optimizer's default for frames it knows nothing about is far above this.
