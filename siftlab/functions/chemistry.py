@@ -56,7 +56,7 @@ def metal_symbol(c) -> Column:
 
 
 def sorted_symbols(c) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(as_col(c), metal_symbol), lambda s: s != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(as_col(c), metal_symbol), lambda s: s != "")))
 
 
 def parse_composition(c) -> Column:

@@ -32,13 +32,10 @@ def clean_records(raw: DataFrame) -> DataFrame:
     def judged(reaction: Column, scope: Column) -> Column:
         """Every metric with its canonical key, converted value and reject reason."""
 
-        def checked(raw_key: Column, key: Column, value: Column, early: Column, n: Column) -> Column:
-            reason = F.coalesce(early, F.when(n.isNull(), "unparseable_value"))
-            return F.struct(raw_key.alias("raw_key"), key.alias("key"), value.alias("raw"), n.alias("n"), reason.alias("reason"))
-
-        def converted(raw_key: Column, key: Column, value: Column, early: Column) -> Column:
+        def checked(e: Column, key: Column, early: Column) -> Column:
             """Values are converted only for metrics that are in scope."""
-            return let(checked, raw_key, key, value, early, F.when(early.isNull(), normalize_metric(value, key)))
+            n = F.when(early.isNull(), normalize_metric(e["value"], key))
+            return F.struct(e["key"].alias("raw_key"), key.alias("key"), e["value"].alias("raw"), n.alias("n"), early.alias("early"))
 
         def early_reason(key: Column, value: Column) -> Column:
             return (
@@ -50,58 +47,47 @@ def clean_records(raw: DataFrame) -> DataFrame:
         return F.transform(
             entries,
             lambda e: let(
-                lambda key: let(converted, e["key"], key, e["value"], early_reason(key, e["value"])),
-                metric_key(e["key"], reaction),
+                lambda key: let(lambda early: checked(e, key, early), early_reason(key, e["value"])), metric_key(e["key"], reaction)
             ),
         )
 
-    def assembled(reaction: Column, metals: Column, rows: Column) -> Column:
-        good = F.filter(rows, lambda m: m["reason"].isNull())
-        # A potential is preferred to an overpotential of the same record.
-        twice = (reaction == "UOR") & F.exists(good, lambda m: m["raw_key"] == "potential")
-        hidden = lambda m: F.coalesce(twice, F.lit(False)) & (m["raw_key"] == "overpotential")
-        shadowed = F.filter(good, hidden)
-
-        def finished(kept: Column) -> Column:
-            # Two raw columns may still meet in one key; the last one stands.
-            once = F.filter(
-                kept, lambda m, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["key"] == m["key"])
-            )
-
-            def maps(last: Column) -> Column:
-                pairs = lambda items, v: F.map_from_entries(F.transform(items, lambda m: F.struct(m["key"], v(m))))
-                dropped = F.concat(
-                    F.array_compact(F.transform(rows, lambda m: m["reason"])),
-                    F.transform(shadowed, lambda m: F.lit("duplicate_metric_prefer_potential")),
-                )
-                nameless = (F.size(metals) == 0) & (strip(text_or_empty(F.col("material_name"))) == "")
-                reason = (
-                    F.when(reaction.isNull(), "unknown_reaction_type")
-                    .when(nameless, "missing_material_identity")
-                    .when(F.size(last) == 0, "no_metrics_after_cleaning")
-                )
-                return F.struct(
-                    F.coalesce(reaction, F.col("reaction_type")).alias("reaction_type"),
-                    metals.alias("metals"),
-                    pairs(last, lambda m: metric_text(m["n"])).alias("metrics_gt"),
-                    pairs(last, lambda m: m["raw"]).alias("metrics_raw"),
-                    pairs(F.filter(last, lambda m: m["n"]["unit"].isNotNull()), lambda m: m["n"]["unit"]).alias("units"),
-                    dropped.alias("dropped"),
-                    reason.alias("drop_reason"),
-                )
-
-            return let(maps, once)
-
-        return let(finished, F.filter(good, lambda m: ~hidden(m)))
-
-    cleaned = let(
-        lambda reaction, metals: let(
-            lambda rows: assembled(reaction, metals, rows), judged(reaction, F.try_element_at(allowed, reaction))
-        ),
-        canonical_reaction("reaction_type"),
-        sorted_symbols(F.coalesce("metals", F.array().cast("array<string>"))),
+    # Steps are columns of their own, not one bound expression: what a query does not ask for is not computed.
+    reaction, rows, good, last = (F.col(c) for c in ("_reaction", "_rows", "_good", "_last"))
+    staged = raw.withColumn("_reaction", canonical_reaction("reaction_type")).withColumn("_scope", F.try_element_at(allowed, reaction))
+    staged = staged.withColumn("_rows", judged(reaction, F.col("_scope"))).withColumn("_good", F.filter(rows, lambda m: m["n"].isNotNull()))
+    # A potential is preferred to an overpotential of the same record.
+    twice = F.coalesce((reaction == "UOR") & F.exists(good, lambda m: m["raw_key"] == "potential"), F.lit(False))
+    staged = staged.withColumn("_twice", twice)
+    hidden = lambda m: F.col("_twice") & (m["raw_key"] == "overpotential")
+    staged = staged.withColumn("_kept", F.filter(good, lambda m: ~hidden(m)))
+    # Two raw columns may still meet in one key; the last one stands.
+    later = lambda m, i: F.exists(F.slice("_kept", i + 2, F.size("_kept")), lambda o: o["key"] == m["key"])
+    staged = staged.withColumn("_last", F.when(F.size("_kept") < 2, F.col("_kept")).otherwise(F.filter("_kept", lambda m, i: ~later(m, i))))
+    given = F.coalesce("metals", F.array().cast("array<string>"))
+
+    pairs = lambda items, v: F.map_from_entries(F.transform(items, lambda m: F.struct(m["key"], v(m))))
+    dropped = F.concat(
+        F.array_compact(F.transform(rows, lambda m: F.coalesce(m["early"], F.when(m["n"].isNull(), "unparseable_value")))),
+        F.transform(F.filter(good, hidden), lambda m: F.lit("duplicate_metric_prefer_potential")),
+    )
+    unnamed = ~F.coalesce(F.exists(given, lambda m: strip(m) != ""), F.lit(False))
+    nameless = unnamed & (strip(text_or_empty(F.col("material_name"))) == "")
+    reason = (
+        F.when(reaction.isNull(), "unknown_reaction_type")
+        .when(nameless, "missing_material_identity")
+        .when(F.size(last) == 0, "no_metrics_after_cleaning")
+    )
+    return staged.select(
+        "id",
+        "source",
+        F.coalesce(reaction, F.col("reaction_type")).alias("reaction_type"),
+        sorted_symbols(given).alias("metals"),
+        pairs(last, lambda m: metric_text(m["n"])).alias("metrics_gt"),
+        pairs(last, lambda m: m["raw"]).alias("metrics_raw"),
+        pairs(F.filter(last, lambda m: m["n"]["unit"].isNotNull()), lambda m: m["n"]["unit"]).alias("units"),
+        dropped.alias("dropped"),
+        reason.alias("drop_reason"),
     )
-    return raw.select("id", "source", cleaned.alias("_c")).select("id", "source", "_c.*")
 
 
 def drop_accounting(cleaned: DataFrame) -> DataFrame:

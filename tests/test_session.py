@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from siftlab.operators.records import clean_records
 from siftlab.session import spread
 
 
@@ -27,3 +28,15 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
 def test_folded_names_are_spread(spark):
     df = entry_points.queries()["nrm2_folded_entity_names"](spark, "/root/testdata/sf0.001")
     assert len(_rows_per_task(df)) >= spark.sparkContext.defaultParallelism
+
+
+def test_cleaning_computes_only_what_is_asked_for(spark):
+    raw = spark.createDataFrame(
+        [(1, "s", "UOR", ["pt", None, " "], None, {"potential": "1.5 V", "overpotential": "", "note": None})],
+        "id long, source string, reaction_type string, metals array<string>, material_name string, metrics map<string,string>",
+    )
+    cleaned = clean_records(raw)
+    row = cleaned.first()
+    assert (row["metals"], row["metrics_gt"], row["units"], row["drop_reason"]) == (["Pt"], {"potential_10mAcm-2": "1.5 V"}, {"potential_10mAcm-2": "V"}, None)
+    plan = cleaned.select("id", "drop_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "sort_array" not in plan
