@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, functions as F
 
 from siftlab.functions import fixed as K
-from siftlab.functions.numbers import DECIMAL, decimal_text, finite, parse_double, short_number
+from siftlab.functions.numbers import DECIMAL, decimal_text, finite, parse_double, short_number, stated
 from siftlab.functions.text import as_col, let, squeeze, strip, text_or_empty
 
 _PREFIX = rf"^\s*({K.NUMBER})"
@@ -57,8 +57,8 @@ def normalize_metric(value, key) -> Column:
 
 
     def parts(text: Column, k: Column) -> Column:
-        raw = _number_text(text)
-        return let(_convert_metric, F.coalesce(raw.try_cast(DECIMAL), raw.try_cast("double").cast(DECIMAL)), _rest(text), k)
+        number = let(lambda raw: F.when(raw != "", F.coalesce(raw.try_cast(DECIMAL), raw.try_cast("double").cast(DECIMAL))), _number_text(text))
+        return let(_convert_metric, number, _rest(text), k)
 
     return let(parts, text_or_empty(value), key)
 
@@ -122,14 +122,14 @@ def current_density_ma(c) -> Column:
             area.rlike(r"^a\b.*cm-2"), (num * F.lit(Decimal("1000"))).cast(DECIMAL)
         )
 
-    return let(lambda t: let(convert, _number_text(t).try_cast(DECIMAL), _area(_rest(t))), text)
+    return let(lambda t: let(convert, stated(_number_text(t), DECIMAL), _area(_rest(t))), text)
 
 
 def percent_fraction(c) -> Column:
     """Percent text such as ``~94.2%`` as a fraction."""
     text = F.regexp_replace(text_or_empty(c), r"^[\s~≈≃∼<>≤≥=]+", "")
     text = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
-    return (_number_text(text).try_cast(DECIMAL) * F.lit(Decimal("0.01"))).cast(DECIMAL)
+    return (stated(_number_text(text), DECIMAL) * F.lit(Decimal("0.01"))).cast(DECIMAL)
 
 
 def condition_status(c) -> Column:
