@@ -19,7 +19,7 @@ def _label(c: Column) -> Column:
 def _answer(text: Column, prop: str) -> Column:
     """``struct<reason, metals, metric>`` of a model's answer text."""
     metric_field, aliases = K.EXTRACTION_SCHEMAS[prop]
-    metal = F.array(*[F.lit(e) for e in K.ELEMENTS if e not in K.NON_METALS])
+    metal = [e for e in K.ELEMENTS if e not in K.NON_METALS]
     block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
     def judge(stripped: Column, obj: Column) -> Column:
@@ -44,9 +44,8 @@ def _answer(text: Column, prop: str) -> Column:
             lambda d: let(
                 check,
                 d,
-                F.array_intersect(
-                    F.array_distinct(F.from_json(F.try_element_at(d, F.lit("metals")), "array<string>")), metal
-                ),
+                # An intersection would build the set of all metals in every row.
+                F.array_distinct(F.filter(F.from_json(F.try_element_at(d, F.lit("metals")), "array<string>"), lambda e: e.isin(metal))),
                 strict_property_text(
                     F.lit(prop), F.coalesce(*[F.try_element_at(d, F.lit(k)) for k in (metric_field, *aliases)])
                 ),

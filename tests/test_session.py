@@ -40,3 +40,15 @@ def test_cleaning_computes_only_what_is_asked_for(spark):
     assert (row["metals"], row["metrics_gt"], row["units"], row["drop_reason"]) == (["Pt"], {"potential_10mAcm-2": "1.5 V"}, {"potential_10mAcm-2": "V"}, None)
     plan = cleaned.select("id", "drop_reason")._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" not in plan and "sort_array" not in plan
+
+
+def test_metals_of_answers_need_no_set_per_row(spark):
+    from siftlab.sources.responses import classify_responses
+
+    answer = '{\\"metals\\": [\\"Fe\\", null, \\"O\\", \\"Fe\\", \\"Co\\"], \\"property_type\\": \\"conductivity\\", \\"conductivity\\": \\"5 S/m\\"}'
+    line = '{"custom_id": "1", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "%s"}}]}}}' % answer
+    lines = spark.createDataFrame([(line,)], "line string")
+    requests = spark.createDataFrame([("1", 1, "10.1/x")], "custom_id string, row_number int, doi string")
+    df = classify_responses(lines, requests, "conductivity")
+    assert [(r["outcome"], r["metals"]) for r in df.collect()] == [("kept", ["Fe", "Co"])]
+    assert "array_intersect" not in df._jdf.queryExecution().analyzed().toString()
