@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftlab.functions import fixed as K, scoring as S
 from siftlab.functions.text import blank_to_null
 from siftlab.operators.ordinals import with_ordinal
+from siftlab.session import materialize
 
 STAGES = (
     "unknown_task", "missing_recommendation_id", "recommendation_not_found", "prediction_missing", "actual_parse_failed",
@@ -50,26 +51,57 @@ def scored_pairs(
     """The rows of ``pair_predictions`` that reach the last stage, without the others in the shuffle.
 
     Rows that fail by their own values stay where they are. The last predictions of a recommendation
-    are one map by known task, so feedback is dealt once, by recommendation, and lies as later
-    joins on it need it.
+    are one map by known task, so feedback and ranked items are dealt once, by recommendation, and
+    lie as later joins on it need them.
     """
-    stated = blank_to_null(F.col("recommendation_id"))
-    rec = F.coalesce(stated, F.lit(default_id)) if default_id else stated
     known = recommendations.select(F.col("recommendation_id").alias("_rec"), F.col("components")).dropDuplicates(["_rec"])
-    items = ranked.where(F.col("task_type").isin(*K.TASKS)).groupBy(F.col("recommendation_id").alias("_rec"), "task_type").agg(
-        F.max_by("predicted", "pos").alias("predicted")
-    )
+    kept = ranked.where(F.col("task_type").isin(*K.TASKS)).select(F.col("recommendation_id").alias("_rec"), "task_type", "pos", "predicted")
+    items = kept.repartition("_rec").groupBy("_rec", "task_type").agg(F.max_by("predicted", "pos").alias("predicted"))
     by_task = items.where("predicted is not null").groupBy("_rec").agg(
         F.map_from_entries(F.collect_list(F.struct("task_type", "predicted"))).alias("_by_task")
     )
-    usable = feedback.withColumn("_rec", rec).where(
-        F.col("task_type").isin(*K.TASKS) & F.col("_rec").isNotNull() & F.col("actual").isNotNull()
-    )
+    usable = _usable(feedback, default_id)
     joined = usable.join(known.join(by_task, "_rec"), "_rec").withColumn("predicted", F.try_element_at("_by_task", F.col("task_type")))
     paired = joined.where("predicted is not null").withColumn("stage", F.lit(STAGES[-1]))
     return paired.withColumn("recommendation_id", F.col("_rec")).drop("_rec", "_by_task")
 
 
+def _usable(feedback: DataFrame, default_id: str | None = None) -> DataFrame:
+    """The feedback rows that do not fail by their own values."""
+    stated = blank_to_null(F.col("recommendation_id"))
+    rec = F.coalesce(stated, F.lit(default_id)) if default_id else stated
+    return feedback.withColumn("_rec", rec).where(
+        F.col("task_type").isin(*K.TASKS) & F.col("_rec").isNotNull() & F.col("actual").isNotNull()
+    )
+
+
+# Feedback rows that are paired ahead of the others at most.
+HEAD_ROWS = 100_000
+
+
+def first_scored_pairs(
+    feedback: DataFrame, recommendations: DataFrame, ranked: DataFrame, order_by: list, limit_records: int, default_id: str | None = None
+) -> DataFrame:
+    """Rows of ``scored_pairs`` with the first ``limit_records`` in the order of feedback columns among them.
+
+    Pairing drops feedback rows and adds none, so the first usable ones are paired alone, with the
+    recommendations they name, and more of them while too few have a prediction. Where the first
+    ``HEAD_ROWS`` do not suffice, all rows are paired.
+    """
+    if limit_records < 1:
+        raise ValueError("limit_records must be at least 1")
+    size = 2 * limit_records
+    while size <= HEAD_ROWS:
+        head = materialize(_usable(feedback, default_id).orderBy(*order_by).limit(size), "head")
+        named = F.broadcast(head.select(F.col("_rec").alias("recommendation_id")).distinct())
+        few = [frame.join(named, "recommendation_id", "left_semi") for frame in (recommendations, ranked)]
+        found = materialize(scored_pairs(head.drop("_rec"), *few, default_id), "found")
+        if found.count() >= limit_records or head.count() < size:
+            return found
+        size *= 8
+    return scored_pairs(feedback, recommendations, ranked, default_id)
+
+
 def stage_counts(paired: DataFrame) -> DataFrame:
     """Rows in total and per stage, as one row."""
     return paired.agg(

@@ -195,7 +195,8 @@ def flt9(t):
     f"""with {_SQL_PAIR} select row_id, round_id, round(score, 6) as score from er order by round_id, line, row_id limit 1000""",
 )
 def top9(t):
-    page = FB.cap_records(_errors(t), ["round_id", "line", "row_id"], 1000)
+    order = ["round_id", "line", "row_id"]
+    page = FB.cap_records(FB.with_errors(FB.first_scored_pairs(*_inputs(t), order, 1000)), order, 1000)
     return page.select("row_id", "round_id", F.round("score", 6).alias("score"))
 
 

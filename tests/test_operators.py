@@ -329,3 +329,27 @@ def test_scored_pairs_are_the_scored_rows_of_all_pairs(make):
         assert some.columns == whole.select(*some.columns).columns and set(some.columns) == set(whole.columns)
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect()))
         assert some.count() == (2 if default is None else 3)
+
+
+def test_first_scored_pairs_hold_the_first_records_of_all(make, monkeypatch):
+    rows = [(i, "HER", f"r{i}" if i % 7 == 3 else "gone", 2.0, "mV") for i in range(200)]
+    fb = make(rows, "id int, task_type string, recommendation_id string, actual double, unit string")
+    rec = make([(f"r{i}", "a") for i in range(200)], "recommendation_id string, components string")
+    ranked = make([(f"r{i}", "HER", 0, 1.0) for i in range(200)], "recommendation_id string, task_type string, pos int, predicted double")
+    whole = [r["id"] for r in FB.cap_records(FB.scored_pairs(fb, rec, ranked), ["id"], 5).collect()]
+    assert whole == [3, 10, 17, 24, 31]
+    some = FB.first_scored_pairs(fb, rec, ranked, ["id"], 5)
+    assert [r["id"] for r in FB.cap_records(some, ["id"], 5).collect()] == whole
+    assert some.count() < FB.scored_pairs(fb, rec, ranked).count()
+    assert FB.first_scored_pairs(fb, rec, ranked, ["id"], 50).count() == 29
+    monkeypatch.setattr(FB, "HEAD_ROWS", 1)
+    assert [r["id"] for r in FB.cap_records(FB.first_scored_pairs(fb, rec, ranked, ["id"], 5), ["id"], 5).collect()] == whole
+
+
+def test_ranked_items_are_dealt_once_for_scored_pairs(make):
+    fb = make([(1, "HER", "r1", 2.0, "mV")], "id int, task_type string, recommendation_id string, actual double, unit string")
+    rec = make([("r1", "a")], "recommendation_id string, components string")
+    ranked = make([("r1", "HER", 0, 1.0)], "recommendation_id string, task_type string, pos int, predicted double")
+    plan = FB.scored_pairs(fb, rec, ranked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_rec") <= 3 and "hashpartitioning(_rec#" in plan
+    assert not re.search(r"hashpartitioning\(_rec#\d+, task_type", plan)
