@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from siftlab.functions import answers as A, fixed as K, scoring as S
 from siftlab.functions.ids import split_experiment_id
+from siftlab.functions.text import let
 from siftlab.operators import evaluation as E
 from siftlab.operators.ordinals import best_per_group
 from siftlab.plans.common import SQL_RUNS, pick, run_rows, sql_list, sql_pick, text
@@ -282,17 +283,22 @@ def agg27(t):
     from siftlab.functions.units import coerce_prediction
 
     r = _responses(t)
-    obj = A.direct_answer_object("response")
-    got = A.answer_map(obj)
-    keys = A.key_difference(F.create_map(F.lit("v"), F.lit("1")), got)
-    value = F.try_element_at(got, F.lit("v"))
-    # A JSON number keeps its bare spelling in the raw text; a JSON string is quoted there.
-    numeric = obj.rlike(r'"v"\s*:\s*[-0-9.]')
-    stage = E.compliance_stage(
-        F.lit(True), obj.isNotNull(), F.lit(False), F.lit(True), F.lit(True),
-        F.size(keys["extra"]) > 0, F.size(keys["missing"]) > 0, numeric,
-        coerce_prediction(value, F.lit("mV")).isNotNull(),
-    )
+
+    def judged(obj: Column, got: Column) -> Column:
+        keys = A.key_difference(F.create_map(F.lit("v"), F.lit("1")), got)
+        # A JSON number keeps its bare spelling in the raw text; a JSON string is quoted there.
+        numeric = obj.rlike(r'"v"\s*:\s*[-0-9.]')
+        repaired = coerce_prediction(F.try_element_at(got, F.lit("v")), F.lit("mV")).isNotNull()
+        return let(
+            lambda k: E.compliance_stage(
+                F.lit(True), obj.isNotNull(), F.lit(False), F.lit(True), F.lit(True),
+                F.size(k["extra"]) > 0, F.size(k["missing"]) > 0, numeric, repaired,
+            ),
+            keys,
+        )
+
+    # The answer is looked for and parsed once per row; every check reads the bound values.
+    stage = let(lambda obj: let(lambda got: judged(obj, got), A.answer_map(obj)), A.direct_answer_object("response"))
     return E.funnel(r.select("task_type", stage.alias("stage")), "task_type", "stage")
 
 

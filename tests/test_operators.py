@@ -353,3 +353,14 @@ def test_ranked_items_are_dealt_once_for_scored_pairs(make):
     plan = FB.scored_pairs(fb, rec, ranked)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(_rec") <= 3 and "hashpartitioning(_rec#" in plan
     assert not re.search(r"hashpartitioning\(_rec#\d+, task_type", plan)
+
+
+def test_compliance_funnel_parses_an_answer_once(spark):
+    from siftlab.plans.registry import REGISTRY, Tables
+    from siftlab.plans import load_all
+
+    load_all()
+    df = REGISTRY["agg27_compliance_funnel"].build(Tables(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The two halves of the union share one aggregate; each shows the expression once.
+    assert 0 < plan.count("from_json") <= 2
