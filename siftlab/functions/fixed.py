@@ -303,6 +303,8 @@ DOI_URL = r'(?i)\b(?:https?://)?(?:dx\.)?doi\.org/(10\.\d{4,9}/[^\s<>"]+)'
 DOI_LABEL = r'(?i)\bdoi\s*[:：]?\s*(10\.\d{4,9}/[^\s<>"]+)'
 DOI_BARE = r'(?i)\b(10\.\d{4,9}/[^\s<>"]+)'
 CITATION = r"^rag:chroma/([^/]+)/doi:([^#]+)#chunk:(\d+)$"
+# Citations that normalisation leaves as they are; not all of them.
+CANONICAL_CITATION = r"\Arag:chroma/[0-9A-Za-z_-]+/doi:[0-9a-z](?:[0-9a-z./-]*[0-9a-z])?#chunk:(?:0|[1-9][0-9]{0,17})\z"
 CITATION_TOKEN = r"rag:chroma/[^\s;]+"
 TRACE_TASK = r"\b(?:Reaction\s*Type|Target\s*reaction)\s*:\s*([A-Za-z0-9_+-]+)\b"
 ACIDIC_PATTERN = (

@@ -73,30 +73,32 @@ def citation_id(collection, doc_id, chunk) -> Column:
 
 def parse_citation(c) -> Column:
     """``struct<collection, doc_id, chunk>`` or null."""
-    return let(
-        lambda text: F.when(
-            text.rlike(K.CITATION),
-            F.struct(
-                F.regexp_extract(text, K.CITATION, 1).alias("collection"),
-                F.regexp_extract(text, K.CITATION, 2).alias("doc_id"),
-                F.regexp_extract(text, K.CITATION, 3).try_cast("bigint").alias("chunk"),
-            ),
-        ),
-        strip(c),
-    )
+    def parts(text: Column) -> Column:
+        # The pattern is matched once. Where it fits, no part holds the mark that ends it.
+        collection = F.substring_index(F.substring(text, len("rag:chroma/") + 1, 1 << 30), "/", 1)
+        after = F.length(collection) + len("rag:chroma/" + "/doi:") + 1
+        return F.struct(
+            collection.alias("collection"),
+            F.substring_index(F.substring(text, after, F.lit(1 << 30)), "#", 1).alias("doc_id"),
+            F.substring_index(text, "#chunk:", -1).try_cast("bigint").alias("chunk"),
+        )
+
+    return let(lambda text: F.when(text.rlike(K.CITATION), parts(text)), strip(c))
 
 
 def normalize_citation(c) -> Column:
     """Canonical form of a citation; trailing prose punctuation is salvaged, other text is kept."""
     def build(text: Column) -> Column:
         salvaged = F.rtrim(F.btrim(text, F.lit("`\"'")), F.lit(").,;:!?\"']}"))
-        return let(
+        rebuilt = let(
             lambda ref: F.when(
                 ref.isNotNull(),
                 citation_id(ref["collection"], canonical_doi(ref["doc_id"], "source"), ref["chunk"]),
             ).otherwise(text),
             F.coalesce(parse_citation(text), parse_citation(salvaged)),
         )
+        # Plain canonical citations, nearly all that come from a store, are their own result.
+        return F.when(text.rlike(K.CANONICAL_CITATION), text).otherwise(rebuilt)
 
     return let(build, strip(text_or_empty(c)))
 

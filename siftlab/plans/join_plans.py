@@ -298,8 +298,8 @@ def jon17(t):
     trailing = F.concat(citation_id(F.lit("c"), doc, F.lit(5)), F.lit(")."))
     third = F.when(F.pmod("o_custkey", F.lit(4)) == 0, F.lit("llm")).otherwise(F.lit("see page 4"))
     cited = F.when(F.pmod("o_custkey", F.lit(7)) == 0, F.array().cast("array<string>")).otherwise(F.array(wrapped, trailing, third))
-    claims = t.orders.select(F.col("o_orderkey").alias("id"), cited.alias("cited"))
-    got = t.lineitem.select(
+    claims = t.wide("orders").select(F.col("o_orderkey").alias("id"), cited.alias("cited"))
+    got = t.wide("lineitem").select(
         F.col("l_orderkey").alias("id"),
         citation_id(F.lit("c"), F.concat(F.lit("10.1000/x"), text("l_orderkey")), F.col("l_linenumber")).alias("source_id"),
     )

@@ -364,3 +364,30 @@ def test_compliance_funnel_parses_an_answer_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # The two halves of the union share one aggregate; each shows the expression once.
     assert 0 < plan.count("from_json") <= 2
+
+
+def test_citations_are_normalised_as_by_their_pattern(make):
+    from siftlab.functions import ids
+
+    p = "rag:chroma/"
+    cases = {
+        p + "c/doi:10.1/x1#chunk:5": p + "c/doi:10.1/x1#chunk:5",
+        p + "c/doi:10.1/X1#chunk:007": p + "c/doi:10.1/x1#chunk:7",
+        p + "a#chunk:b/doi:**10.1/x**#chunk:12).": p + "a#chunk:b/doi:10.1/x#chunk:12",
+        p + " c /doi:10.1/x.#chunk:1\n": p + "c/doi:10.1/x#chunk:1",
+        p + "c/doi:10.1/x#chunk:1\nmore": p + "c/doi:10.1/x#chunk:1\nmore",
+        p + "c/d/doi:10.1/x#chunk:1": p + "c/d/doi:10.1/x#chunk:1",
+        p + "c/doi:10.1/x#chunk:" + "9" * 30: None,
+    }
+    got = make([(k,) for k in cases], "t string").select("t", ids.normalize_citation("t").alias("n")).collect()
+    assert {r.t: r.n for r in got} == cases
+
+
+def test_cited_evidence_is_dealt_out(spark):
+    from siftlab.plans.registry import REGISTRY, Tables
+    from siftlab.plans import load_all
+
+    load_all()
+    df = REGISTRY["jon17_cited_evidence"].build(Tables(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning") >= 2
