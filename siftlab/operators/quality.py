@@ -151,7 +151,8 @@ def select_candidates(obs: DataFrame, complete: Column | None = None) -> DataFra
     # Only what the decision needs is grouped; the rest of the row stays where it is.
     slim = keyed.select(*EXACT, *POSITION, "status", "_pos", complete.alias("_complete"))
     best = best_per_group(slim, EXACT, best_order())
-    labels = obs.select(*EXACT).distinct().groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per exact group already, so labels are counted without a second pass over the observations.
+    labels = best.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("_n"))
     judged = null_safe_join(best, labels.where("_n > 1").select(*CONTEXT, F.lit(True).alias("_bad")), CONTEXT, "left")
     outcome = (
         F.when(F.col("_bad"), "conflicting_context")
@@ -170,6 +171,38 @@ def selection_counts(selected: DataFrame) -> DataFrame:
     return selected.groupBy("task_type", "outcome", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def candidate_counts(obs: DataFrame, complete: Column | None = None) -> DataFrame:
+    """``selection_counts(select_candidates(obs, complete))`` from sums per exact group.
+
+    The best row of a group has the group's best status, so no row is looked for, none is joined
+    back, and equal rows are added up before the shuffle. With a minimum-field test or statuses
+    outside ``STATUSES`` the best row itself is needed, and the rows are selected.
+    """
+    if complete is not None or not obs.where(status_rank() < 0).isEmpty():
+        return selection_counts(select_candidates(obs, complete))
+    ranks = range(len(STATUSES))
+    groups = obs.groupBy(*EXACT).agg(
+        *[F.count_if(status_rank() == r).alias(f"_n{r}") for r in ranks], F.max(status_rank()).alias("_best")
+    )
+    contexts = groups.groupBy(*CONTEXT).agg(
+        (F.count(F.lit(1)) > 1).alias("_bad"),
+        *[F.sum(f"_n{r}").alias(f"_n{r}") for r in ranks],
+        *[F.count_if(F.col("_best") == r).alias(f"_kept{r}") for r in ranks],
+    )
+
+    def kept(r: int, bad: bool) -> Column:
+        return F.sum(F.when(F.col("_bad") == bad, F.col(f"_kept{r}")).otherwise(0))
+
+    parts = {}
+    for r, status in enumerate(STATUSES):
+        parts["exact_duplicate", status] = F.sum(F.col(f"_n{r}") - F.col(f"_kept{r}"))
+        parts["conflicting_context", status] = kept(r, True)
+        parts["selected" if r >= 1 else "manual_review_or_missing_minimum_fields", status] = kept(r, False)
+    sums = contexts.groupBy("task_type").agg(*[n.alias(f"_s{i}") for i, n in enumerate(parts.values())])
+    rows = [F.struct(F.lit(o).alias("outcome"), F.lit(s).alias("status"), F.col(f"_s{i}").alias("n")) for i, (o, s) in enumerate(parts)]
+    return sums.select("task_type", F.inline(F.array(*rows))).where("n > 0")
+
+
 def readiness_rates(obs: DataFrame) -> DataFrame:
     """Direct and direct-or-recoverable shares over all observations and the recommendation."""
     counts = obs.agg(

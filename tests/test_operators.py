@@ -391,3 +391,17 @@ def test_cited_evidence_is_dealt_out(spark):
     df = REGISTRY["jon17_cited_evidence"].build(Tables(spark, "/root/testdata/sf0.001"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RoundRobinPartitioning") >= 2
+
+
+def test_candidate_counts_equal_the_counts_of_selected_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["c1", "c2", None]), rng.choice("xyz"), rng.choice(Q.STATUSES), True) for _ in range(40)]
+    for more in ([], [("c9", "x", "odd", True), ("c9", "x", None, True)]):
+        obs = _obs(spark, rows[: 5 + 30 * bool(more)] + more)
+        want = sorted(map(str, Q.selection_counts(Q.select_candidates(obs)).collect()))
+        assert sorted(map(str, Q.candidate_counts(obs).collect())) == want
+        complete = F.col("row_number") % 2 == 0
+        some = sorted(map(str, Q.selection_counts(Q.select_candidates(obs, complete)).collect()))
+        assert sorted(map(str, Q.candidate_counts(obs, complete).collect())) == some
+    plan = Q.candidate_counts(_obs(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
