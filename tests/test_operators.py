@@ -405,3 +405,20 @@ def test_candidate_counts_equal_the_counts_of_selected_rows(spark):
         assert sorted(map(str, Q.candidate_counts(obs, complete).collect())) == some
     plan = Q.candidate_counts(_obs(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "SortAggregate" not in plan
+
+
+def test_density_sums_kernels_batch_by_batch(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.gauss(0, 1), 1.0])) for g in ("a", None) for _ in range(60)] + [("b", 1.0), ("b", 1.0), ("b", 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    out = D.density_curve(df, ["g"], "v", 8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
+    got = {(r["g"], r["point"]): r for r in out.collect()}
+    assert {g for g, _ in got} == {"a", None} and len(got) == 16
+    frame = {r["g"]: r for r in D._density_frame(df, ["g"], "v").collect()}
+    for (g, point), r in got.items():
+        f, values = frame[g], [v for k, v in rows if k == g and v is not None]
+        x = f["lo"] + point * (f["hi"] - f["lo"]) / 7
+        y = sum(math.exp(-0.5 * ((x - v) / f["h"]) ** 2) for v in values) * f["width"] / (f["h"] * math.sqrt(2 * math.pi))
+        assert abs(r["x"] - x) < 1e-9 and abs(r["y"] - y) < 1e-9
