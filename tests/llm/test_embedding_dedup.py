@@ -44,3 +44,72 @@ def test_empty_useless_and_repeated(spark):
     assert run([]) == []
     assert run([(1, None, 1), (2, [0.0], 1)]) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert run([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 2)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def many(rng, labels=(1,)):
+    """Dense groups of near vectors, loose ones, and vectors given twice."""
+    rows = []
+    for label in labels:
+        centre = rng.normal(size=8)
+        some = [centre + rng.normal(size=8) * 0.01 for _ in range(120)] + [rng.normal(size=8) for _ in range(120)]
+        rows += [([float(x) for x in np.float32(v)], label) for v in some]
+        rows += rows[-2:] + rows[-130:-127]
+    return [(i, v, label) for i, (v, label) in enumerate(rows)]
+
+
+def found(spark, rows, kind="float"):
+    frame = spark.createDataFrame([(*r, "n", "c", 7) for r in rows], SCHEMA.replace("float", kind))
+    return sorted(tuple(r) for r in embedding_dedup.near_vectors(frame).collect())
+
+
+def test_written_tables_stay_linear(spark, monkeypatch):
+    """No table has a row per vector and probed list, nor one per linked pair."""
+    rows, seen, write = many(np.random.default_rng(4), labels=(1, 2)), {}, embedding_dedup.materialize
+
+    def counted(df, label):
+        table = write(df, label)
+        seen[label] = table.count()
+        return table
+
+    monkeypatch.setattr(embedding_dedup, "materialize", counted)
+    monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 10)
+    got = found(spark, rows)
+    assert got == sorted(brute(rows))
+    assert sum(r[1] for r in got) > 20 * len(rows)
+    assert max(seen.values()) <= 2 * len(rows), seen
+
+
+def test_labels_split_over_cells(spark, monkeypatch):
+    """Cells of 24 vectors: lists and dense groups are cut through, pairs are found once."""
+    monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 10)
+    monkeypatch.setattr(embedding_dedup, "LIST_BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "CELL_BYTES", 24 * 8 * 4)
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 8)
+    monkeypatch.setattr(embedding_dedup, "AREA", 64)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 32)
+    rows = many(np.random.default_rng(5), labels=(3, -1))
+    assert found(spark, rows) == sorted(brute(rows))
+    wide = [(i, [x + 1e-9 for x in v], label) for i, v, label in rows]
+    assert found(spark, wide, "double") == sorted(brute(wide))
+
+
+def test_a_pair_of_cells_meets_once():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8))
+    quantiser = embedding_dedup.Quantiser(centres, [], 100.0)  # every ball meets every list
+    order = embedding_dedup.near_order(centres)
+    assert sorted(order.tolist()) == list(range(40))
+    for wanted in (2, 3, 4, 7):
+        sizes = np.array([400, *rng.integers(0, 30, 39)])
+        n = int(sizes.sum())
+        cells = embedding_dedup.Cells.plan(n + 50, [(2, 40), (5, n), (9, 41)], {5: wanted}, {5: sizes}, order, 100)
+        lists, node = np.repeat(np.arange(40), sizes), rng.integers(-(2**62), 2**62, n)
+        home, row, cell = cells.places(quantiser, np.full(n, 5), node, lists, centres[lists])
+        used = cells.lists[5][2]
+        assert home.min() >= cells.first[1] and home.max() < cells.first[2] == cells.first[1] + used
+        assert np.bincount(home).max() <= cells.rows and cells.count == cells.first[2] + 1
+        goes = np.zeros((n, cells.count), int)
+        np.add.at(goes, (row, cell), 1)
+        here = home[:, None] == home[None]
+        assert ((goes[:, home] + goes[:, home].T)[~here] == 1).all() and not goes[np.arange(n), home].any()
+        assert goes.sum(1).max() <= used // 2
